@@ -60,6 +60,15 @@ def test_round_trip_is_the_clamped_value(spark, triples):
         assert z == pytest.approx(min(max(x, lo), hi), abs=1e-9)
 
 
+def test_long_vectors_take_the_lambda_form_with_the_same_result(spark, monkeypatch):
+    vectors, pairs = [[0.5, None, 7.0], [float("-inf"), 2.0, -1.0]], [(0, 1), (1, 3), (-2, 2)]
+    unrolled = normalize(spark, vectors, pairs)
+    monkeypatch.setattr(bd, "UNROLLED_DIMS", 2)
+    assert normalize(spark, vectors, pairs) == unrolled
+    with pytest.raises(Exception, match="differ in length"):
+        normalize(spark, [[1.0]], pairs)
+
+
 def test_check_bounds(spark):
     good, bad = make_bounds(spark, [(0, 1), (2, 2)]), make_bounds(spark, [(0, 1), (3, 2)])
     assert bd.check_bounds(good) is good

@@ -87,10 +87,23 @@ def test_score_and_evaluate(spark):
     assert loss["val_loss"] == pytest.approx(np.mean([(i + 6) / 4 for i in range(10)]))
 
 
-def test_map_batches(spark):
-    df = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "batch_id long, value double")
-    fn = lambda b: b.groupby("batch_id", as_index=False).agg(top=("value", "max"))
-    assert sorted(map(tuple, ev.map_batches(df, fn, "batch_id long, top double").collect())) == [(0, 3.0), (1, 5.0)]
+@pytest.mark.parametrize("arrow_rows", ["3", "10000"])
+def test_map_batches_gets_whole_batches(spark, arrow_rows):
+    """Arrow chunks may end inside a batch, or be smaller than one."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow_rows)
+    try:
+        df = spark.range(103).select(F.call_function("div", F.col("id"), F.lit(8)).alias("batch_id"), F.col("id").cast("double").alias("value"))
+
+        def summary(batch):
+            return batch.groupby("batch_id", as_index=False).agg(n=("value", "size"), top=("value", "max"))
+
+        got = ev.map_batches(df.repartition(5), summary, "batch_id long, n long, top double")
+        want = [(b, min(8, 103 - 8 * b), float(min(8 * b + 7, 102))) for b in range(13)]
+        assert sorted(map(tuple, got.collect())) == want
+        assert ev.map_batches(df.where("id < 0"), summary, "batch_id long, n long, top double").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_grouped_norm_counts_overlaps_once_in_the_total(spark):

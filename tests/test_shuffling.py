@@ -27,6 +27,18 @@ def test_rank_with_several_keys_and_groups(spark):
         assert [r["rank"] for r in want] == list(range(100))
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_rank_laid_out_in_order(spark, partitions):
+    df = spark.range(600).select((F.col("id") % 4 == 0).alias("split"), F.col("id").alias("k"))
+    plain = sh.seeded_rank(df, "k", 7, within=["split"])
+    laid = sh.seeded_rank(df, "k", 7, within=["split"], partitions=partitions, prefix=2)
+    assert laid.columns == plain.columns and laid.exceptAll(plain).isEmpty() and laid.rdd.getNumPartitions() == partitions
+    spans = laid.groupBy("split", F.spark_partition_id().alias("p")).agg(
+        F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n")).orderBy("split", "p").collect()
+    assert all(r["hi"] - r["lo"] + 1 == r["n"] for r in spans)
+    assert all(a["hi"] + 1 == b["lo"] for a, b in zip(spans, spans[1:]) if a["split"] == b["split"])
+
+
 @pytest.mark.parametrize("below", [0, 1, 37, 499, 500, 10_000])
 def test_bounded_rank(spark, below):
     got = sh.seeded_rank(spark.range(500).withColumnRenamed("id", "k"), "k", 7, below=below, prefix=2)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajspark.catalog import tables as src
+from trajspark.operators import shuffling as sh
 from trajspark.operators.bounds import normalize_actions
 from trajspark.session import materialize, scratch_path, scratch_root
 from trajspark.sources import frames as io
@@ -30,17 +31,19 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_training_set_files(spark, tmp_path):
+@pytest.mark.parametrize("in_order", [False, True])
+def test_training_set_files(spark, tmp_path, in_order):
     path = str(tmp_path / "set")
-    df = spark.range(1000).select(
-        F.when(F.col("id") < 950, "train").otherwise("val").alias("split"), F.col("id").alias("rank"),
-        F.call_function("div", F.col("id"), F.lit(32)).alias("batch_id"))
-    io.write_training_set(df, path, files=5)
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "train").otherwise("val").alias("split"), "id")
+    ranked = sh.seeded_rank(df, "id", 1, within=["split"], partitions=5 if in_order else None)
+    batched = sh.assign_batches(ranked, 32)
+    io.write_training_set(batched, path, in_order=in_order)
     back = spark.read.parquet(path)
-    assert back.select(df.columns).exceptAll(df).isEmpty() and back.count() == 1000
+    assert back.select(batched.columns).exceptAll(batched).isEmpty() and back.count() == 1000
     spans = (back.withColumn("f", F.input_file_name()).groupBy("split", "f")
              .agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n")).collect())
-    assert len(spans) >= 5 and all(r["hi"] - r["lo"] + 1 == r["n"] for r in spans)  # runs of consecutive ranks
+    assert all(r["hi"] - r["lo"] + 1 == r["n"] for r in spans)  # every file is a run of consecutive ranks
+    assert not in_order or (len(spans) == 10 and max(r["n"] for r in spans) < 300)
     pruned = plan_of(back.where("split = 'val'"))
     assert "PartitionFilters: [isnotnull(split" in pruned
 

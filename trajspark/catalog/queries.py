@@ -83,8 +83,9 @@ def write_training_set(spark, sf):
     path = scratch_path(spark, "training-set")
     splits = sh.split_episodes(src.order_episodes(spark, sf), FRACTION, SEED)
     frames = src.lineitem_frames(spark, sf).join(splits, "episode_index")
-    ranked = sh.seeded_rank(frames, FRAME_KEY, f"{SEED}:0", within=["split"])
-    io.write_training_set(sh.assign_batches(ranked, BATCH), path)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranked = sh.seeded_rank(frames, FRAME_KEY, f"{SEED}:0", within=["split"], partitions=shards)
+    io.write_training_set(sh.assign_batches(ranked, BATCH), path, in_order=True)
     return spark.read.parquet(path).select("split", "batch_id", "rank", "episode_index", "frame_index", "task_index")
 
 

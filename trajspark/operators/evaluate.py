@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +42,27 @@ def score_policy(
 
 
 def map_batches(batched: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
-    """Apply a pandas function to each batch; a batch holds at most ``batch_size`` rows."""
-    return batched.groupBy("batch_id").applyInPandas(fn, schema)
+    """Apply a pandas function to each batch and return its rows.
+
+    The rows are clustered by batch and come to Python in Arrow chunks of many batches, so the
+    cost of a hand-over is shared. A task holds one chunk and at most one unfinished batch.
+    """
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unfinished = None
+        for chunk in chunks:
+            rows = chunk if unfinished is None else pd.concat([unfinished, chunk], ignore_index=True)
+            ids = rows["batch_id"].to_numpy()
+            starts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            edges = [0, *starts]
+            results = [fn(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(edges, edges[1:])]
+            if results:
+                yield pd.concat(results, ignore_index=True)
+            unfinished = rows.iloc[edges[-1]:]
+        if unfinished is not None and len(unfinished):
+            yield fn(unfinished.reset_index(drop=True))
+
+    return batched.repartition("batch_id").sortWithinPartitions("batch_id").mapInPandas(run, schema)
 
 
 def prediction_error(

@@ -21,6 +21,7 @@ def seeded_rank(
     name: str = "rank",
     below: int | Column | None = None,
     within: Sequence[str] = (),
+    partitions: int | None = None,
     prefix: int = HASH_PREFIX,
 ) -> DataFrame:
     """Zero-based rank of every row in a pseudo-random order fixed by ``seed``; ``key`` is unique.
@@ -32,6 +33,10 @@ def seeded_rank(
     With ``below`` only ranks under that number are kept (all rows if there are fewer); buckets
     that lie beyond it are dropped before the shuffle. With ``within`` the ranks are counted per
     value of those columns, meant for a handful of values such as the splits.
+
+    With ``partitions`` the result comes in that many partitions which follow the rank: each is a
+    run of consecutive ranks (of every ``within`` value), as a writer of shards wants it. The
+    hash decides the partition, so this is the same single shuffle, without sampling.
     """
     keys = [key] if isinstance(key, str) else list(key)
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
@@ -45,13 +50,16 @@ def seeded_rank(
     if below is not None:
         limit = F.lit(below) if isinstance(below, int) else below
         starts = starts.where(F.col("_start") < limit)
-    inside = Window.partitionBy(*buckets).orderBy("_hash", *keys)
+    placed = hashed.join(F.broadcast(starts), buckets)
+    groups = buckets
+    if partitions is not None:
+        number = F.conv("_bucket", 16, 10).cast("long")
+        placed = placed.withColumn("_part", int_div(number * partitions, 16**prefix).cast("int"))
+        placed = placed.repartitionById(partitions, "_part")
+        groups = [*within, "_part", "_bucket"]
+    inside = Window.partitionBy(*groups).orderBy("_hash", *keys)
     local = F.sum(F.lit(1).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (
-        hashed.join(F.broadcast(starts), buckets)
-        .withColumn(name, F.col("_start") + local - 1)
-        .drop("_bucket", "_hash", "_start")
-    )
+    ranked = placed.withColumn(name, F.col("_start") + local - 1).drop("_bucket", "_hash", "_start", "_part")
     return ranked if below is None else ranked.where(F.col(name) < limit)
 
 

@@ -32,12 +32,17 @@ class TrainingPlan:
 
 
 def prepare_training_set(
-    frames: DataFrame, tasks: DataFrame, plan: TrainingPlan = TrainingPlan(), epoch: int = 0
+    frames: DataFrame,
+    tasks: DataFrame,
+    plan: TrainingPlan = TrainingPlan(),
+    epoch: int = 0,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Frames to batches: split, bounds, chunks, tasks, shuffled order, batch numbers.
 
     Every training frame is kept; validation is the bounded sample. Ranks and batches are
-    counted per split in one pass, so the chunks are computed once for both.
+    counted per split in one pass, so the chunks are computed once for both. With ``partitions``
+    the result is laid out in batch order, ready for ``write_training_set(..., in_order=True)``.
     """
     # The split is small (one row per episode) and must not change between its readers.
     splits = materialize(
@@ -55,6 +60,7 @@ def prepare_training_set(
         f"{plan.seed}:{epoch}",
         below=limit,
         within=["split"],
+        partitions=partitions,
     )
     size = F.when(is_train, F.lit(plan.batch_size)).otherwise(F.lit(val_size)).cast("long")
     return ranked.withColumn("batch_id", int_div(F.col("rank"), size))

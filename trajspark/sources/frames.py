@@ -63,16 +63,18 @@ def load_bounds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_training_set(
-    batched: DataFrame, path: str, by: str = "split", files: int | None = None, mode: str = "errorifexists"
+    batched: DataFrame, path: str, by: str = "split", in_order: bool = False, mode: str = "errorifexists"
 ) -> None:
     """Write batched frames, one folder per ``by`` value, each file a run of consecutive batches.
 
-    Rows are range-partitioned by (by, batch, rank): even files whatever the sizes of the
-    splits are, a batch is rarely cut, and a ``split`` filter reads only its own folder.
+    ``in_order`` says that the partitions follow the rank already (``seeded_rank`` with
+    ``partitions``): they are written as they are, without a shuffle. Otherwise the rows are
+    range-partitioned by (by, batch, rank), which gives even files whatever the sizes of the
+    splits. Either way a batch is rarely cut, and a ``split`` filter reads only its own folder.
     """
     order = [by, "batch_id", "rank"]
-    ranged = batched.repartitionByRange(files, *order) if files else batched.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).write.mode(mode).partitionBy(by).parquet(path)
+    placed = batched if in_order else batched.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.write.mode(mode).partitionBy(by).parquet(path)
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
