@@ -69,6 +69,12 @@ def test_long_vectors_take_the_lambda_form_with_the_same_result(spark, monkeypat
         normalize(spark, [[1.0]], pairs)
 
 
+@pytest.mark.parametrize("bad", [[(0, 1.0, 0.0)], [(1, 0.0, 1.0)], [(0, 0.0, 1.0), (0, 0.0, 1.0)], [(0, None, 1.0)], [(0, float("nan"), 1.0)]])
+def test_unfit_bounds_are_refused(spark, bad):
+    with pytest.raises(ValueError):
+        bd.normalize_actions(make_frames(spark, [[1.0]]), spark.createDataFrame(bad, "dim int, lower double, upper double"))
+
+
 def test_check_bounds(spark):
     good, bad = make_bounds(spark, [(0, 1), (2, 2)]), make_bounds(spark, [(0, 1), (3, 2)])
     assert bd.check_bounds(good) is good

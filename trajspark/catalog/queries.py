@@ -173,17 +173,12 @@ def ordinal_join(spark, sf):
 def prediction_error(spark, sf):
     """Errors on the original scale: chunks are normalised, compared, and unnormalised."""
     target = src.vector_chunks(spark, sf)
-    flat = F.flatten("action_chunk")
     bounds = bd.fit_bounds(target.select(F.explode("action_chunk").alias("action")), 0.0, 1.0)
-    box = bd.bounds_vector(bounds)
 
     def normalized(df: DataFrame, column: str) -> DataFrame:
-        boxed = df.withColumn("_box", box)
-        rows = F.transform(
-            column,
-            lambda row: F.zip_with(row, F.col("_box"), lambda x, b: bd.normalize_value(x, b["lower"], b["upper"])),
-        )
-        return boxed.withColumn(column, rows).drop("_box")
+        steps = df.select("vec_id", F.posexplode(column).alias("step", "action"))
+        cells = bd.normalize_actions(steps, bounds).select("vec_id", "step", F.posexplode("action").alias("dim", "value"))
+        return ch.stack_chunks(cells, "vec_id", column)
 
     errors = ev.prediction_error(
         normalized(src.next_vector_chunks(spark, sf), "predicted_chunk"), normalized(target, "action_chunk"), "vec_id", bounds

@@ -124,41 +124,49 @@ def assert_bounds(bounds: DataFrame) -> DataFrame:
     return bounds.withColumn("lower", F.when(_is_bad(), F.raise_error(message)).otherwise(F.col("lower")))
 
 
-def bounds_vector(bounds: DataFrame) -> Column:
-    """The bounds as one array, ordered by dimension: a scalar subquery, so no join is planned."""
-    return bounds.agg(F.array_sort(F.collect_list(F.struct("dim", "lower", "upper")))).scalar()
-
-
+# A bounds table has one row per action dimension; anything longer is not a bounds table.
+MAX_DIMS = 100_000
 # Up to this many dimensions the vector is mapped by one compiled expression per dimension, which
 # runs several times faster than a lambda over the array.
 UNROLLED_DIMS = 64
 
 
-def _apply(df: DataFrame, bounds: DataFrame, column: str, fn, dims: int | None) -> DataFrame:
-    dims = bounds.count() if dims is None else dims
-    box = F.col("_bounds")
-    if dims <= UNROLLED_DIMS:
-        each = [(F.get(column, F.lit(i)), F.get(box, F.lit(i))) for i in range(dims)]
-        mapped = F.array(*[fn(x, b["lower"], b["upper"]) for x, b in each])
+def read_bounds(bounds: DataFrame) -> list[tuple[float, float]]:
+    """The checked bounds as numbers, by dimension. They are settings of the run, not data."""
+    rows = bounds.select("dim", "lower", "upper").limit(MAX_DIMS + 1).collect()
+    pairs = {r["dim"]: (r["lower"], r["upper"]) for r in rows}
+    if len(rows) > MAX_DIMS or sorted(pairs) != list(range(len(rows))):
+        raise ValueError("bounds need exactly one row for each dimension 0, 1, 2, ...")
+    ordered = [pairs[dim] for dim in range(len(rows))]
+    if not all(lower is not None and upper is not None and lower <= upper for lower, upper in ordered):
+        raise ValueError("a lower bound is larger than its upper bound")
+    return ordered
+
+
+def _apply(df: DataFrame, bounds: DataFrame, column: str, fn) -> DataFrame:
+    pairs = read_bounds(bounds)
+    vector = F.col(column)
+    if len(pairs) <= UNROLLED_DIMS:
+        mapped = F.array(*[fn(F.get(vector, F.lit(i)), F.lit(lo), F.lit(hi)) for i, (lo, hi) in enumerate(pairs)])
     else:
-        mapped = F.zip_with(column, box, lambda x, b: fn(x, b["lower"], b["upper"]))
-    fits = (F.size(column) == dims) & (F.size(box) == dims)
-    return df.withColumn("_bounds", bounds_vector(bounds)).withColumn(
+        box = F.array(*[F.struct(F.lit(lo).alias("lower"), F.lit(hi).alias("upper")) for lo, hi in pairs])
+        mapped = F.zip_with(vector, box, lambda x, b: fn(x, b["lower"], b["upper"]))
+    mismatch = F.raise_error(F.lit("vector and bounds differ in length"))
+    return df.withColumn(
         column,
-        F.when(F.col(column).isNull(), F.col(column))
-        .when(fits, mapped)
-        .otherwise(F.raise_error(F.lit("vector and bounds differ in length"))),
-    ).drop("_bounds")
+        F.when(vector.isNull(), vector).when(F.size(vector) == len(pairs), mapped).otherwise(mismatch),
+    )
 
 
-def normalize_actions(df: DataFrame, bounds: DataFrame, column: str = "action", dims: int | None = None) -> DataFrame:
+def normalize_actions(df: DataFrame, bounds: DataFrame, column: str = "action") -> DataFrame:
     """Clamp each action to its bounds and map it linearly to [-1, 1].
 
-    ``dims`` is the vector length; if not given it is counted from ``bounds``, a small stored table.
+    The bounds enter the plan as constants, so this is a projection: no join, no shuffle. Works on
+    streams as well.
     """
-    return _apply(df, bounds, column, normalize_value, dims)
+    return _apply(df, bounds, column, normalize_value)
 
 
-def unnormalize_actions(df: DataFrame, bounds: DataFrame, column: str = "action", dims: int | None = None) -> DataFrame:
+def unnormalize_actions(df: DataFrame, bounds: DataFrame, column: str = "action") -> DataFrame:
     """Inverse of :func:`normalize_actions` on the clamped values."""
-    return _apply(df, bounds, column, unnormalize_value, dims)
+    return _apply(df, bounds, column, unnormalize_value)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark.functions.numeric import format_fixed4, unnormalize_value
-from trajspark.operators.bounds import bounds_vector
+from trajspark.operators.bounds import read_bounds
 from trajspark.operators.chunks import stack_vector
 
 
@@ -100,9 +100,10 @@ def chunk_error(
     )
     predicted, actual = F.col("_c.p"), F.col("_c.t")
     if bounds is not None:
-        cells = cells.withColumn("_b", bounds_vector(bounds)[F.col("dim")])
-        predicted = unnormalize_value(predicted, F.col("_b.lower"), F.col("_b.upper"))
-        actual = unnormalize_value(actual, F.col("_b.lower"), F.col("_b.upper"))
+        pairs = read_bounds(bounds)
+        lower = F.get(F.array(*[F.lit(lo) for lo, _ in pairs]), F.col("dim"))
+        upper = F.get(F.array(*[F.lit(hi) for _, hi in pairs]), F.col("dim"))
+        predicted, actual = unnormalize_value(predicted, lower, upper), unnormalize_value(actual, lower, upper)
     return cells.select(
         *keep, "step", "dim", actual.alias("target"), predicted.alias("predicted"), (predicted - actual).alias("error")
     )
