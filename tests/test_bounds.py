@@ -121,6 +121,12 @@ def test_fit_skips_null_and_nan_and_may_use_some_episodes(spark):
     assert bd.fit_bounds(df, 0.0, 1.0, exact=False).where("dim = 0").first()["upper"] == 1000.0
 
 
+def test_sketch_stays_within_its_rank_error(spark):
+    data = np.random.default_rng(0).lognormal(size=5000)
+    (r,) = bd.fit_bounds(make_frames(spark, [[x] for x in data]), 0.1, 0.9, exact=False, accuracy=100).collect()
+    assert abs((data <= r["lower"]).mean() - 0.1) <= 0.011 and abs((data <= r["upper"]).mean() - 0.9) <= 0.011
+
+
 def test_bounds_from_stats(spark):
     stats = spark.createDataFrame([([0.0, 1.0], [2.0, 3.0])], "q01 array<double>, q99 array<double>")
     assert [tuple(r) for r in bd.bounds_from_stats(stats).orderBy("dim").collect()] == [(0, 0.0, 2.0), (1, 1.0, 3.0)]

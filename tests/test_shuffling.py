@@ -27,6 +27,13 @@ def test_rank_with_several_keys_and_groups(spark):
         assert [r["rank"] for r in want] == list(range(100))
 
 
+def test_rank_counted_from_a_cheaper_table(spark):
+    keys = spark.range(300).withColumnRenamed("id", "k")
+    rich = keys.withColumn("x", F.col("k") * 2)
+    got = sh.seeded_rank(rich, "k", 7, count_from=keys, prefix=2)
+    assert got.exceptAll(sh.seeded_rank(rich, "k", 7, prefix=2)).isEmpty() and got.count() == 300
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 16])
 def test_rank_laid_out_in_order(spark, partitions):
     df = spark.range(600).select((F.col("id") % 4 == 0).alias("split"), F.col("id").alias("k"))

@@ -356,14 +356,16 @@ def repeat_samples(rows: DataFrame, n: int, mode: str = "row") -> DataFrame:
     ``rows`` has (sample, row) with ``row`` = 0, 1, ... in its sample. In mode ``row`` the copies
     of a row stay together; in mode ``block`` the whole sample is repeated as a block.
     """
-    copies = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    repeat = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     if mode == "row":
-        return copies.withColumn("position", F.col("row") * n + F.col("repeat"))
+        return rows.withColumn("repeat", repeat).withColumn("position", F.col("row") * n + F.col("repeat"))
     if mode != "block":
         raise ValueError("mode is 'row' or 'block'")
+    # The lengths join before the rows multiply, so the copies are never shuffled.
     lengths = rows.groupBy("sample").agg(F.count(F.lit(1)).alias("_length"))
     return (
-        copies.join(lengths, "sample")
+        rows.join(lengths, "sample")
+        .withColumn("repeat", repeat)
         .withColumn("position", F.col("repeat") * F.col("_length") + F.col("row"))
         .drop("_length")
     )

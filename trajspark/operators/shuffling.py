@@ -21,6 +21,7 @@ def seeded_rank(
     name: str = "rank",
     below: int | Column | None = None,
     within: Sequence[str] = (),
+    count_from: DataFrame | None = None,
     partitions: int | None = None,
     prefix: int = HASH_PREFIX,
 ) -> DataFrame:
@@ -37,14 +38,23 @@ def seeded_rank(
     With ``partitions`` the result comes in that many partitions which follow the rank: each is a
     run of consecutive ranks (of every ``within`` value), as a writer of shards wants it. The
     hash decides the partition, so this is the same single shuffle, without sampling.
+
+    Counting the buckets reads only the key columns, yet it does evaluate ``df``. Where a
+    cheaper table has the same keys (frames before chunks and tasks are attached), name it in
+    ``count_from``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    hashed = df.withColumn("_hash", F.md5(text)).withColumn("_bucket", F.substring("_hash", 1, prefix))
+
+    def hash_rows(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_hash", F.md5(text)).withColumn("_bucket", F.substring("_hash", 1, prefix))
+
+    hashed = hash_rows(df)
+    counted = hashed if count_from is None else hash_rows(count_from)
     buckets = [*within, "_bucket"]
     spec = Window.partitionBy(*within) if within else Window
     earlier = spec.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = hashed.groupBy(*buckets).agg(F.count(F.lit(1)).alias("_n")).select(
+    starts = counted.groupBy(*buckets).agg(F.count(F.lit(1)).alias("_n")).select(
         *buckets, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
     )
     if below is not None:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.operators.bounds import check_bounds, fit_bounds
+from trajspark.operators.bounds import fit_bounds
 from trajspark.operators.chunks import action_chunk
 from trajspark.operators.evaluate import chunk_error, score_policy, validation_loss
 from trajspark.operators.shuffling import assign_batches, bounded_sample, seeded_rank, split_episodes
@@ -44,22 +44,23 @@ def prepare_training_set(
     counted per split in one pass, so the chunks are computed once for both. With ``partitions``
     the result is laid out in batch order, ready for ``write_training_set(..., in_order=True)``.
     """
-    # The split is small (one row per episode) and must not change between its readers.
-    splits = materialize(
-        split_episodes(frames.select("episode_index").distinct(), plan.train_fraction, plan.seed), "splits"
-    )
+    # One row per episode, read several times; and the split must not change between its readers.
+    episodes = materialize(frames.select("episode_index").distinct(), "episodes")
+    splits = materialize(split_episodes(episodes, plan.train_fraction, plan.seed), "splits")
     fit_episodes = splits.where("split = 'train'") if plan.fit_on == "train" else None
-    bounds = check_bounds(fit_bounds(frames, *plan.quantiles, episodes=fit_episodes))
-    chunks = action_chunk(frames.join(splits, "episode_index"), plan.chunk_len, bounds)
+    bounds = fit_bounds(frames, *plan.quantiles, episodes=fit_episodes)
+    labelled = frames.join(splits, "episode_index")
+    chunks = attach_task(action_chunk(labelled, plan.chunk_len, bounds), tasks)
     val_size = plan.val_batch_size or plan.batch_size
     is_train = F.col("split") == "train"
     limit = F.when(is_train, F.lit(2**63 - 1)).otherwise(F.lit(plan.max_val_batches * val_size))
     ranked = seeded_rank(
-        attach_task(chunks, tasks),
+        chunks,
         ["episode_index", "frame_index"],
         f"{plan.seed}:{epoch}",
         below=limit,
         within=["split"],
+        count_from=labelled,
         partitions=partitions,
     )
     size = F.when(is_train, F.lit(plan.batch_size)).otherwise(F.lit(val_size)).cast("long")
