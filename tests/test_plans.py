@@ -16,6 +16,7 @@ from trajspark.operators import layout as lay
 from trajspark.operators import shuffling as sh
 from trajspark.operators.bounds import normalize_actions
 from trajspark.operators.episodes import project_keys, select_episodes
+from trajspark.operators.tasks import attach_task
 
 NO_PAIRS = re.compile("CartesianProduct|BroadcastNestedLoopJoin")
 
@@ -54,14 +55,46 @@ def test_entry(spark):
 def test_chunks_of_numbered_frames_shuffle_once(spark, sf):
     frames = src.event_frames(spark, sf)
     assert shuffles(frames) == 1
-    assert shuffles(ch.action_chunk(frames, 8)) == 1
+    assert shuffles(ch.action_chunk(frames, 8, keep_partitioning=True)) == 1
     bounds = spark.createDataFrame([(0, 0.0, 1.0)], "dim int, lower double, upper double")
-    assert shuffles(ch.action_chunk(frames, 8, bounds)) == 1
+    assert shuffles(ch.action_chunk(frames, 8, bounds, keep_partitioning=True)) == 1
 
 
-def test_chunk_windows_are_keyed_by_block(spark, sf):
+def test_blocks_are_spread_even_if_the_input_is_partitioned_by_group(spark):
     stored = spark.createDataFrame([], "episode_index long, frame_index long, action array<double>")
-    assert re.search(r"Exchange hashpartitioning\(episode_index#\w+, _block#\w+", plan_of(ch.action_chunk(stored, 8)))
+    by_block = r"Exchange hashpartitioning\(episode_index#\w+, _block#\w+"
+    assert re.search(by_block, plan_of(ch.action_chunk(stored, 8)))
+    assert re.search(by_block, plan_of(ch.action_chunk(stored.repartition("episode_index"), 8)))
+    tokens = spark.createDataFrame([], "sample long, pos long, token string, mask int").repartition("sample")
+    assert re.search(r"Exchange hashpartitioning\(sample#\w+, _block#\w+", plan_of(lay.text_positions(tokens)))
+
+
+def test_adaptive_execution_splits_a_hot_key_in_joins(spark):
+    """Half of all frames share a task and an episode; both joins must be allowed to split it."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        key = F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id"))
+        frames = spark.range(0, 200_000, 1, 32).select(key.alias("episode_index"), key.alias("task_index"), F.col("id").alias("x"))
+        tasks = spark.range(200_000).select(F.col("id").alias("task_index"), F.lit("t").alias("task"))
+        joined = [attach_task(frames, tasks), select_episodes(frames, tasks.select(F.col("task_index").alias("episode_index")))]
+        for df in joined:
+            df.write.format("noop").mode("overwrite").save()
+            assert df.count() == 200_000
+            rows = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+            assert rows < 80_000, rows  # the hot key alone has 100,000
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def test_row_wise_operators_do_not_shuffle(spark, sf):

@@ -19,7 +19,7 @@ from trajspark.operators import shuffling as sh
 from trajspark.operators import tasks as tk
 from trajspark.plans.ordered import ordered_index
 from trajspark.plans.training import TrainingPlan, evaluate_policy, prepare_training_set
-from trajspark.session import scratch_path
+from trajspark.session import materialize, scratch_path
 from trajspark.sources import frames as io
 from trajspark.streaming import streams
 
@@ -81,7 +81,7 @@ def saved_bounds(spark, sf):
 @query
 def write_training_set(spark, sf):
     path = scratch_path(spark, "training-set")
-    splits = sh.split_episodes(src.order_episodes(spark, sf), FRACTION, SEED)
+    splits = materialize(sh.split_episodes(src.order_episodes(spark, sf), FRACTION, SEED), "splits")
     frames = src.lineitem_frames(spark, sf).join(splits, "episode_index")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = sh.seeded_rank(frames, FRAME_KEY, f"{SEED}:0", within=["split"], partitions=shards)
@@ -129,7 +129,7 @@ def drop_padding(spark, sf):
 
 @query
 def validate_chunks(spark, sf):
-    chunks = ch.action_chunk(src.event_frames(spark, sf), CHUNK)
+    chunks = ch.action_chunk(src.event_frames(spark, sf), CHUNK, keep_partitioning=True)
     bad = F.col("action_chunk").isNull() | (F.size("action_chunk") != CHUNK)
     return ch.validate_chunks(chunks, CHUNK).agg(
         F.count(F.lit(1)).alias("n_chunks"), F.count_if(bad).alias("n_invalid")
@@ -282,14 +282,14 @@ def image_token_count(spark, sf):
 
 @query
 def action_chunk(spark, sf):
-    return long_chunks(ch.action_chunk(src.event_frames(spark, sf), CHUNK), ["event_id"])
+    return long_chunks(ch.action_chunk(src.event_frames(spark, sf), CHUNK, keep_partitioning=True), ["event_id"])
 
 
 @query
 def action_chunk_normalized(spark, sf):
     frames = src.event_frames(spark, sf)
     bounds = bd.fit_bounds(frames)
-    return long_chunks(ch.action_chunk(frames, CHUNK, bounds), ["event_id"])
+    return long_chunks(ch.action_chunk(frames, CHUNK, bounds, keep_partitioning=True), ["event_id"])
 
 
 @query

@@ -18,6 +18,7 @@ def action_chunk(
     k: int,
     bounds: DataFrame | None = None,
     block_rows: int = CHUNK_BLOCK,
+    keep_partitioning: bool = False,
 ) -> DataFrame:
     """Add ``action_chunk``: this and the next ``k - 1`` actions of the same episode.
 
@@ -26,24 +27,25 @@ def action_chunk(
     in every episode; a gap fails the query (use ``frame_index()`` to number frames again).
 
     Frames are grouped by (episode, block of frame indexes) and the first ``k - 1`` frames of a
-    block are also sent to the block before it, so an episode is never one task. Input
-    that is already partitioned by episode is not shuffled again.
+    block are also sent to the block before it, so an episode is never one task. This is the one
+    shuffle. ``keep_partitioning`` lets input that is already partitioned by episode stay where it
+    is; ask for it only if episodes are known to be small, as straight after ``frame_index()``.
     """
     if k < 1:
         raise ValueError("a chunk needs at least one step")
     block_rows = max(block_rows, k)
-    columns = [c for c in frames.columns]
+    columns = frames.columns
+    frames = frames.withColumn("_step", F.col("action"))
     if bounds is not None:
-        frames = frames.withColumn("_step", F.col("action"))
         frames = normalize_actions(frames, bounds, "_step")
-    else:
-        frames = frames.withColumn("_step", F.col("action"))
     position = F.col("frame_index").cast("long")
     home = int_div(position, block_rows)
     is_head = (F.pmod(position, F.lit(block_rows)) < k - 1) & (home > 0)
     spread = frames.withColumn(
         BLOCK, F.explode(F.when(is_head, F.array(home, home - 1)).otherwise(F.array(home)))
     )
+    if not keep_partitioning:
+        spread = spread.repartition("episode_index", BLOCK)
     order = Window.partitionBy("episode_index", BLOCK).orderBy("frame_index")
     # Wrapped in a struct because collect_list would skip a NULL action and shift the steps.
     steps = F.collect_list(F.struct(F.col("_step").alias("a"))).over(order.rowsBetween(0, k - 1))

@@ -337,7 +337,7 @@ def assign_segment(positions: DataFrame, spans: DataFrame, block_rows: int = BLO
         F.struct(*columns).alias("_row"),
     )
     in_order = Window.partitionBy("sample", BLOCK).orderBy("_at", F.col("_row").isNotNull())
-    marked = placed.unionByName(marks, allowMissingColumns=True).select(
+    marked = placed.unionByName(marks, allowMissingColumns=True).repartition("sample", BLOCK).select(
         "_row", "_at",
         F.last("_span", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("_span"),
     )

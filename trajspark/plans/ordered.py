@@ -55,7 +55,9 @@ def _add_totals(
     carried = F.broadcast(carried) if few_blocks else carried
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = [F.col(c) for c in blocked.columns if c != BLOCK]
-    return blocked.join(carried, keys, "left").select(
+    # The shuffle by block is spelled out: rows that happen to arrive partitioned by group would
+    # satisfy the window as they are, with a large group in one task.
+    return blocked.repartition(*keys).join(carried, keys, "left").select(
         *kept,
         *[(F.sum(v).over(inside) + F.coalesce(f"_carry_{n}", F.lit(0))).alias(n) for n, v in totals.items()],
     )

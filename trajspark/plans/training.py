@@ -49,18 +49,18 @@ def prepare_training_set(
     splits = materialize(split_episodes(episodes, plan.train_fraction, plan.seed), "splits")
     fit_episodes = splits.where("split = 'train'") if plan.fit_on == "train" else None
     bounds = fit_bounds(frames, *plan.quantiles, episodes=fit_episodes)
-    labelled = frames.join(splits, "episode_index")
-    chunks = attach_task(action_chunk(labelled, plan.chunk_len, bounds), tasks)
+    # Chunks come first: a join on the episode would leave long episodes in one task for them.
+    chunks = action_chunk(frames, plan.chunk_len, bounds).join(splits, "episode_index")
     val_size = plan.val_batch_size or plan.batch_size
     is_train = F.col("split") == "train"
     limit = F.when(is_train, F.lit(2**63 - 1)).otherwise(F.lit(plan.max_val_batches * val_size))
     ranked = seeded_rank(
-        chunks,
+        attach_task(chunks, tasks),
         ["episode_index", "frame_index"],
         f"{plan.seed}:{epoch}",
         below=limit,
         within=["split"],
-        count_from=labelled,
+        count_from=frames.join(splits, "episode_index"),
         partitions=partitions,
     )
     size = F.when(is_train, F.lit(plan.batch_size)).otherwise(F.lit(val_size)).cast("long")
