@@ -62,7 +62,10 @@ def map_batches(batched: DataFrame, fn: Callable, schema: str | T.StructType) ->
         if unfinished is not None and len(unfinished):
             yield fn(unfinished.reset_index(drop=True))
 
-    return batched.repartition("batch_id").sortWithinPartitions("batch_id").mapInPandas(run, schema)
+    # A fixed number of partitions, because adaptive execution would merge rows by their bytes and
+    # knows nothing of the Python work on them.
+    tasks = int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return batched.repartition(tasks, "batch_id").sortWithinPartitions("batch_id").mapInPandas(run, schema)
 
 
 def prediction_error(
