@@ -59,8 +59,10 @@ def test_split_form_is_used_and_spreads_the_large_group(spark, skewed, monkeypat
     monkeypatch.setattr(ordered, "materialize", lambda df, name: written.append(real(df, name)) or written[-1])
     df = spark.createDataFrame(skewed, "g long, p long, v long")
     ordered.ordered_index(df, ["g"], ["p"], "i", rows_per_task=50).collect()
-    assert len(written) == 1
-    blocks = written[0].where("g = 1").groupBy(ordered.BLOCK).count().collect()
+    large, ranges = written
+    assert sorted(r["g"] for r in large.collect()) == [1, 3]
+    assert {r["g"] for r in ranges.select("g").distinct().collect()} == {1, 3}  # only they are written
+    blocks = ranges.where("g = 1").groupBy(ordered.BLOCK).count().collect()
     assert len(blocks) >= 8
     assert max(r["count"] for r in blocks) <= 150  # sampled ranges are uneven, yet no block is the group
 

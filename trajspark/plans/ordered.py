@@ -72,6 +72,7 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running totals of each group by an integer ``position``, unique in its group.
 
+    Group columns must not be NULL (block totals are joined back on them).
     Blocks are ``position div block_rows``: known without looking at the data, so the plan is
     lazy and a retried task lands on the same blocks.
     """
@@ -88,18 +89,34 @@ def ordered_totals(
 ) -> DataFrame:
     """Inclusive running totals of each group by any ``order`` that has no ties in a group.
 
-    The group sizes are counted first. If every group fits a task one window does it. Otherwise
-    the rows are range-partitioned by (group, order), which cuts a large group at sampled keys,
-    and written once, so that the blocks are the same for every reader.
+    The group sizes are counted first. Groups that fit a task go through one window. The rows of
+    larger groups (or of the whole table, if ``group`` is empty) are range-partitioned by (group,
+    order), which cuts a group at sampled keys, and written once, so that the blocks are the same
+    for every reader.
     """
     largest, total = largest_group(df, group)
     if largest <= rows_per_task:
-        spec = Window.partitionBy(*group) if group else Window
-        frame = spec.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(v).over(frame).alias(n) for n, v in totals.items()])
+        return _in_one_window(df, group, order, totals)
+    small = None
+    if group:
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > rows_per_task)
+        # Fewer than total / rows_per_task rows, whatever the number of groups.
+        large = materialize(sizes, "large-groups")
+        names = F.broadcast(large.select(*group))
+        columns = df.columns
+        small = _in_one_window(df.join(names, list(group), "left_anti").select(*columns), group, order, totals)
+        df = df.join(names, list(group), "left_semi").select(*columns)
+        total = large.agg(F.sum("_size")).first()[0]
     partitions = 2 * -(-total // rows_per_task)
     ranged = df.repartitionByRange(partitions, *group, *order).withColumn(BLOCK, F.spark_partition_id())
-    return _add_totals(materialize(ranged, "ranges"), group, order, totals, few_blocks=True)
+    split = _add_totals(materialize(ranged, "ranges"), group, order, totals, few_blocks=True)
+    return split if small is None else small.unionByName(split)
+
+
+def _in_one_window(df: DataFrame, group: Sequence[str], order: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+    spec = Window.partitionBy(*group) if group else Window
+    frame = spec.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", *[F.sum(v).over(frame).alias(n) for n, v in totals.items()])
 
 
 def ordered_index(
