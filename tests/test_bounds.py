@@ -123,7 +123,7 @@ def test_fit_skips_null_and_nan_and_may_use_some_episodes(spark):
 
 def test_sketch_stays_within_its_rank_error(spark):
     data = np.random.default_rng(0).lognormal(size=5000)
-    (r,) = bd.fit_bounds(make_frames(spark, [[x] for x in data]), 0.1, 0.9, exact=False, accuracy=100).collect()
+    (r,) = bd.fit_bounds(make_frames(spark, [[float(x)] for x in data]), 0.1, 0.9, exact=False, accuracy=100).collect()
     assert abs((data <= r["lower"]).mean() - 0.1) <= 0.011 and abs((data <= r["upper"]).mean() - 0.9) <= 0.011
 
 
