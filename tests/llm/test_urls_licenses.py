@@ -1,0 +1,91 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import odd_texts
+from trajspark.llm import licenses, urls
+from trajspark.llm.queries import URL_RULES
+
+
+def plain_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match(r"[^?#]*", rest[len(host):])[0]
+
+
+def plain_rule(host, path):
+    fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits, key=lambda r: len(str(r)), default=None)
+
+
+def test_odd_urls(spark):
+    given = [None, "", "no mark", "http://", "http://A.Example.COM", "http://example.com/en/1", "http://www.example.com/en/1?x=/es/",
+             "https://x.www.example.com/en/#a", "ftp://a.net/es/1", "http://a.net/es", "http://anet/es/", "http://notexample.com/en/",
+             "http://a.net#/es/", "http://a.net?/es/", "a://b://c.com/d", "http://É.com/Ü", "http://com/", "http://a.net/fr/\nx", "http://x.org/" + "a/" * 500]
+    rows = [(i, u, "h", 1) for i, u in enumerate(given)] + [(None, given[5], None, 1), (5, given[5], None, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict int")
+    found = urls.judge(pages, URL_RULES).collect()
+    assert len(found) == len(rows)
+    seen = {r.page_id: r for r in found}
+    for i, u in enumerate(given):
+        host, path = plain_url(u)
+        rule = plain_rule(host, path)
+        r = seen[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule and str(rule)), u
+        assert r.verdict == (rule.verdict if rule else r.verdict) and r.verdict in ("allow", "block")
+    assert urls.judge(pages.limit(0), URL_RULES).collect() == []
+
+
+def test_tree_generalises_merges_and_rejects(spark):
+    rows = []
+    for i in range(200):
+        rows += [("h", f"/spam/{i}/x{i}", 1), ("h", f"/junk/{i}", 1), ("h", f"/news/{i}", 0), ("h", f"/blog/post-{chr(97 + i % 26)}{i % 7}", None)]
+    frame = spark.createDataFrame(rows, "host string, path string, bad int")
+    found = {(r.shape): r for r in urls.path_templates(frame).collect()}
+    assert found["spam/{n}/x{n}"].template.startswith("/junk|spam/{n}/")
+    assert found["news/{n}"].template.startswith("/news/{n}") and found["news/{n}"].bad == 0
+    assert found["spam/{n}/x{n}"].bad == found["spam/{n}/x{n}"].labelled == 200
+    assert all(r.template.startswith("/blog/") for s, r in found.items() if s.startswith("blog"))
+
+
+def test_rejected_templates_block_pages_without_a_rule(spark):
+    rules = [urls.Rule("bad.com", "/a/1", urls.BLOCK), urls.Rule("bad.com", "/b/", urls.ALLOW)]
+    pages = [(i, f"http://bad.com/a/{i}") for i in range(1, 200)] + [(1000 + i, f"http://bad.com/b/{i}") for i in range(50)]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    found = {r.page_id: r.verdict for r in urls.judge(frame, rules).collect()}
+    assert found[2] == found[99] == urls.BLOCK and found[1000] == urls.ALLOW
+
+
+def plain_scan(text):
+    words = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places, labels = [], set()
+    for t in licenses.TEMPLATES:
+        if t.base:
+            own = t.text.split()
+            at = [i for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own]
+            places += at
+            labels |= {t.label} if at else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_odd_texts_and_near_notices(docs):
+    notice = licenses.TEMPLATES[8].text
+    texts = odd_texts() + [
+        "MIT License", "mit-license", "the MIT\nLicense. Apache License; apache license CC BY", "gnu general gnu general public license public license",
+        "cc", "by cc", "cc by by cc by", "mit license " * 2000, notice.upper(), notice.replace("granted", "hereby granted, free"),
+        " ".join(notice.split()[:6]), "émit license", "mit licenseé", "Apache\u212a License",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "mit license"), (18, "mit license"), (18, "mit license")]
+    found = licenses.scan(docs(rows).withColumns({c: F.lit(7) for c in ("row", "w", "label", "template")})).collect()
+    assert len(found) == len(rows)
+    seen = {r.doc_id: r for r in found}
+    for i, t in enumerate(texts):
+        r = seen[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_scan(t), t and t[:60]
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    at = texts.index(notice.upper())
+    assert seen[at].labels == "mit" and seen[at].score == 1.0 and seen[at + 1].labels == "mit" and 0.75 <= seen[at + 1].score < 1
+    assert seen[at + 2].labels == ""
+    assert licenses.scan(docs([])).collect() == []

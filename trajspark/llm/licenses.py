@@ -143,7 +143,7 @@ def scan_sql(templates: list[Template] = TEMPLATES) -> str:
         ), spans AS (
             SELECT row, template, label, base, pairs, span, bit_count(bit_or(marks)) / pairs AS cover, max(high) - min(low) + 2 AS wide,
                    count(exact) AS places, min(exact) AS first, max(exact) AS last
-            FROM numbered GROUP BY ALL
+            FROM numbered GROUP BY row, template, label, base, pairs, span
         ), held AS (
             SELECT *, CASE WHEN base THEN places > 0 ELSE cover >= {COVER} AND wide <= {STRETCH} * (pairs + 1) END AS holds FROM spans
         ), found AS (

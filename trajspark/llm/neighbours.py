@@ -100,24 +100,24 @@ def search_block(query_ids, queries, ids, vectors, codes, factor, error, k: int)
     """(query position, candidate position, score) of the best k candidates of each query, but for its own id."""
     turn = rotation(queries.shape[1])
     signs = (np.unpackbits(codes, axis=1, count=len(turn)).astype(np.float32) * 2) - 1
-    estimate = ((queries @ turn.T).astype(np.float32) @ signs.T) * factor.astype(np.float32)
-    bound = np.linalg.norm(queries, axis=1).astype(np.float32)[:, None] * error.astype(np.float32)
-    place = np.searchsorted(ids, query_ids)
-    own = ids[np.minimum(place, len(ids) - 1)] == query_ids
-    estimate[own, place[own]] = -np.inf
+    length = np.linalg.norm(queries, axis=1)
+    turned = ((queries / length[:, None]) @ turn.T).astype(np.float32)
     by_query, by_id = np.ascontiguousarray(queries.T), np.ascontiguousarray(vectors.T)
-
-    # The bar: the k-th best exact score among the k best estimates. No more than k candidates: no bar.
-    bar = np.full(len(queries), -np.inf)
-    if len(ids) > k + 1:
-        top = np.argpartition(-estimate, k - 1, axis=1)[:, :k]
-        exact = products(by_query, np.repeat(np.arange(len(queries)), k), by_id, top.ravel()).reshape(-1, k)
-        bar = exact.min(axis=1)
     kept = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
     rows_at_once = max(1, PAIRS // len(ids))
     for at in range(0, len(queries), rows_at_once):
         part = slice(at, at + rows_at_once)
-        reach = (estimate[part] + bound[part] >= bar[part, None]) & (estimate[part] > -np.inf)
+        estimate = (turned[part] @ signs.T) * factor * length[part, None]
+        reach = np.ones(estimate.shape, bool)
+        place = np.minimum(np.searchsorted(ids, query_ids[part]), len(ids) - 1)
+        own = np.flatnonzero(ids[place] == query_ids[part])
+        reach[own, place[own]] = False
+        if len(ids) > k + 1:
+            # The bar: the k-th best exact score among the k best estimates.
+            top = np.argpartition(np.where(reach, -estimate, np.inf), k - 1, axis=1)[:, :k]
+            rows = np.repeat(np.arange(at, at + len(top)), k)
+            bar = products(by_query, rows, by_id, top.ravel()).reshape(-1, k).min(axis=1)
+            reach &= ~(estimate + error * length[part, None] < bar[:, None])
         q, c = np.nonzero(reach)
         q += at
         score = products(by_query, q, by_id, c)

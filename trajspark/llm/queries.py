@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import dedup, language, licenses, neighbours, packing, quality, simhash, urls, warc
+from trajspark.llm import dedup, language, licenses, neighbours, packing, quality, segmentation, simhash, urls, warc
 from trajspark.llm.common import table
 
 # The rules that the pages are judged by.
@@ -26,6 +27,10 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op3_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
@@ -37,8 +42,6 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -69,6 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_templates": op1_url_templates,
     "op2_warc_archives": op2_warc_archives,
+    "op3_nbest_pieces": op3_nbest_pieces,
     "op4_one_bit_search": op4_one_bit_search,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
