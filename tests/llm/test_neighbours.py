@@ -9,6 +9,14 @@ from trajspark.llm import neighbours as nn
 SCHEMA = "vec_id long, embedding array<float>, label int, rank int, dim string"
 
 
+def product(v, w):
+    """Added up in order, without the corrections that sum() makes."""
+    total = 0.0
+    for a, b in zip(v, w):
+        total += a * b
+    return total
+
+
 def brute(rows, k):
     known = {}
     for i, v in rows:
@@ -19,7 +27,7 @@ def brute(rows, k):
     out = {}
     for q, v in known.items():
         if q % 20 == 0:
-            scored = [(-sum(a * b for a, b in zip(v, w)), c) for c, w in known.items() if c != q and len(w) == len(v)]
+            scored = [(-product(v, w), c) for c, w in known.items() if c != q and len(w) == len(v)]
             out[q] = [(r, c, -s) for r, (s, c) in enumerate(sorted(scored)[:k], 1)]
     return {q: x for q, x in out.items() if x}
 

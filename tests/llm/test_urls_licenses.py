@@ -46,7 +46,7 @@ def test_tree_generalises_merges_and_rejects(spark):
     found = {(r.shape): r for r in urls.path_templates(frame).collect()}
     assert found["spam/{n}/x{n}"].template.startswith("/junk|spam/{n}/")
     assert found["news/{n}"].template.startswith("/news/{n}") and found["news/{n}"].bad == 0
-    assert found["spam/{n}/x{n}"].bad == found["spam/{n}/x{n}"].labelled == 200
+    assert found["spam/{n}/x{n}"].bad == found["spam/{n}/x{n}"].labelled == 400  # merged with junk
     assert all(r.template.startswith("/blog/") for s, r in found.items() if s.startswith("blog"))
 
 
@@ -74,7 +74,7 @@ def test_odd_texts_and_near_notices(docs):
     notice = licenses.TEMPLATES[8].text
     texts = odd_texts() + [
         "MIT License", "mit-license", "the MIT\nLicense. Apache License; apache license CC BY", "gnu general gnu general public license public license",
-        "cc", "by cc", "cc by by cc by", "mit license " * 2000, notice.upper(), notice.replace("granted", "hereby granted, free"),
+        "cc", "by cc", "cc by by cc by", "mit license " * 2000, notice.upper(), notice.replace("granted", "given, quite"),
         " ".join(notice.split()[:6]), "émit license", "mit licenseé", "Apache\u212a License",
     ]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "mit license"), (18, "mit license"), (18, "mit license")]

@@ -38,7 +38,7 @@ def test_odd_pages_come_back(spark):
 
 def test_small_archives_are_rotated_and_readable_by_others(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"{i} " * 2000, "") for i in range(40)], SCHEMA)
-    manifest = warc.write_archives(pages, scratch_path(spark, "small"), archive_bytes=5000).collect()
+    manifest = warc.write_archives(pages, scratch_path(spark, "small"), archive_bytes=1000).collect()
     assert len(manifest) > 4 and sum(r.records for r in manifest) == 40
     for r in manifest:
         with zipfile.ZipFile(r.archive.removeprefix("file://").removeprefix("file:")) as archive:

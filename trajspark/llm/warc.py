@@ -95,7 +95,7 @@ def directory(ranges: Ranges) -> dict[str, tuple[int, int]]:
     """(first byte, bytes) of each stored member. Fails on a compressed member or a broken directory."""
     tail_at = max(0, ranges.size - END_SIZE - COMMENT)
     tail = ranges.read(tail_at, ranges.size - tail_at)
-    at = tail.rfind(END)
+    at = tail.rfind(END, 0, max(0, len(tail) - END_SIZE + len(END)))
     while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(END, 0, at)
     if at < 0:
@@ -233,10 +233,10 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"),
-        F.when(F.length(payload) >= LEAST, F.unhex(F.sha2(payload, 256))).alias("same"),
+        F.unhex(F.sha2(payload, 256)).alias("same"),
     )
     # Only payloads that occur twice have an entry, a long and a hash each; texts are shuffled once, to meet them.
-    groups = rows.where("same is not null").groupBy("same").agg(
+    groups = rows.where(F.length("payload") >= LEAST).groupBy("same").agg(
         F.max("page_id").alias("response"), F.count(F.lit(1)).alias("number")
     ).where("number > 1").select("same", "response")
     decided = rows.join(groups, "same", "left").select(
