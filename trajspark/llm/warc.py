@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from trajspark.session import materialize, scratch_path
 
 ARCHIVE_BYTES = 64 << 20
+ARCHIVES = 16                     # archives whose indexes one task reads
+READ_BYTES = 16 << 20             # bytes of records that one task fetches
 LEAST = 1000                      # payloads of fewer bytes are never revisits
 DATE = "1970-01-01T00:00:00Z"     # the tables have no time of capture
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
@@ -264,8 +266,12 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     return materialize(decided.mapInArrow(run, "archive string, data_bytes long, records long"), "manifest")
 
 
-def read_index(archives: DataFrame) -> DataFrame:
-    """archive, start, length of every record of the archives named in column archive, from their directories and indexes."""
+def read_index(archives: DataFrame, tasks: int | None = None) -> DataFrame:
+    """archive, start, length of every record of the archives named in column archive, from their directories and indexes.
+
+    ``tasks`` defaults to one per ``ARCHIVES`` archives. The number is fixed, since adaptive execution would go by the bytes of
+    the names and not by the work on the archives.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,11 +289,16 @@ def read_index(archives: DataFrame) -> DataFrame:
                     names=["archive", "start", "length"],
                 )
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, "archive string, start long, length long")
+    tasks = tasks or -(-archives.count() // ARCHIVES) or 1
+    return archives.select("archive").repartition(tasks, "archive").mapInArrow(run, "archive string, start long, length long")
+
 
+def read_records(index: DataFrame, payload: bool = True, tasks: int | None = None) -> DataFrame:
+    """The records at the places in ``index``, each fetched by its range; ``payload`` is null in revisits.
 
-def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
-    """The records at the places in ``index``, each fetched by its range; ``payload`` is null in revisits."""
+    ``tasks`` defaults to one per ``READ_BYTES`` of records, again a fixed number.
+    """
+    tasks = tasks or -(-index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] // READ_BYTES) or 1
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     schema += ", payload binary" * payload
     names = [field.split()[0] for field in schema.split(", ")]
@@ -313,7 +324,7 @@ def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
             ranges.close()
 
     # By range of place, so that one archive's records are read in order and a large archive by several tasks.
-    return index.repartitionByRange("archive", "start").sortWithinPartitions("archive", "start").mapInArrow(run, schema)
+    return index.repartitionByRange(tasks, "archive", "start").sortWithinPartitions("archive", "start").mapInArrow(run, schema)
 
 
 def _batch(rows: list[dict], names: list[str], schema: str) -> pa.RecordBatch:
@@ -326,4 +337,5 @@ def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:
     """``pages`` written to archives in the shared folder and read back, record by record."""
     spark: SparkSession = pages.sparkSession
     manifest = write_archives(pages, scratch_path(spark, "archives"))
-    return read_records(read_index(manifest), payload)
+    size = manifest.agg(F.coalesce(F.sum("data_bytes"), F.lit(0))).first()[0]
+    return read_records(read_index(manifest), payload, -(-size // READ_BYTES) or 1)
