@@ -89,12 +89,12 @@ def test_check_bounds(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 1001])
-@pytest.mark.parametrize("rows_per_task", [5, 10_000])
-def test_exact_quantiles(spark, n, rows_per_task):
+@pytest.mark.parametrize("partitions", [3, None])
+def test_exact_quantiles(spark, n, partitions):
     rng = np.random.default_rng(n)
     data = np.stack([rng.normal(size=n), np.round(rng.exponential(size=n), 1), np.full(n, 3.0)], axis=1)
     data[: n // 3, 1] = 0.5  # a third of the rows share one value
-    fitted = bd.fit_bounds(make_frames(spark, data.tolist()), 0.05, 0.9, accuracy=50, rows_per_task=rows_per_task)
+    fitted = bd.fit_bounds(make_frames(spark, data.tolist()), 0.05, 0.9, accuracy=50, partitions=partitions)
     for r in fitted.collect():
         column = data[:, r["dim"]]
         assert r["lower"] == pytest.approx(np.quantile(column, 0.05), abs=1e-12)

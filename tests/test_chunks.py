@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trajspark.operators import chunks as ch
@@ -47,11 +49,38 @@ def test_null_action_keeps_its_step(spark):
     assert first == [[1.0], None, [3.0], [3.0]]
 
 
-@pytest.mark.parametrize("indexes", [[0, 1, 3, 4], [0, 1, 1, 2]])
-def test_gap_or_duplicate_fails(spark, indexes):
+@pytest.mark.parametrize("indexes", [[0, 1, 3, 4], [0, 1, 1, 2], [3, 4, 5], [1], [5, 6]])
+def test_gap_duplicate_or_late_start_fails(spark, indexes):
     df = spark.createDataFrame([(0, i, [1.0]) for i in indexes], "episode_index long, frame_index long, action array<double>")
+    for k in (1, 2):
+        for block_rows in (1, 2, 4, 1 << 16):
+            with pytest.raises(Exception, match="gap or a duplicate"):
+                ch.action_chunk(df, k, block_rows=block_rows).collect()
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(1, 40), st.data())
+def test_every_gap_fails_at_every_block_size(spark, n, data):
+    """A run of missing frames anywhere but at the end; without one the chunks are those of brute force."""
+    first = data.draw(st.integers(0, n))
+    missing = data.draw(st.integers(0, n - first))
+    k, block_rows = data.draw(st.integers(1, 9)), data.draw(st.integers(1, 20))
+    left = [i for i in range(n) if not first <= i < first + missing]
+    df = spark.createDataFrame([(0, i, [float(i)]) for i in left], "episode_index long, frame_index long, action array<double>").coalesce(1)
+    got = ch.action_chunk(df, k, block_rows=block_rows)
+    if left and left != list(range(len(left))):
+        with pytest.raises(Exception, match="gap or a duplicate"):
+            got.collect()
+    else:
+        want = {(0, i): [[float(min(i + s, len(left) - 1))] for s in range(k)] for i in left}
+        assert {(r["episode_index"], r["frame_index"]): r["action_chunk"] for r in got.collect()} == want
+
+
+def test_long_gap_at_the_edge_of_a_default_block_fails(spark):
+    kept = spark.range(65_550).where("id < 65536 or id > 65542")
+    df = kept.select(F.lit(0).alias("episode_index"), F.col("id").alias("frame_index"), F.array(F.lit(1.0)).alias("action"))
     with pytest.raises(Exception, match="gap or a duplicate"):
-        ch.action_chunk(df, 2).collect()
+        ch.action_chunk(df, 8).count() or ch.action_chunk(df, 8).collect()
 
 
 def test_validate_chunks(spark):

@@ -59,10 +59,10 @@ def test_prediction_error_after_unnormalising(spark):
     predicted = spark.createDataFrame([(1, [[1.0, -1.0]]), (2, [[0.0, 0.0]])], schema.format("predicted_chunk"))
     target = spark.createDataFrame([(1, [[-1.0, 0.0]]), (3, [[0.0, 0.0]])], schema.format("action_chunk"))
     bounds = spark.createDataFrame([(0, 0.0, 10.0), (1, -2.0, 2.0)], "dim int, lower double, upper double")
-    got = ev.prediction_error(predicted, target, "k", bounds).orderBy("dim").collect()
+    got = ev.prediction_error(predicted, target, "k", bounds, strict=False).orderBy("dim").collect()
     assert [(r["k"], r["step"], r["dim"]) for r in got] == [(1, 0, 0), (1, 0, 1)]
     assert [r["error"] for r in got] == [pytest.approx(10.0, abs=1e-6), pytest.approx(-2.0, abs=1e-6)]
-    raw = ev.prediction_error(predicted, target, "k").orderBy("dim").collect()
+    raw = ev.prediction_error(predicted, target, "k", strict=False).orderBy("dim").collect()
     assert [r["error"] for r in raw] == [2.0, -1.0]
 
 
@@ -167,14 +167,23 @@ def test_augmentation_plan(spark, max_n, expected, random_order):
 
 
 def test_summary_and_report(spark):
-    df = frames(spark).withColumns({"action": F.array(F.lit(1.0), F.lit(2.0)), "split": F.lit("train"),
-                                    "task": F.col("task_index").cast("string"), "flag": F.col("frame_index") == 0})
+    df = frames(spark).withColumns({"action": F.array(F.lit(1.0), F.lit(2.0)), "flag": F.col("frame_index") == 0})
+    splits = df.select("episode_index", F.lit("train").alias("split")).distinct()
+    tasks = spark.range(3).select(F.col("id").alias("task_index"), F.col("id").cast("string").alias("task"))
     summary = {r["episode_index"]: tuple(r)[1:] for r in ep.episode_summary(df).collect()}
     assert summary == {0: (2, 0, 1, 1), 1: (1, 0, 0, 1)}
     assert tuple(ep.dataset_totals(df).first()) == (2, 3)
-    report = {(r["split"], r["task"]): tuple(r)[2:] for r in ep.size_report(df, flag="flag").collect()}
+    report = {(r["split"], r["task"]): tuple(r)[2:] for r in ep.size_report(df, splits, tasks, "flag").collect()}
     assert report[("train", None)] == (1, 2, 3, 6, 4) and report[(None, None)] == (3, 2, 3, 6, 4)
     assert report[("train", "1")] == (0, 1, 2, 4, 2)
+    batches = {r["level"]: r["n_batches"] for r in ep.size_report(df, splits, tasks, batch_sizes={"train": 2}).collect()}
+    assert batches == {0: None, 1: 2, 3: None}
+    # Two numbers of one text are one task, and an episode with both counts once.
+    same = tasks.withColumn("task", F.lit("t"))
+    assert {r["level"]: r["n_episodes"] for r in ep.size_report(df, splits, same).collect()} == {0: 2, 1: 2, 3: 2}
+    assert ep.size_report(df.limit(0), splits, tasks).collect() == []
+    plan = ep.size_report(df, splits, tasks)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
     with pytest.raises(ValueError):
         ep.project_keys(df, ["nope"])
 
@@ -194,3 +203,64 @@ def test_training_set_as_a_whole(spark):
     assert all(len(r["action_chunk"]) == 4 and all(-1 <= x <= 1 for s in r["action_chunk"] for x in s) for r in got)
     assert all(r["task"] == "abc"[r["task_index"]] for r in got)
     assert not any(math.isnan(x) for r in got for s in r["action_chunk"] for x in s)
+
+
+def test_training_set_keeps_all_frames_by_default_and_has_prompts(spark):
+    rows = [(e, i, 0, [float(i)], "o", "w") for e in range(10) for i in range(e + 1)]
+    df = spark.createDataFrame(rows, "episode_index long, frame_index long, task_index long, action array<double>, o string, w string")
+    tasks = spark.createDataFrame([(0, "a")], "task_index long, task string")
+    got = prepare_training_set(df, tasks, TrainingPlan(chunk_len=2, batch_size=4, prompt_images=("o", "w"))).collect()
+    assert {(r["episode_index"], r["frame_index"]) for r in got} == {r[:2] for r in rows} and len(got) == len(rows)
+    assert all(len(r["prompt"]) == 5 and r["prompt"][1]["image_ref"] == "o" and "to a?" in r["prompt"][4]["text"] for r in got)
+
+
+def chunks_of(spark, name, rows):
+    return spark.createDataFrame(rows, f"k long, {name} array<array<double>>")
+
+
+@pytest.mark.parametrize("predicted, target, message", [
+    ([(1, [[1.0]])], [(1, [[1.0]]), (2, [[1.0]])], "do not match"),
+    ([(1, [[1.0]]), (2, [[1.0]])], [(1, [[1.0]])], "do not match"),
+    ([(1, [[1.0]])], [(1, [[1.0], [2.0]])], "differ in shape"),
+    ([(1, [[1.0, 2.0]])], [(1, [[1.0]])], "differ in shape"),
+    ([(1, None)], [(1, [[1.0]])], "differ in shape"),
+])
+def test_losses_cover_all_samples_and_steps(spark, predicted, target, message):
+    ours, theirs = chunks_of(spark, "predicted_chunk", predicted), chunks_of(spark, "action_chunk", target)
+    with pytest.raises(Exception, match=message):
+        ev.l1_loss(ev.prediction_error(ours, theirs, "k")).collect()
+    left = ev.prediction_error(ours, theirs, "k", strict=False).collect()
+    assert all(r["error"] == 0.0 for r in left)
+
+
+def test_error_quantiles(spark):
+    df = spark.createDataFrame([(0, 0.0, 0.0, float(i) * (-1) ** i) for i in range(1, 101)], "step int, target double, predicted double, error double")
+    got = ev.error_profile(df, ["step"], quantiles=[0.5, 0.99]).where("step IS NULL").first()
+    assert got["abs_error_quantiles"] == [50.0, 99.0]
+
+
+def test_repeated_tasks_fail_and_empty_transforms_give_no_plan(spark):
+    tasks = spark.createDataFrame([(0, "a"), (0, "a"), (1, "b")], "task_index long, task string")
+    with pytest.raises(Exception, match="more than one task"):
+        tk.attach_task(frames(spark), tasks).collect()
+    df = frames(spark)
+    plan = tk.augmentation_plan(df, [], 3, 1, 0)
+    assert plan.columns == ["episode_index", "frame_index", "position", "transform"] and plan.isEmpty()
+    split = df.withColumn("split", F.when(F.col("episode_index") == 0, "train").otherwise("val"))
+    episodes = lambda p: {r[0] for r in p.select("episode_index").collect()}
+    every = {r[0] for r in df.select("episode_index").collect()}
+    plans = [tk.augmentation_plan(split, ["x"], 1, 1, 0, enable=tk.augmented_splits(*a)) for a in ((True, False), (True, True), (False, True))]
+    assert [episodes(p) for p in plans] == [{0}, every, set()]
+
+
+def test_map_batches_on_contiguous_partitions(spark):
+    from trajspark.operators.shuffling import assign_batches
+
+    ranked = spark.range(64).withColumnRenamed("id", "rank").repartitionByRange(4, "rank")
+    batched = assign_batches(ranked, 4)
+    count = lambda pdf: pdf.groupby("batch_id", as_index=False).size()
+    for options in ({"partitions": 3}, {}):
+        got = ev.map_batches(batched, count, "batch_id long, size long", **options)
+        assert sorted(map(tuple, got.collect())) == [(b, 4) for b in range(16)]
+    plan = ev.map_batches(batched, count, "batch_id long, size long", contiguous=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -162,10 +162,10 @@ def test_ordinal_join(spark, block_rows):
         assert lay.ordinal_join(a, b, strict=False).count() == 4
 
 
-@pytest.mark.parametrize("rows_per_task", [1, 1_000])
-def test_sequence_offsets(spark, rows_per_task):
+@pytest.mark.parametrize("block_rows", [1, 1_000])
+def test_sequence_offsets(spark, block_rows):
     df = spark.createDataFrame([(0, 0, 1, 2, 2), (0, 1, 2, 2, 2), (1, 0, 3, 1, 5)], "sample long, image_no long, t int, h int, w int")
-    got = lay.sequence_offsets(df, rows_per_task=rows_per_task).orderBy("entry").collect()
+    got = lay.sequence_offsets(df, block_rows=block_rows, partitions=3).orderBy("entry").collect()
     assert [tuple(r) for r in got] == list(enumerate([0, 4, 8, 12, 17, 22, 27]))
 
 
@@ -193,3 +193,18 @@ def test_repetition(spark):
     assert order("block") == ["a", "b", "a", "b", "c", "c"]
     with pytest.raises(ValueError):
         lay.repeat_samples(df, 2, "column")
+
+
+def test_rows_without_a_batch_are_a_batch(spark):
+    df = spark.createDataFrame([(1, [1, 2], 0), (2, [3], None), (3, [4, 5, 6], None)], "sample long, input_ids array<long>, batch int")
+    got = {r["sample"]: r["input_ids"] for r in lay.pad_left(df, F.lit(0).cast("long"), "batch").collect()}
+    assert got == {1: [1, 2], 2: [0, 0, 3], 3: [4, 5, 6]}
+
+
+@pytest.mark.parametrize("block_rows", [2, 3, 100])
+def test_overlapping_spans_fail(spark, block_rows):
+    points = spark.range(10).select(F.lit(1).cast("long").alias("sample"), F.col("id").alias("pos"))
+    for spans in ([(0, 8), (2, 4)], [(0, 5), (4, 9)], [(1, 4), (1, 6)]):
+        table = spark.createDataFrame([(1, i, *s) for i, s in enumerate(spans)], "sample long, segment long, start long, end long")
+        with pytest.raises(Exception, match="overlap"):
+            lay.assign_segment(points, table, block_rows).collect()

@@ -42,49 +42,59 @@ def test_running_totals(spark, skewed, block_rows):
     assert result == {k: t for k, (t, _) in want.items()}
 
 
-@pytest.mark.parametrize("rows_per_task", [50, 333, 10_000])
+@pytest.mark.parametrize("partitions", [1, 7, 40, None])
 @pytest.mark.parametrize("by_group", [True, False])
-def test_ordered_totals(spark, skewed, rows_per_task, by_group):
+def test_ordered_totals(spark, skewed, partitions, by_group):
     df = spark.createDataFrame(skewed, "g long, p long, v long").repartition(3)
     group, order = (["g"], ["p"]) if by_group else ([], ["g", "p"])
     totals = {"total": F.col("v"), "nth": F.lit(1).cast("long")}
-    got = ordered.ordered_totals(df, group, order, totals, rows_per_task)
+    got = ordered.ordered_totals(df, group, order, totals, partitions)
     result = {(r["g"], r["p"]): (r["total"], r["nth"] - 1) for r in got.collect()}
     assert result == brute(skewed, by_group)
 
 
-def test_split_form_is_used_and_spreads_the_large_group(spark, skewed, monkeypatch):
+def test_ranges_cut_the_large_group(spark, skewed, monkeypatch):
     written = []
     real = ordered.materialize
     monkeypatch.setattr(ordered, "materialize", lambda df, name: written.append(real(df, name)) or written[-1])
     df = spark.createDataFrame(skewed, "g long, p long, v long")
-    ordered.ordered_index(df, ["g"], ["p"], "i", rows_per_task=50).collect()
-    large, ranges = written
-    assert sorted(r["g"] for r in large.collect()) == [1, 3]
-    assert {r["g"] for r in ranges.select("g").distinct().collect()} == {1, 3}  # only they are written
-    blocks = ranges.where("g = 1").groupBy(ordered.BLOCK).count().collect()
+    ordered.ordered_index(df, ["g"], ["p"], "i", partitions=24).collect()
+    blocks = written[0].where("g = 1").groupBy(ordered.BLOCK).count().collect()
     assert len(blocks) >= 8
     assert max(r["count"] for r in blocks) <= 150  # sampled ranges are uneven, yet no block is the group
 
 
-def test_plain_form_is_used_when_groups_are_small(spark, skewed, monkeypatch):
-    monkeypatch.setattr(ordered, "materialize", None)
-    df = spark.createDataFrame(skewed, "g long, p long, v long")
-    assert ordered.ordered_index(df, ["g"], ["p"], "i", rows_per_task=400).count() == len(skewed)
-
-
-@pytest.mark.parametrize("rows_per_task", [20, 1_000])
-def test_frame_and_global_index(spark, skewed, rows_per_task):
+@pytest.mark.parametrize("partitions", [1, 30])
+def test_frame_and_global_index(spark, skewed, partitions):
     df = spark.createDataFrame(skewed, "episode_index long, t long, v long")
-    numbered = frame_index(df, ["t"], rows_per_task=rows_per_task)
-    indexed = global_index(numbered, rows_per_task=rows_per_task)
+    numbered = frame_index(df, ["t"], partitions=partitions)
+    indexed = global_index(numbered, partitions=partitions)
     by_group, overall = brute(skewed), brute(skewed, False)
-    for r in indexed.collect():
+    found = indexed.collect()
+    assert len(found) == len(skewed)
+    for r in found:
         key = (r["episode_index"], r["t"])
         assert r["frame_index"] == by_group[key][1]
         assert r["index"] == overall[key][1]
 
 
+def test_null_is_a_group(spark):
+    """The carry of earlier blocks reaches the rows of the NULL group, too."""
+    df = spark.createDataFrame([(None, p) for p in range(20)] + [(1, p) for p in range(5)], "g long, p long")
+    one = {"n": F.lit(1).cast("long")}
+    for got in (ordered.running_totals(df, ["g"], "p", one, 4), ordered.ordered_totals(df, ["g"], ["p"], one, 9)):
+        assert sorted((r["g"] or 0, r["p"], r["n"]) for r in got.collect()) == sorted(
+            [(0, p, p + 1) for p in range(20)] + [(1, p, p + 1) for p in range(5)])
+    frames = df.withColumnRenamed("g", "episode_index").withColumn("t", F.when(F.col("p") > 0, F.col("p")))
+    assert global_index(frame_index(frames, ["t"])).count() == 25
+
+
+def test_ties_of_frame_order_fail(spark):
+    df = spark.createDataFrame([(1, 5), (1, 5), (1, 6)], "episode_index long, t long")
+    with pytest.raises(Exception, match="same order"):
+        frame_index(df, ["t"]).collect()
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "g long, p long, v long")
     assert ordered.ordered_index(df, ["g"], ["p"], "i").count() == 0

@@ -1,8 +1,10 @@
 """Shape of the physical plans, and every query against its SQL on the smallest tables."""
 
 import glob
+import importlib
 import os
 import re
+import sys
 
 import duckdb
 import pytest
@@ -11,11 +13,13 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from tools.check_oracle import compare
 from trajspark.catalog import tables as src
+from trajspark.catalog.oracle import ORACLE_SQL
+from trajspark.catalog.queries import QUERIES
 from trajspark.operators import chunks as ch
 from trajspark.operators import layout as lay
 from trajspark.operators import shuffling as sh
 from trajspark.operators.bounds import normalize_actions
-from trajspark.operators.episodes import project_keys, select_episodes
+from trajspark.operators.episodes import global_index, project_keys, select_episodes
 from trajspark.operators.tasks import attach_task
 
 NO_PAIRS = re.compile("CartesianProduct|BroadcastNestedLoopJoin")
@@ -38,26 +42,44 @@ def con(sf):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql_and_forms_no_pairs(spark, sf, con, name):
-    df = contract.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     assert not NO_PAIRS.search(plan_of(df)), plan_of(df)
-    assert compare(df.toPandas(), con.execute(contract.oracle_sql()[name]).fetch_df()) == "ok"
+    assert compare(df.toPandas(), con.execute(ORACLE_SQL[name]).fetch_df()) == "ok"
+
+
+def test_optional_modules_may_be_left_out_but_not_broken(monkeypatch):
+    monkeypatch.setitem(sys.modules, "trajspark.left_out", None)
+    assert contract._optional("trajspark.left_out.queries") is None and contract._optional("no_such_module") is None
+    monkeypatch.setattr(importlib, "import_module", lambda name: (_ for _ in ()).throw(ModuleNotFoundError("x", name="missing_library")))
+    with pytest.raises(ModuleNotFoundError):
+        contract._optional("broken_module")
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-def test_chunks_of_numbered_frames_shuffle_once(spark, sf):
-    frames = src.event_frames(spark, sf)
-    assert shuffles(frames) == 1
-    assert shuffles(ch.action_chunk(frames, 8, keep_partitioning=True)) == 1
+def test_chunks_shuffle_the_frames_once(spark, sf):
+    frames = src.event_rows(spark, sf).withColumn("frame_index", F.col("event_id"))
+    assert shuffles(ch.action_chunk(frames, 8)) == 1
     bounds = spark.createDataFrame([(0, 0.0, 1.0)], "dim int, lower double, upper double")
-    assert shuffles(ch.action_chunk(frames, 8, bounds, keep_partitioning=True)) == 1
+    assert shuffles(ch.action_chunk(frames, 8, bounds)) == 1
+
+
+def test_numbering_brings_neither_the_table_nor_wide_rows_into_one_task(spark, sf):
+    """What meets in one partition are block totals, and what is stored are keys."""
+    frames = src.lineitem_frames(spark, sf)
+    for df in (frames, global_index(frames), lay.sequence_offsets(src.image_grids(spark, sf))):
+        for part in plan_of(df).split("Exchange SinglePartition")[1:]:
+            assert "HashAggregate" in part.split("\n")[1], part[:400]
+    ranges = [x for x in frames.inputFiles() if "/ranges-" in x]
+    stored = spark.read.parquet(*ranges).columns
+    assert "action" not in stored and set(src.LINEITEM_ORDER) < set(stored)
 
 
 def test_blocks_are_spread_even_if_the_input_is_partitioned_by_group(spark):

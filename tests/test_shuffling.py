@@ -102,3 +102,16 @@ def test_preview_and_every_n(spark):
     assert due() == [0, 4, 8]
     assert due(offset=1) == [3, 7]
     assert due(include_last=True) == [0, 4, 8, 10]
+
+
+def test_ranks_within_null_and_a_resumed_schedule(spark):
+    df = spark.range(10).select("id", F.when(F.col("id") < 5, "a").alias("part"))
+    ranks = {}
+    for r in sh.seeded_rank(df, "id", 1, within=["part"]).collect():
+        ranks.setdefault(r["part"], []).append(r["rank"])
+    assert {k: sorted(v) for k, v in ranks.items()} == {"a": [0, 1, 2, 3, 4], None: [0, 1, 2, 3, 4]}
+    batched = spark.range(7).select(F.col("id").alias("batch_id"))
+    whole = sorted(map(tuple, sh.step_schedule(batched, 9000, 2, 50).collect()))
+    assert [r[0] for r in whole] == list(range(9000))
+    for start in (0, 1, 6, 7, 8990, 9000, 10_000):
+        assert sorted(map(tuple, sh.step_schedule(batched, 9000, 2, 50, start).collect())) == whole[start:]

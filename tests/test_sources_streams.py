@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from trajspark.catalog import tables as src
 from trajspark.operators import shuffling as sh
 from trajspark.operators.bounds import normalize_actions
-from trajspark.session import materialize, scratch_path, scratch_root
+from trajspark.session import materialize, scratch_path, scratch_root, scratch_scope
 from trajspark.sources import frames as io
 from trajspark.streaming import streams
 
@@ -89,7 +90,7 @@ def test_stream_normalize_equals_batch(spark, tmp_path):
     spark.createDataFrame([([float(i)],) for i in range(-5, 20)], "action array<double>").repartition(3).write.parquet(path)
     bounds = spark.createDataFrame(BOUNDS, "dim int, lower double, upper double")
     stream = spark.readStream.schema("action array<double>").option("maxFilesPerTrigger", 1).parquet(path)
-    got = streams.drain_to_table(streams.stream_normalize(stream, bounds), scratch_path(spark, "t"), "t")
+    got = streams.drain_to_table(streams.stream_normalize(stream, bounds), scratch_path(spark, "t"))
     want = normalize_actions(spark.read.parquet(path), bounds)
     assert got.exceptAll(want).isEmpty() and got.count() == 25
 
@@ -101,7 +102,7 @@ def test_stream_metrics_equals_batch_over_several_micro_batches(spark, tmp_path)
     write_parts(spark, path, parts)
     stream = spark.readStream.schema("ts timestamp, name string, value double").option("maxFilesPerTrigger", 1).parquet(path)
     aggregated = streams.stream_metrics(stream, "1 hour", "1 day")
-    got = streams.drain_updates(aggregated, scratch_path(spark, "m"), "m", ["start", "end", "name"])
+    got = streams.drain_updates(aggregated, scratch_path(spark, "m"), ["start", "end", "name"])
     want = (spark.read.parquet(path).groupBy(F.window("ts", "1 hour").alias("w"), "name")
             .agg(F.avg("value").alias("mean_value"), F.count("value").alias("n")).select("w.start", "w.end", "name", "mean_value", "n"))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
@@ -113,7 +114,7 @@ def test_watermark_drops_late_rows(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
     write_parts(spark, path, [[(day + dt.timedelta(hours=h), "a", 1.0)] for h in (0, 5, 5, 0)])
     stream = spark.readStream.schema("ts timestamp, name string, value double").option("maxFilesPerTrigger", 1).parquet(path)
-    got = streams.drain_updates(streams.stream_metrics(stream, "1 hour", "1 hour"), scratch_path(spark, "w"), "w", ["start", "end", "name"])
+    got = streams.drain_updates(streams.stream_metrics(stream, "1 hour", "1 hour"), scratch_path(spark, "w"), ["start", "end", "name"])
     assert {r["start"].hour: r["n"] for r in got.collect()} == {0: 1, 5: 2}
 
 
@@ -128,3 +129,29 @@ def test_metric_times_do_not_depend_on_the_session_zone(spark, sf):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert micros[0] == micros[1]
+
+
+def test_sinks_go_on_where_the_last_call_ended(spark, tmp_path):
+    """Three calls with new input in between: every row once, and windows that span calls are summed up."""
+    path, table, log = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "log")
+    day = dt.datetime(2024, 1, 1)
+    bounds = spark.createDataFrame(BOUNDS[:1], "dim int, lower double, upper double")
+    schema = "ts timestamp, name string, value double"
+    for call in range(3):
+        write_parts(spark, path, [[(day + dt.timedelta(minutes=25 * call), "a", float(call)), (day + dt.timedelta(minutes=25 * call + 1), "b", 1.0)]])
+        stream = spark.readStream.schema(schema).parquet(path)
+        normal = streams.stream_normalize(stream.select("ts", "name", F.array("value").alias("action")), bounds)
+        assert streams.drain_to_table(normal, table).count() == 2 * (call + 1)
+        counted = streams.drain_updates(streams.stream_metrics(stream, "1 hour", "1 day"), log, ["start", "end", "name"])
+        assert {r["name"]: r["n"] for r in counted.collect()} == {"a": call + 1, "b": call + 1}
+    named = streams.drain_to_table(normal, table + "2", checkpoint=str(tmp_path / "named"))
+    assert named.count() == 6 and (tmp_path / "named").is_dir()
+
+
+def test_a_scope_deletes_what_was_stored_in_it(spark):
+    kept = materialize(spark.range(2), "kept")
+    with scratch_scope(spark):
+        gone = materialize(spark.range(3), "gone")
+        folder = gone.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+        assert gone.count() == 3 and os.path.isdir(folder)
+    assert not os.path.exists(folder) and kept.count() == 2

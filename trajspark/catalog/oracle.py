@@ -4,6 +4,8 @@ from __future__ import annotations
 
 SEED = 42
 
+# Fixed values below: the wording of the prompt (see operators/tasks.py).
+
 # Order lines as frames, and their long form.
 FRAMES = """
 frames AS (
@@ -75,6 +77,21 @@ placed AS (
   FROM segments WINDOW win AS (PARTITION BY sample ORDER BY segment))
 """
 
+VIDEO_SEGMENTS = """
+shown AS (
+  SELECT sample, segment, CASE WHEN kind = 'image' AND (segment // 4) % 2 = 1 THEN 'video' ELSE kind END AS kind,
+         CASE WHEN kind = 'image' THEN 2 + (segment // 4) % 2 ELSE 1 END AS t, slots AS plane, gh, gw FROM content),
+sized AS (
+  SELECT *, t * plane AS slots, CASE kind WHEN 'text' THEN plane WHEN 'image' THEN greatest(t, gh, gw)
+                                          ELSE t * greatest(1, gh, gw) END AS advance FROM shown),
+seated AS (
+  SELECT *, sum(advance) OVER win - advance AS p0, sum(slots) OVER win - slots AS s0
+  FROM sized WINDOW win AS (PARTITION BY sample ORDER BY segment)),
+cells_of AS (
+  SELECT *, i // plane AS f, i % plane AS c, CASE kind WHEN 'video' THEN p0 + (i // plane) * greatest(1, gh, gw) ELSE p0 END AS q0
+  FROM (SELECT *, unnest(range(CAST(slots AS BIGINT))) AS i FROM seated))
+"""
+
 VECTORS = """
 cells AS (
   SELECT vec_id, label, (i - 1) // 8 AS step, (i - 1) % 8 AS dim, v
@@ -109,8 +126,8 @@ def normalized(x: str) -> str:
     return f"2 * (least(greatest({x}, lower), upper) - lower) / (upper - lower + 1e-8) - 1"
 
 
-def augmentation(epoch: int, position: str) -> str:
-    return with_(EVENTS) + f"""
+def augmentation(epoch: int, position: str, only: str = "true", extra: str = "") -> str:
+    return with_(EVENTS) + extra + f"""
       , drawn AS (
         SELECT episode_index, frame_index, number, transform,
                row_number() OVER (PARTITION BY episode_index, frame_index
@@ -118,7 +135,7 @@ def augmentation(epoch: int, position: str) -> str:
         FROM ev, (VALUES (0, 'brightness'), (1, 'contrast'), (2, 'saturation'), (3, 'hue'), (4, 'sharpness')) t(number, transform))
       SELECT episode_index, frame_index,
              CAST(row_number() OVER (PARTITION BY episode_index, frame_index ORDER BY {position}) - 1 AS INTEGER) AS position, transform
-      FROM drawn WHERE r <= 3"""
+      FROM drawn WHERE r <= 3 AND {only}"""
 
 
 def repeated(position: str) -> str:
@@ -187,6 +204,12 @@ ORACLE_SQL: dict[str, str] = {
              round(predicted, 6) AS predicted, round(predicted - target, 6) AS error FROM restored""",
     "assign_segment": with_(TURNS) + "SELECT sample, pos, token, segment FROM tokens",
     "augmentation_plan": augmentation(0, "number"),
+    "augmentation_plan_splits": augmentation(
+        0, "number", "episode_index IN (SELECT episode_index FROM train)", """
+      , users AS (SELECT DISTINCT user_id AS episode_index FROM events),
+      train AS (
+        SELECT episode_index FROM (SELECT episode_index, row_number() OVER (ORDER BY md5('42:' || episode_index), episode_index) AS r FROM users)
+        WHERE r <= trunc(CAST(0.8 AS DOUBLE) * (SELECT count(*) FROM users)))"""),
     "augmentation_plan_random": augmentation(1, "r"),
     "fit_bounds": with_(FRAMES, BOUNDS) + "SELECT dim, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds",
     "fit_bounds_train": with_(FRAMES, SPLITS) + """
@@ -202,6 +225,17 @@ ORACLE_SQL: dict[str, str] = {
              round(avg(target), 6) AS mean_target, round(avg(predicted), 6) AS mean_predicted,
              round(avg(abs(error)), 6) AS mean_abs_error, round(max(abs(error)), 6) AS max_abs_error
       FROM errors GROUP BY ROLLUP (step, dim, label)""",
+    "error_quantiles": with_(VECTORS) + """
+      , listed AS (
+        SELECT step, dim, grouping(step, dim) AS level, count(*) AS n, list_sort(list(abs(error))) AS sorted
+        FROM errors GROUP BY ROLLUP (step, dim))
+      SELECT CAST(step AS INTEGER) AS step, CAST(dim AS INTEGER) AS dim, CAST(level AS INTEGER) AS level,
+             round(sorted[CAST(ceil(0.5 * n) AS BIGINT)], 6) AS median_abs_error,
+             round(sorted[CAST(ceil(0.95 * n) AS BIGINT)], 6) AS p95_abs_error FROM listed""",
+    "bounds_from_stats": """
+      WITH first AS (SELECT * FROM lineitem WHERE l_partkey = (SELECT min(l_partkey) FROM lineitem))
+      SELECT CAST(0 AS INTEGER) AS dim, CAST(min(l_discount) AS DOUBLE) AS lower, CAST(max(l_discount) AS DOUBLE) AS upper FROM first
+      UNION ALL SELECT 1, CAST(min(l_tax) AS DOUBLE), CAST(max(l_tax) AS DOUBLE) FROM first""",
     "grouped_l2_norm": with_(VECTORS) + """
       SELECT component, round(sqrt(sum(v * v)), 6) AS l2_norm, count(*) AS n_values FROM (
         SELECT 'label_' || label AS component, v FROM cells
@@ -212,15 +246,19 @@ ORACLE_SQL: dict[str, str] = {
              round(v * least(1.0, 1.0 / ((SELECT sqrt(sum(v * v)) FROM cells) + 1e-6)), 9) AS value FROM cells""",
     "size_report": with_(FRAMES, SPLITS) + f"""
       SELECT split, task, CAST(grouping(split, task) AS INTEGER) AS level, count(DISTINCT f.episode_index) AS n_episodes,
-             count(*) AS n_frames, 4 * count(*) AS n_elements, CAST(4 * count(*) FILTER (a0 > 25) AS BIGINT) AS n_flagged
+             count(*) AS n_frames, 4 * count(*) AS n_elements, CAST(4 * count(*) FILTER (a0 > 25) AS BIGINT) AS n_flagged,
+             CASE WHEN grouping(split, task) = 1
+                  THEN CAST(ceil(count(*) / CASE split WHEN 'train' THEN 32 ELSE 128 END) AS BIGINT) END AS n_batches
       FROM {TASKED} f JOIN splits s ON s.episode_index = f.episode_index GROUP BY ROLLUP (split, task)""",
     "image_token_count": with_(TURNS) + """
       SELECT sample, count(*) AS n_images, CAST(sum(cells) AS BIGINT) AS n_tokens FROM turns WHERE role = 'user' GROUP BY sample""",
     "action_chunk": chunk_sql("", "f.value"),
+    "action_chunk_small_blocks": chunk_sql("", "f.value"),
     "action_chunk_normalized": chunk_sql(
         ", bounds AS (SELECT quantile_cont(value, 0.01) AS lower, quantile_cont(value, 0.99) AS upper FROM events)",
         normalized("f.value"), "CROSS JOIN bounds"),
     "frame_index": with_(EVENTS) + "SELECT event_id, episode_index, frame_index FROM ev",
+    "frame_index_many_ranges": with_(EVENTS) + "SELECT event_id, episode_index, frame_index FROM ev",
     "global_index": with_(FRAMES) + """
       SELECT episode_index, frame_index, row_number() OVER (ORDER BY episode_index, frame_index) - 1 AS index FROM frames""",
     "text_positions": with_(TURNS) + """
@@ -237,6 +275,13 @@ ORACLE_SQL: dict[str, str] = {
              CAST(CASE kind WHEN 'pad' THEN 1 WHEN 'text' THEN p0 + i ELSE p0 + i // gw END AS BIGINT) AS pos_h,
              CAST(CASE kind WHEN 'pad' THEN 1 WHEN 'text' THEN p0 + i ELSE p0 + i % gw END AS BIGINT) AS pos_w
       FROM (SELECT *, unnest(range(CAST(slots AS BIGINT))) AS i FROM placed)""",
+    "grid_positions_video": with_(TURNS, SEGMENTS, VIDEO_SEGMENTS) + """
+      SELECT sample, CAST(s0 + i AS BIGINT) AS slot, 1 AS mask,
+             CAST(CASE kind WHEN 'text' THEN p0 + i WHEN 'image' THEN p0 + f ELSE q0 END AS BIGINT) AS pos_t,
+             CAST(CASE kind WHEN 'text' THEN p0 + i ELSE q0 + c // gw END AS BIGINT) AS pos_h,
+             CAST(CASE kind WHEN 'text' THEN p0 + i ELSE q0 + c % gw END AS BIGINT) AS pos_w FROM cells_of""",
+    "grid_deltas_video": with_(TURNS, SEGMENTS, VIDEO_SEGMENTS) + """
+      SELECT sample, CAST(sum(advance) - sum(slots) AS BIGINT) AS delta FROM sized GROUP BY sample""",
     "grid_deltas": with_(TURNS, SEGMENTS) + """
       SELECT sample, CAST(sum(advance) - sum(slots) AS BIGINT) AS delta FROM segments GROUP BY sample""",
     "media_counts": with_(TURNS) + """
@@ -245,6 +290,14 @@ ORACLE_SQL: dict[str, str] = {
       FROM (SELECT sample, token, coalesce(lag(token) OVER (PARTITION BY sample ORDER BY pos),
                      first_value(token) OVER (PARTITION BY sample ORDER BY pos DESC)) AS prev FROM tokens)
       GROUP BY sample""",
+    "media_counts_video": with_(TURNS) + """
+      SELECT sample, CAST(count(*) FILTER (role = 'user' AND segment % 2 = 0) AS BIGINT) AS n_images,
+             CAST(count(*) FILTER (role = 'user' AND segment % 2 = 1) AS BIGINT) AS n_videos FROM turns GROUP BY sample""",
+    "sequence_offsets_video": with_(TURNS) + """
+      , frames_of AS (
+        SELECT sample, segment, h * w AS area, unnest(range(1 + segment % 3)) AS f FROM turns WHERE role = 'user')
+      SELECT CAST(0 AS BIGINT) AS entry, CAST(0 AS BIGINT) AS "offset" UNION ALL
+      SELECT row_number() OVER win, CAST(sum(area) OVER win AS BIGINT) FROM frames_of WINDOW win AS (ORDER BY sample, segment, f)""",
     "sequence_offsets": with_(TURNS) + """
       SELECT CAST(0 AS BIGINT) AS entry, CAST(0 AS BIGINT) AS "offset" UNION ALL
       SELECT row_number() OVER win, CAST(sum(h * w) OVER win AS BIGINT) FROM turns WHERE role = 'user'
@@ -269,6 +322,13 @@ ORACLE_SQL: dict[str, str] = {
       SELECT step, step // per_epoch AS epoch, batch_id, n_samples, (step + 1) % 4 = 0 AS is_update,
              (step + 1) % 100 = 0 OR step + 1 = floor(2.5 * per_epoch) AS is_save
       FROM steps JOIN sizes ON batch_id = step % per_epoch""",
+    "step_schedule_resumed": with_(SHUFFLED) + """
+      , n AS (SELECT CAST(ceil(count(*) / 32) AS BIGINT) AS per_epoch FROM events),
+      steps AS (SELECT unnest(range(CAST(floor(1.5 * per_epoch) AS BIGINT), CAST(floor(2.5 * per_epoch) AS BIGINT))) AS step, per_epoch FROM n),
+      sizes AS (SELECT rank // 32 AS batch_id, count(*) AS n_samples FROM shuffled GROUP BY 1)
+      SELECT step, step // per_epoch AS epoch, batch_id, n_samples, (step + 1) % 4 = 0 AS is_update,
+             (step + 1) % 100 = 0 OR step + 1 = floor(2.5 * per_epoch) AS is_save
+      FROM steps JOIN sizes ON batch_id = step % per_epoch""",
     "batch_preview": with_(SHUFFLED) + """
       SELECT batch_id, rank, event_id, value FROM (
         SELECT *, rank // 32 AS batch_id, row_number() OVER (PARTITION BY rank // 32 ORDER BY rank) AS nth FROM shuffled)
@@ -282,6 +342,15 @@ ORACLE_SQL: dict[str, str] = {
       SELECT episode_index, frame_index, f.dim,
              round(({normalized('x')} + 1) * 0.5 * (upper - lower + 1e-8) + lower, 6) AS value
       FROM long_frames f JOIN bounds b ON b.dim = f.dim""",
+    "normalize_chunks": with_(VECTORS) + f"""
+      , box AS (SELECT dim, quantile_cont(v, 0.01) AS lower, quantile_cont(v, 0.99) AS upper FROM cells GROUP BY dim)
+      SELECT vec_id, CAST(step AS INTEGER) AS step, CAST(c.dim AS INTEGER) AS dim, round({normalized('v')}, 6) AS value
+      FROM cells c JOIN box b ON b.dim = c.dim""",
+    "unnormalize_chunks": with_(VECTORS) + f"""
+      , box AS (SELECT dim, quantile_cont(v, 0.01) AS lower, quantile_cont(v, 0.99) AS upper FROM cells GROUP BY dim)
+      SELECT vec_id, CAST(step AS INTEGER) AS step, CAST(c.dim AS INTEGER) AS dim,
+             round(({normalized('v')} + 1) * 0.5 * (upper - lower + 1e-8) + lower, 6) AS value
+      FROM cells c JOIN box b ON b.dim = c.dim""",
     "render_prompt": with_(FRAMES) + f"""
       , named AS (SELECT *, episode_index || '/' || frame_index AS name FROM {TASKED})
       SELECT episode_index, frame_index, 0 AS part, 'text' AS type, 'Overview cam:' AS text, NULL AS image_ref FROM named
@@ -343,7 +412,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM normal
         WINDOW ahead AS (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING))
       SELECT split, CASE split WHEN 'train' THEN rank // 32 ELSE rank // 128 END AS batch_id, rank, episode_index, frame_index,
-             p_name AS task, round(n1, 6) AS first_price, round(l1, 6) AS last_price,
+             p_name AS task, 'What action should the robot take to ' || p_name || '?' AS question, round(n1, 6) AS first_price, round(l1, 6) AS last_price,
              round(n0, 6) AS first_quantity, round(l0, 6) AS last_quantity
-      FROM ranked JOIN part ON p_partkey = task_index WHERE split = 'train' OR rank < 256 * 128""",
+      FROM ranked JOIN part ON p_partkey = task_index""",
 }

@@ -84,7 +84,8 @@ def write_training_set(spark, sf):
     splits = materialize(sh.split_episodes(src.order_episodes(spark, sf), FRACTION, SEED), "splits")
     frames = src.lineitem_frames(spark, sf).join(splits, "episode_index")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = sh.seeded_rank(frames, FRAME_KEY, f"{SEED}:0", within=["split"], partitions=shards)
+    keys = materialize(frames.select(*FRAME_KEY, "split"), "frame-keys")
+    ranked = sh.seeded_rank(frames, FRAME_KEY, f"{SEED}:0", within=["split"], count_from=keys, partitions=shards)
     io.write_training_set(sh.assign_batches(ranked, BATCH), path, in_order=True)
     return spark.read.parquet(path).select("split", "batch_id", "rank", "episode_index", "frame_index", "task_index")
 
@@ -129,7 +130,7 @@ def drop_padding(spark, sf):
 
 @query
 def validate_chunks(spark, sf):
-    chunks = ch.action_chunk(src.event_frames(spark, sf), CHUNK, keep_partitioning=True)
+    chunks = ch.action_chunk(src.event_frames(spark, sf), CHUNK)
     bad = F.col("action_chunk").isNull() | (F.size("action_chunk") != CHUNK)
     return ch.validate_chunks(chunks, CHUNK).agg(
         F.count(F.lit(1)).alias("n_chunks"), F.count_if(bad).alias("n_invalid")
@@ -174,15 +175,8 @@ def prediction_error(spark, sf):
     """Errors on the original scale: chunks are normalised, compared, and unnormalised."""
     target = src.vector_chunks(spark, sf)
     bounds = bd.fit_bounds(target.select(F.explode("action_chunk").alias("action")), 0.0, 1.0)
-
-    def normalized(df: DataFrame, column: str) -> DataFrame:
-        steps = df.select("vec_id", F.posexplode(column).alias("step", "action"))
-        cells = bd.normalize_actions(steps, bounds).select("vec_id", "step", F.posexplode("action").alias("dim", "value"))
-        return ch.stack_chunks(cells, "vec_id", column)
-
-    errors = ev.prediction_error(
-        normalized(src.next_vector_chunks(spark, sf), "predicted_chunk"), normalized(target, "action_chunk"), "vec_id", bounds
-    )
+    predicted = bd.normalize_chunks(src.next_vector_chunks(spark, sf), bounds, "predicted_chunk")
+    errors = ev.prediction_error(predicted, bd.normalize_chunks(target, bounds), "vec_id", bounds)
     return errors.select("vec_id", "step", "dim", *[r6(c).alias(c) for c in ("target", "predicted", "error")])
 
 
@@ -205,6 +199,16 @@ def augmentation_plan(spark, sf):
     return tk.augmentation_plan(src.event_frames(spark, sf), TRANSFORMS, 3, SEED, epoch=0)
 
 
+@query
+def augmentation_plan_splits(spark, sf):
+    """Validation frames are left as they are."""
+    frames = src.event_frames(spark, sf)
+    splits = sh.split_episodes(frames.select("episode_index").distinct(), FRACTION, SEED)
+    return tk.augmentation_plan(
+        frames.join(splits, "episode_index"), TRANSFORMS, 3, SEED, epoch=0, enable=tk.augmented_splits(validation=False)
+    )
+
+
 @query
 def augmentation_plan_random(spark, sf):
     return tk.augmentation_plan(src.event_frames(spark, sf), TRANSFORMS, 3, SEED, epoch=1, random_order=True)
@@ -243,6 +247,26 @@ def error_profile(spark, sf):
     return profile.select("step", "dim", "label", F.col("level").cast("int").alias("level"), "n", *[r6(m).alias(m) for m in measures])
 
 
+@query
+def error_quantiles(spark, sf):
+    """The sketch is fine enough here to give each part's own order statistics."""
+    profile = ev.error_profile(vector_errors(spark, sf), ["step", "dim"], quantiles=[0.5, 0.95], accuracy=10_000_000)
+    quantile = F.col("abs_error_quantiles")
+    return profile.select(
+        "step", "dim", F.col("level").cast("int").alias("level"), r6(quantile[0]).alias("median_abs_error"), r6(quantile[1]).alias("p95_abs_error")
+    )
+
+
+@query
+def bounds_from_stats(spark, sf):
+    """Each part's statistics row holds its smallest and largest discount and tax; the bounds of the first part are shown."""
+    stats = src.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(
+        F.array(F.min("l_discount"), F.min("l_tax")).alias("q01"), F.array(F.max("l_discount"), F.max("l_tax")).alias("q99")
+    )
+    first = stats.where(F.col("part") == stats.agg(F.min("part")).scalar())
+    return bd.bounds_from_stats(first)
+
+
 @query
 def grouped_l2_norm(spark, sf):
     """Every vector belongs to its label's component; labels under 5 also to a joint one."""
@@ -267,9 +291,8 @@ def clip_by_global_norm(spark, sf):
 @query
 def size_report(spark, sf):
     splits = sh.split_episodes(src.order_episodes(spark, sf), FRACTION, SEED)
-    frames = tk.attach_task(src.lineitem_rows(spark, sf), src.part_tasks(spark, sf)).join(splits, "episode_index")
-    flagged = frames.withColumn("large", F.col("action")[0] > 25)
-    return ep.size_report(flagged, ["split", "task"], "large").withColumn("level", F.col("level").cast("int"))
+    flagged = src.lineitem_rows(spark, sf).withColumn("large", F.col("action")[0] > 25)
+    return ep.size_report(flagged, splits, src.part_tasks(spark, sf), "large", {"train": BATCH, "val": 128})
 
 
 @query
@@ -282,14 +305,20 @@ def image_token_count(spark, sf):
 
 @query
 def action_chunk(spark, sf):
-    return long_chunks(ch.action_chunk(src.event_frames(spark, sf), CHUNK, keep_partitioning=True), ["event_id"])
+    return long_chunks(ch.action_chunk(src.event_frames(spark, sf), CHUNK), ["event_id"])
+
+
+@query
+def action_chunk_small_blocks(spark, sf):
+    """Blocks of 16 frames, so that most chunks lie at an edge."""
+    return long_chunks(ch.action_chunk(src.event_frames(spark, sf), CHUNK, block_rows=16), ["event_id"])
 
 
 @query
 def action_chunk_normalized(spark, sf):
     frames = src.event_frames(spark, sf)
     bounds = bd.fit_bounds(frames)
-    return long_chunks(ch.action_chunk(frames, CHUNK, bounds, keep_partitioning=True), ["event_id"])
+    return long_chunks(ch.action_chunk(frames, CHUNK, bounds), ["event_id"])
 
 
 @query
@@ -297,6 +326,13 @@ def frame_index(spark, sf):
     return src.event_frames(spark, sf).select("event_id", "episode_index", "frame_index")
 
 
+@query
+def frame_index_many_ranges(spark, sf):
+    """As many ranges as it takes to cut most episodes."""
+    rows = src.event_rows(spark, sf)
+    return ep.frame_index(rows, src.EVENT_ORDER, partitions=64).select("event_id", "episode_index", "frame_index")
+
+
 @query
 def global_index(spark, sf):
     return ep.global_index(src.lineitem_frames(spark, sf)).select(*FRAME_KEY, "index")
@@ -319,6 +355,17 @@ def grid_positions(spark, sf):
     return lay.grid_positions(src.layout_segments(spark, sf))
 
 
+@query
+def grid_positions_video(spark, sf):
+    """Every user turn shows a video of several frames, or an image of several."""
+    return lay.grid_positions(src.video_segments(spark, sf))
+
+
+@query
+def grid_deltas_video(spark, sf):
+    return lay.grid_deltas(src.video_segments(spark, sf))
+
+
 @query
 def grid_deltas(spark, sf):
     return lay.grid_deltas(src.layout_segments(spark, sf))
@@ -329,6 +376,20 @@ def media_counts(spark, sf):
     return lay.media_counts(src.conversation_tokens(spark, sf))
 
 
+@query
+def media_counts_video(spark, sf):
+    """The images of odd turns are videos, one run of video slots per frame."""
+    video = (F.col("segment") % 2 == 1) & (F.col("token") == lay.IMAGE)
+    tokens = src.conversation_tokens(spark, sf)
+    return lay.media_counts(tokens.withColumn("token", F.when(video, lay.VIDEO).otherwise(F.col("token"))))
+
+
+@query
+def sequence_offsets_video(spark, sf):
+    grids = src.image_grids(spark, sf).withColumn("t", (1 + F.pmod("image_no", F.lit(3))).cast("int"))
+    return lay.sequence_offsets(grids, block_rows=2)
+
+
 @query
 def sequence_offsets(spark, sf):
     return lay.sequence_offsets(src.image_grids(spark, sf))
@@ -382,6 +443,14 @@ def step_schedule(spark, sf):
     return sh.step_schedule(batched, int(2.5 * -(-n // BATCH)), accumulation=4, save_every=100)
 
 
+@query
+def step_schedule_resumed(spark, sf):
+    """The same schedule, taken up after one and a half epochs."""
+    batched = sh.assign_batches(sh.shuffle_epoch(event_keys(spark, sf), SEED, 0, "event_id"), BATCH)
+    per_epoch = -(-event_keys(spark, sf).count() // BATCH)
+    return sh.step_schedule(batched, int(2.5 * per_epoch), accumulation=4, save_every=100, start_step=int(1.5 * per_epoch))
+
+
 @query
 def batch_preview(spark, sf):
     batched = sh.assign_batches(sh.shuffle_epoch(event_keys(spark, sf), SEED, 0, "event_id"), BATCH)
@@ -411,12 +480,29 @@ def unnormalize_actions(spark, sf):
     return unrolled(bd.unnormalize_actions(bd.normalize_actions(frames, bounds), bounds), FRAME_KEY)
 
 
+@query
+def normalize_chunks(spark, sf):
+    chunks = src.vector_chunks(spark, sf)
+    bounds = bd.fit_bounds(chunks.select(F.explode("action_chunk").alias("action")))
+    return long_chunks(bd.normalize_chunks(chunks, bounds), ["vec_id"])
+
+
+@query
+def unnormalize_chunks(spark, sf):
+    chunks = src.vector_chunks(spark, sf)
+    bounds = bd.fit_bounds(chunks.select(F.explode("action_chunk").alias("action")))
+    return long_chunks(bd.unnormalize_chunks(bd.normalize_chunks(chunks, bounds), bounds), ["vec_id"])
+
+
+def with_images(frames: DataFrame) -> DataFrame:
+    name = F.concat_ws("/", F.col("episode_index").cast("string"), F.col("frame_index").cast("string"))
+    return frames.withColumns({"image_ref": F.concat(F.lit("overview/"), name), "image2_ref": F.concat(F.lit("wrist/"), name)})
+
+
 @query
 def render_prompt(spark, sf):
     frames = tk.attach_task(src.lineitem_frames(spark, sf), src.part_tasks(spark, sf))
-    name = F.concat_ws("/", F.col("episode_index").cast("string"), F.col("frame_index").cast("string"))
-    refs = frames.withColumns({"image_ref": F.concat(F.lit("overview/"), name), "image2_ref": F.concat(F.lit("wrist/"), name)})
-    parts = tk.render_prompt(refs).select(*FRAME_KEY, F.posexplode("prompt").alias("part", "p"))
+    parts = tk.render_prompt(with_images(frames)).select(*FRAME_KEY, F.posexplode("prompt").alias("part", "p"))
     return parts.select(*FRAME_KEY, "part", "p.type", "p.text", "p.image_ref")
 
 
@@ -491,15 +577,23 @@ def stream_normalize(spark, sf):
     bounds = bd.fit_bounds(src.table(spark, sf, "events").select(F.array("value").alias("action")))
     frames = event_stream(spark, sf).select("event_id", F.array("value").alias("action"))
     normal = streams.stream_normalize(frames, bounds)
-    done = streams.drain_to_table(normal, scratch_path(spark, "stream-normalize"), "stream-normalize")
+    done = streams.drain_to_table(normal, scratch_path(spark, "stream-normalize"))
     return done.select("event_id", r6(F.col("action")[0]).alias("value"))
 
 
 @query
 def stream_metrics(spark, sf):
-    aggregated = streams.stream_metrics(src.metric_rows(event_stream(spark, sf)), "1 day", "1 hour")
-    keys = ["start", "end", "name"]
-    done = streams.drain_updates(aggregated, scratch_path(spark, "stream-metrics"), "stream-metrics", keys)
+    """The events arrive in three parts by time, each drained when it is there: state and results go on."""
+    events = src.table(spark, sf, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    arriving, log = scratch_path(spark, "stream-events"), scratch_path(spark, "stream-metrics")
+    done = None
+    for part in range(3):
+        begin, end = (first + (last - first) * k / 3 for k in (part, part + 1))
+        of_part = (F.col("ts") >= F.lit(begin)) & ((F.col("ts") < F.lit(end)) | F.lit(part == 2))
+        events.where(of_part).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(events.schema).parquet(arriving)
+        done = streams.drain_updates(streams.stream_metrics(src.metric_rows(stream), "1 day", "1 hour"), log, ["start", "end", "name"])
     return done.select(F.unix_seconds("start").alias("start_seconds"), "name", r6("mean_value").alias("mean_value"), "n")
 
 
@@ -556,11 +650,13 @@ def map_batches(spark, sf):
 
 @query
 def training_set(spark, sf):
-    frames, tasks = src.lineitem_frames(spark, sf), src.part_tasks(spark, sf)
-    batched = prepare_training_set(frames, tasks, TrainingPlan(SEED, CHUNK, FRACTION, BATCH, val_batch_size=128))
+    """Every frame of the input, each with its chunk, its prompt and its batch."""
+    frames, tasks = with_images(src.lineitem_frames(spark, sf)), src.part_tasks(spark, sf)
+    plan = TrainingPlan(SEED, CHUNK, FRACTION, BATCH, val_batch_size=128, prompt_images=("image_ref", "image2_ref"))
+    batched = prepare_training_set(frames, tasks, plan)
     first, last = F.element_at("action_chunk", 1), F.element_at("action_chunk", -1)
     return batched.select(
-        "split", "batch_id", "rank", *FRAME_KEY, "task",
+        "split", "batch_id", "rank", *FRAME_KEY, "task", F.element_at("prompt", -1)["text"].alias("question"),
         r6(first[1]).alias("first_price"), r6(last[1]).alias("last_price"),
         r6(first[0]).alias("first_quantity"), r6(last[0]).alias("last_quantity"),
     )

@@ -33,11 +33,15 @@ def lineitem_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("episode_index", "frame_index", "task_index", "action")
 
 
-def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as frames: a user is an episode, the value is a one-dimensional action."""
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as unnumbered frames: a user is an episode, the value is a one-dimensional action."""
     mapping = {"episode_index": "user_id", "action": F.array("value")}
     mapping.update({c: c for c in ("event_id", "ts", "event_type")})
-    return frame_index(scan_frames(spark, f"{sf_dir}/events.parquet", mapping), EVENT_ORDER)
+    return scan_frames(spark, f"{sf_dir}/events.parquet", mapping)
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame_index(event_rows(spark, sf_dir), EVENT_ORDER)
 
 
 def part_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +138,17 @@ def layout_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.unionByName(padding.where("length > 0"))
 
 
+def video_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without padding: odd user turns show a video of 2 or 3 frames, even ones an image of as many."""
+    segments = layout_segments(spark, sf_dir).where("kind <> 'pad'")
+    turn = F.call_function("div", F.col("segment"), F.lit(4))
+    media = F.col("kind") == "image"
+    return segments.withColumns({
+        "kind": F.when(media & (F.pmod(turn, F.lit(2)) == 1), "video").otherwise(F.col("kind")),
+        "t": F.when(media, 2 + F.pmod(turn, F.lit(2))).cast("int"),
+    })
+
+
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 x 8 chunks: (vec_id, label, action_chunk)."""
     vectors = table(spark, sf_dir, "embeddings").select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.numeric import normalize_value, unnormalize_value
 from trajspark.operators.episodes import select_episodes
-from trajspark.plans.ordered import ROWS_PER_TASK, ordered_totals
+from trajspark.plans.ordered import ordered_totals
 from trajspark.session import materialize
 
 
@@ -26,7 +26,7 @@ def fit_bounds(
     exact: bool = True,
     accuracy: int = 10_000,
     action: str = "action",
-    rows_per_task: int = ROWS_PER_TASK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Per-dimension ``lo`` and ``hi`` quantiles of the action vectors; null and NaN are left out.
 
@@ -49,14 +49,14 @@ def fit_bounds(
         return materialize(fitted.select("dim", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper")), "bounds")
     # The sketch errs by at most 1/accuracy of the ranks; the second try takes the full range.
     for margin in (2.0 / accuracy, 1.0):
-        fitted = materialize(_exact_quantiles(values, lo, hi, margin, accuracy, rows_per_task), "bounds")
+        fitted = materialize(_exact_quantiles(values, lo, hi, margin, accuracy, partitions), "bounds")
         if fitted.where("NOT bracketed").isEmpty():
             break
     return fitted.drop("bracketed")
 
 
 def _exact_quantiles(
-    values: DataFrame, lo: float, hi: float, margin: float, accuracy: int, rows_per_task: int
+    values: DataFrame, lo: float, hi: float, margin: float, accuracy: int, partitions: int | None
 ) -> DataFrame:
     everything = (F.lit(float("-inf")), F.lit(float("inf"))) * 2
     ends = [q for target in (lo, hi) for q in (max(target - margin, 0.0), min(target + margin, 1.0))]
@@ -78,7 +78,7 @@ def _exact_quantiles(
         .agg(F.count(F.lit(1)).alias("n")),
         "bracket-counts",
     )
-    running = ordered_totals(counts, ["dim"], ["point", "gap"], {"upto": F.col("n")}, rows_per_task)
+    running = ordered_totals(counts, ["dim"], ["point", "gap"], {"upto": F.col("n")}, partitions)
 
     def order_statistic(rank: Column) -> Column:
         here = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank) & ~F.col("gap")
@@ -124,38 +124,42 @@ def assert_bounds(bounds: DataFrame) -> DataFrame:
     return bounds.withColumn("lower", F.when(_is_bad(), F.raise_error(message)).otherwise(F.col("lower")))
 
 
-# A bounds table has one row per action dimension; anything longer is not a bounds table.
-MAX_DIMS = 100_000
-# Up to this many dimensions the vector is mapped by one compiled expression per dimension, which
+# Same results either way, only the plan differs: up to this many dimensions the vector is mapped by one compiled expression per dimension, which
 # runs several times faster than a lambda over the array.
 UNROLLED_DIMS = 64
 
 
 def read_bounds(bounds: DataFrame) -> list[tuple[float, float]]:
     """The checked bounds as numbers, by dimension. They are settings of the run, not data."""
-    rows = bounds.select("dim", "lower", "upper").limit(MAX_DIMS + 1).collect()
+    rows = bounds.select("dim", "lower", "upper").collect()
     pairs = {r["dim"]: (r["lower"], r["upper"]) for r in rows}
-    if len(rows) > MAX_DIMS or sorted(pairs) != list(range(len(rows))):
-        raise ValueError("bounds need exactly one row for each dimension 0, 1, 2, ...")
+    if sorted(pairs) != list(range(len(rows))):
+        raise ValueError(
+            "bounds need exactly one row for each dimension 0, 1, 2, ...; a dimension without any value has no bounds"
+        )
     ordered = [pairs[dim] for dim in range(len(rows))]
     if not all(lower is not None and upper is not None and lower <= upper for lower, upper in ordered):
         raise ValueError("a lower bound is larger than its upper bound")
     return ordered
 
 
-def _apply(df: DataFrame, bounds: DataFrame, column: str, fn) -> DataFrame:
-    pairs = read_bounds(bounds)
-    vector = F.col(column)
+def _mapped(vector: Column, pairs: list[tuple[float, float]], fn) -> Column:
     if len(pairs) <= UNROLLED_DIMS:
         mapped = F.array(*[fn(F.get(vector, F.lit(i)), F.lit(lo), F.lit(hi)) for i, (lo, hi) in enumerate(pairs)])
     else:
         box = F.array(*[F.struct(F.lit(lo).alias("lower"), F.lit(hi).alias("upper")) for lo, hi in pairs])
         mapped = F.zip_with(vector, box, lambda x, b: fn(x, b["lower"], b["upper"]))
-    mismatch = F.raise_error(F.lit("vector and bounds differ in length"))
-    return df.withColumn(
-        column,
-        F.when(vector.isNull(), vector).when(F.size(vector) == len(pairs), mapped).otherwise(mismatch),
-    )
+    mismatch = F.raise_error(F.lit(f"vector and bounds differ in length (bounds: {len(pairs)})"))
+    return F.when(vector.isNull(), vector).when(F.size(vector) == len(pairs), mapped).otherwise(mismatch)
+
+
+def _apply(df: DataFrame, bounds: DataFrame, column: str, fn) -> DataFrame:
+    return df.withColumn(column, _mapped(F.col(column), read_bounds(bounds), fn))
+
+
+def _apply_steps(df: DataFrame, bounds: DataFrame, column: str, fn) -> DataFrame:
+    pairs = read_bounds(bounds)
+    return df.withColumn(column, F.transform(column, lambda step: _mapped(step, pairs, fn)))
 
 
 def normalize_actions(df: DataFrame, bounds: DataFrame, column: str = "action") -> DataFrame:
@@ -170,3 +174,13 @@ def normalize_actions(df: DataFrame, bounds: DataFrame, column: str = "action")
 def unnormalize_actions(df: DataFrame, bounds: DataFrame, column: str = "action") -> DataFrame:
     """Inverse of :func:`normalize_actions` on the clamped values."""
     return _apply(df, bounds, column, unnormalize_value)
+
+
+def normalize_chunks(df: DataFrame, bounds: DataFrame, column: str = "action_chunk") -> DataFrame:
+    """:func:`normalize_actions` for each step of a chunk, in place."""
+    return _apply_steps(df, bounds, column, normalize_value)
+
+
+def unnormalize_chunks(df: DataFrame, bounds: DataFrame, column: str = "action_chunk") -> DataFrame:
+    """Inverse of :func:`normalize_chunks` on the clamped values."""
+    return _apply_steps(df, bounds, column, unnormalize_value)

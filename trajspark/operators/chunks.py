@@ -18,18 +18,19 @@ def action_chunk(
     k: int,
     bounds: DataFrame | None = None,
     block_rows: int = CHUNK_BLOCK,
-    keep_partitioning: bool = False,
 ) -> DataFrame:
     """Add ``action_chunk``: this and the next ``k - 1`` actions of the same episode.
 
     Past the end of the episode the last action is repeated. With ``bounds`` the actions are
     normalised first (once per frame, before the shuffle). ``frame_index`` must run 0, 1, 2, ...
-    in every episode; a gap fails the query (use ``frame_index()`` to number frames again).
+    in every episode; a gap, a duplicate or another start fails the query (use ``frame_index()``
+    to number frames again).
 
     Frames are grouped by (episode, block of frame indexes) and the first ``k - 1`` frames of a
-    block are also sent to the block before it, so an episode is never one task. This is the one
-    shuffle. ``keep_partitioning`` lets input that is already partitioned by episode stay where it
-    is; ask for it only if episodes are known to be small, as straight after ``frame_index()``.
+    block (at least one) are also sent to the block before it, so an episode is never one task. This
+    is the one shuffle, and it is spelled out: frames that arrive partitioned by episode would
+    otherwise stay in one task. Every block must begin with its first index, follow without a gap, and
+    be there if the next one is; together this holds for every gap, wherever it lies.
     """
     if k < 1:
         raise ValueError("a chunk needs at least one step")
@@ -40,21 +41,24 @@ def action_chunk(
         frames = normalize_actions(frames, bounds, "_step")
     position = F.col("frame_index").cast("long")
     home = int_div(position, block_rows)
-    is_head = (F.pmod(position, F.lit(block_rows)) < k - 1) & (home > 0)
+    offset = F.pmod(position, F.lit(block_rows))
+    is_head = (offset < max(k - 1, 1)) & (home > 0)
     spread = frames.withColumn(
         BLOCK, F.explode(F.when(is_head, F.array(home, home - 1)).otherwise(F.array(home)))
     )
-    if not keep_partitioning:
-        spread = spread.repartition("episode_index", BLOCK)
+    spread = spread.repartition("episode_index", BLOCK)
     order = Window.partitionBy("episode_index", BLOCK).orderBy("frame_index")
     # Wrapped in a struct because collect_list would skip a NULL action and shift the steps.
     steps = F.collect_list(F.struct(F.col("_step").alias("a"))).over(order.rowsBetween(0, k - 1))
-    following = F.lead("frame_index").over(order)
-    gap = F.raise_error(F.lit("frame_index has a gap or a duplicate"))
+    at_home = F.col(BLOCK) == home
+    follows = F.coalesce(F.lead("frame_index").over(order) == F.col("frame_index") + 1, F.lit(True))
+    # The first row of a block is its first index; a copy there means that the block itself is missing.
+    starts = F.lag("frame_index").over(order).isNotNull() | (at_home & (offset == 0))
+    gap = F.raise_error(F.lit("frame_index has a gap or a duplicate, or doesn't start at 0"))
     chunked = (
-        spread.select("*", steps.alias("_steps"), following.alias("_next"))
-        .where(F.col(BLOCK) == home)
-        .withColumn("_steps", F.when(F.col("_next") != F.col("frame_index") + 1, gap).otherwise(F.col("_steps.a")))
+        spread.select("*", steps.alias("_steps"), (follows & starts).alias("_whole"))
+        .where(at_home | ~F.col("_whole"))
+        .withColumn("_steps", F.when(F.col("_whole"), F.col("_steps.a")).otherwise(gap))
     )
     missing = F.lit(k) - F.size("_steps")
     padded = F.concat("_steps", F.array_repeat(F.element_at("_steps", -1), missing))

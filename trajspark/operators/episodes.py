@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.plans.ordered import ROWS_PER_TASK, ordered_index
+from trajspark.plans.ordered import int_div, ordered_index, ordered_totals
 
 
 def episode_summary(frames: DataFrame) -> DataFrame:
@@ -37,19 +37,38 @@ def frame_index(
     frames: DataFrame,
     order: Sequence[str],
     episode: str = "episode_index",
-    rows_per_task: int = ROWS_PER_TASK,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Index within the episode (``frame_index``), by ``order``; ties are not allowed."""
-    return ordered_index(frames, [episode], order, "frame_index", rows_per_task)
+    """Index within the episode (``frame_index``), by ``order``; a tie fails the query.
+
+    Only the episode and the order columns are sorted, ranged and stored; the frames then meet
+    their numbers in one join, so what else they hold is moved once.
+    """
+    keys = [episode, *order]
+    numbered = ordered_index(frames.select(*keys), [episode], order, "frame_index", partitions)
+    # One number per key: equal keys would each get a number of their own, in no fixed order.
+    tie = F.raise_error(F.concat(F.lit("frames with the same order: "), F.to_json(F.struct(*[F.col(f"_at_{k}") for k in keys]))))
+    unique = numbered.groupBy(*[F.col(k).alias(f"_at_{k}") for k in keys]).agg(
+        F.min("frame_index").alias("frame_index"), F.count(F.lit(1)).alias("_ties")
+    )
+    checked = unique.withColumn("frame_index", F.when(F.col("_ties") > 1, tie).otherwise(F.col("frame_index"))).drop("_ties")
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
+    return frames.join(checked, same).select(*frames.columns, "frame_index")
 
 
 def global_index(
-    frames: DataFrame,
-    order: Sequence[str] = ("episode_index", "frame_index"),
-    rows_per_task: int = ROWS_PER_TASK,
+    frames: DataFrame, episode: str = "episode_index", index: str = "frame_index", partitions: int | None = None
 ) -> DataFrame:
-    """Index over the whole dataset (``index``), episodes one after the other."""
-    return ordered_index(frames, [], order, "index", rows_per_task)
+    """Index over the whole dataset (``index``), episodes one after the other.
+
+    Frames are counted per episode; running totals over the episodes give each its offset, and ``index`` must run 0, 1, 2,
+    ... in every episode. The frames themselves are neither sorted nor stored.
+    """
+    sizes = frames.groupBy(episode).agg(F.count(F.lit(1)).alias("_frames"))
+    ends = ordered_totals(sizes, [], [episode], {"_end": F.col("_frames")}, partitions)
+    starts = ends.select(F.col(episode).alias("_episode"), (F.col("_end") - F.col("_frames")).alias("_start"))
+    placed = frames.join(starts, F.col(episode).eqNullSafe(F.col("_episode")))
+    return placed.select(*frames.columns, (F.col("_start") + F.col(index)).alias("index"))
 
 
 def select_episodes(frames: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -74,22 +93,48 @@ def project_keys(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     return frames.select(*keys)
 
 
-def size_report(frames: DataFrame, by: Sequence[str] = ("split", "task"), flag: str | None = None) -> DataFrame:
-    """Episodes, frames, action elements (and those with ``flag`` set) per part, with subtotals.
+def size_report(
+    frames: DataFrame,
+    splits: DataFrame,
+    tasks: DataFrame,
+    flag: str | None = None,
+    batch_sizes: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """Episodes, frames, action elements (and those with ``flag`` set) per split and task, with subtotals.
+
+    Subtotal rows have NULL in the columns they sum over, ``level`` says how many. An episode has one split
+    (``splits``) and may have several tasks. With ``batch_sizes`` (per split) also ``n_batches``, rounded up, for whole splits.
 
-    Subtotal rows have NULL in the columns they sum over, ``level`` says how many.
+    Frames are summed up by (episode, task) first. All else works on these few rows, and each level is built from
+    the one before: no distinct count and no copy of the rows per level.
     """
     flagged = F.col(flag) if flag else F.lit(True)
     size = F.size("action").cast("long")
-    parts = frames.groupBy(*by, "episode_index").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(size).alias("elements"),
-        F.sum(F.when(flagged, size).otherwise(0)).alias("flagged"),
-    )
-    return parts.rollup(*by).agg(
-        F.grouping_id().alias("level"),
-        F.count_distinct("episode_index").alias("n_episodes"),
-        F.sum("n").alias("n_frames"),
-        F.sum("elements").alias("n_elements"),
-        F.sum("flagged").alias("n_flagged"),
+    cells = frames.groupBy("episode_index", "task_index").agg(
+        F.count(F.lit(1)).alias("n_frames"),
+        F.sum(size).alias("n_elements"),
+        F.sum(F.when(flagged, size).otherwise(0)).alias("n_flagged"),
     )
+    sums = [F.sum(c).alias(c) for c in ("n_frames", "n_elements", "n_flagged")]
+    named = cells.join(splits.select("episode_index", "split"), "episode_index").join(tasks.select("task_index", "task"), "task_index")
+    # Two task numbers may share a text, so episodes are made single per text before they are counted.
+    texts = named.groupBy("split", "task", "episode_index").agg(*sums)
+    by_task = texts.groupBy("split", "task").agg(F.count(F.lit(1)).alias("n_episodes"), *sums)
+    whole = texts.groupBy("split", "episode_index").agg(*sums).groupBy("split").agg(F.count(F.lit(1)).alias("n_episodes"), *sums)
+    episodes = [F.sum("n_episodes").alias("n_episodes")]
+    total = whole.agg(*episodes, *sums).where("n_frames IS NOT NULL")
+    none = F.lit(None).cast("string")
+    measures = ["n_episodes", "n_frames", "n_elements", "n_flagged"]
+    levels = [
+        by_task.select("split", "task", F.lit(0).alias("level"), *measures),
+        whole.select("split", none.alias("task"), F.lit(1).alias("level"), *measures),
+        total.select(none.alias("split"), none.alias("task"), F.lit(3).alias("level"), *measures),
+    ]
+    report = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    if batch_sizes is None:
+        return report
+    count = F.lit(None).cast("long")
+    for split, batch in batch_sizes.items():
+        whole_split = (F.col("level") == 1) & (F.col("split") == split)
+        count = F.when(whole_split, int_div(F.col("n_frames") + batch - 1, batch)).otherwise(count)
+    return report.withColumn("n_batches", count)

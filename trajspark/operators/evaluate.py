@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,11 +41,21 @@ def score_policy(
     return scored if chunk_dim is None else stack_vector(scored, name, chunk_dim, name)
 
 
-def map_batches(batched: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
+def map_batches(
+    batched: DataFrame,
+    fn: Callable,
+    schema: str | T.StructType,
+    partitions: int | None = None,
+    contiguous: bool = False,
+) -> DataFrame:
     """Apply a pandas function to each batch and return its rows.
 
     The rows are clustered by batch and come to Python in Arrow chunks of many batches, so the
     cost of a hand-over is shared. A task holds one chunk and at most one unfinished batch.
+
+    ``partitions`` is the number of tasks (default: the shuffle partitions); size it by the data. With
+    ``contiguous`` each partition already holds whole batches, as
+    ``seeded_rank(partitions=...)`` lays out shards of a multiple of the batch size, and nothing is shuffled.
     """
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,8 +74,10 @@ def map_batches(batched: DataFrame, fn: Callable, schema: str | T.StructType) ->
 
     # A fixed number of partitions, because adaptive execution would merge rows by their bytes and
     # knows nothing of the Python work on them.
-    tasks = int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return batched.repartition(tasks, "batch_id").sortWithinPartitions("batch_id").mapInPandas(run, schema)
+    if not contiguous:
+        tasks = partitions or int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        batched = batched.repartition(tasks, "batch_id")
+    return batched.sortWithinPartitions("batch_id").mapInPandas(run, schema)
 
 
 def prediction_error(
@@ -75,16 +87,30 @@ def prediction_error(
     bounds: DataFrame | None = None,
     predicted_column: str = "predicted_chunk",
     target_column: str = "action_chunk",
+    strict: bool = True,
 ) -> DataFrame:
     """Rows (key, step, dim, target, predicted, error); with ``bounds`` after unnormalising both.
 
-    The sides are joined as whole chunks, one row per sample, and unrolled afterwards.
+    The sides are joined as whole chunks, one row per sample, and unrolled afterwards. In strict mode a
+    sample that only one side has, or chunks of different shape, fail the query; otherwise such samples
+    are left out.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    pairs = predicted.select(*keys, F.col(predicted_column).alias("_p")).join(
-        target.select(*keys, F.col(target_column).alias("_t")), keys
-    )
-    return chunk_error(pairs, keys, bounds, "_p", "_t")
+    ours = predicted.select(*keys, F.col(predicted_column).alias("_p"), F.lit(True).alias("_predicted"))
+    theirs = target.select(*keys, F.col(target_column).alias("_t"), F.lit(True).alias("_target"))
+    if not strict:
+        return chunk_error(ours.join(theirs, keys).where(_same_shape("_p", "_t")), keys, bounds, "_p", "_t")
+    pairs = ours.join(theirs, keys, "full")
+    alone = F.col("_predicted").isNull() | F.col("_target").isNull()
+    message = F.concat(F.lit("prediction and target do not match in sample "), F.to_json(F.struct(*keys)))
+    checked = pairs.withColumn("_p", F.when(alone, F.raise_error(message)).otherwise(F.col("_p")))
+    return chunk_error(checked, keys, bounds, "_p", "_t")
+
+
+def _same_shape(predicted: str, actual: str) -> Column:
+    """Whether both chunks are there and have the same number of steps, and of values in each step."""
+    sizes = [F.transform(c, F.size) for c in (predicted, actual)]
+    return F.coalesce((F.size(predicted) == F.size(actual)) & (sizes[0] == sizes[1]), F.lit(False))
 
 
 def chunk_error(
@@ -94,18 +120,21 @@ def chunk_error(
     predicted_column: str = "predicted_chunk",
     target_column: str = "action_chunk",
 ) -> DataFrame:
-    """The same for rows that already hold both chunks: no join, no shuffle."""
-    steps = pairs.select(
-        *keep, F.posexplode(F.arrays_zip(F.col(predicted_column).alias("p"), F.col(target_column).alias("t"))).alias("step", "_s")
-    )
+    """The same for rows that already hold both chunks: no join, no shuffle. Chunks of different shape fail."""
+    differ = F.raise_error(F.lit("prediction and target differ in shape"))
+    zipped = F.arrays_zip(F.col(predicted_column).alias("p"), F.col(target_column).alias("t"))
+    whole = F.when(_same_shape(predicted_column, target_column), zipped).otherwise(differ)
+    steps = pairs.select(*keep, F.posexplode(whole).alias("step", "_s"))
     cells = steps.select(
         *keep, "step", F.posexplode(F.arrays_zip(F.col("_s.p").alias("p"), F.col("_s.t").alias("t"))).alias("dim", "_c")
     )
     predicted, actual = F.col("_c.p"), F.col("_c.t")
     if bounds is not None:
-        pairs = read_bounds(bounds)
-        lower = F.get(F.array(*[F.lit(lo) for lo, _ in pairs]), F.col("dim"))
-        upper = F.get(F.array(*[F.lit(hi) for _, hi in pairs]), F.col("dim"))
+        limits = read_bounds(bounds)
+        beyond = F.raise_error(F.lit(f"a step has more dimensions than the bounds ({len(limits)})"))
+        known = F.col("dim") < len(limits)
+        lower = F.when(known, F.get(F.array(*[F.lit(lo) for lo, _ in limits]), F.col("dim"))).otherwise(beyond)
+        upper = F.when(known, F.get(F.array(*[F.lit(hi) for _, hi in limits]), F.col("dim"))).otherwise(beyond)
         predicted, actual = unnormalize_value(predicted, lower, upper), unnormalize_value(actual, lower, upper)
     return cells.select(
         *keep, "step", "dim", actual.alias("target"), predicted.alias("predicted"), (predicted - actual).alias("error")
@@ -125,8 +154,18 @@ def validation_loss(errors: DataFrame) -> DataFrame:
     )
 
 
-def error_profile(errors: DataFrame, by: Sequence[str] = ("step", "dim")) -> DataFrame:
-    """Mean target, mean prediction, mean and largest absolute error per part, with subtotals."""
+def error_profile(
+    errors: DataFrame,
+    by: Sequence[str] = ("step", "dim"),
+    quantiles: Sequence[float] = (),
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """Mean target, mean prediction, mean and largest absolute error per part, with subtotals.
+
+    With ``quantiles`` also column ``abs_error_quantiles``, an array of those of the absolute error, from a sketch
+    that is built map-side and errs by at most ``1 / accuracy`` of the ranks.
+    """
+    sketch = F.percentile_approx(F.abs("error"), F.array(*map(F.lit, quantiles)), accuracy) if quantiles else None
     return errors.rollup(*by).agg(
         F.grouping_id().alias("level"),
         F.count(F.lit(1)).alias("n"),
@@ -134,6 +173,7 @@ def error_profile(errors: DataFrame, by: Sequence[str] = ("step", "dim")) -> Dat
         F.avg("predicted").alias("mean_predicted"),
         F.avg(F.abs("error")).alias("mean_abs_error"),
         F.max(F.abs("error")).alias("max_abs_error"),
+        *([] if sketch is None else [sketch.alias("abs_error_quantiles")]),
     )
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.plans.ordered import BLOCK, BLOCK_ROWS, ROWS_PER_TASK, int_div, ordered_totals, running_totals
+from trajspark.plans.ordered import BLOCK, BLOCK_ROWS, int_div, ordered_totals, running_totals
 
 # What the model's layout prescribes.
 MERGE_SIZE = 2        # image patches merged per axis into one token
@@ -50,7 +50,8 @@ def pad_sequences(
     if batch is None:
         sized = sequences.withColumn("_longest", sequences.agg(longest).scalar())
     else:
-        sized = sequences.join(sequences.groupBy(batch).agg(longest), batch)
+        sizes = sequences.groupBy(F.col(batch).alias("_batch")).agg(longest)
+        sized = sequences.join(sizes, F.col(batch).eqNullSafe(F.col("_batch")))  # NULL is a batch, too
     gap = F.col("_longest") - F.size(tokens)
     padding = F.array_repeat(pad if isinstance(pad, Column) else F.lit(pad), gap)
     zeros, ones = F.array_repeat(F.lit(0), gap), F.array_repeat(F.lit(1), F.size(tokens))
@@ -283,25 +284,30 @@ def ordinal_join(
 
 def sequence_offsets(
     grids: DataFrame,
-    order: Sequence[str] = ("sample", "image_no"),
-    rows_per_task: int = ROWS_PER_TASK,
+    sample: str = "sample",
+    image: str = "image_no",
+    block_rows: int = BLOCK_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Prefix offsets over all frames of all grids: rows (entry, offset), starting with (0, 0).
+    """Prefix offsets over all frames of all grids, by (sample, image): rows (entry, offset), starting with (0, 0).
 
-    The running sums are taken per grid; the t frames of a grid then follow in place.
+    Totals of whole samples are summed up first; within a sample the running sums go by blocks of images, and
+    the t frames of a grid then follow in place.
     """
     frames, area = F.col("t").cast("long"), F.col("h").cast("long") * F.col("w")
-    placed = ordered_totals(
-        grids.select(*order, "t", "h", "w").where("t > 0"),
-        [],
-        order,
-        {"_entries": frames, "_tokens": frames * area},
-        rows_per_task,
+    totals = {"_entries": frames, "_tokens": frames * area}
+    shown = grids.select(sample, image, "t", "h", "w").where("t > 0")
+    sizes = shown.groupBy(sample).agg(*[F.sum(v).alias(f"_all{n}") for n, v in totals.items()])
+    ends = ordered_totals(sizes, [], [sample], {f"_end{n}": F.col(f"_all{n}") for n in totals}, partitions)
+    starts = ends.select(
+        F.col(sample).alias("_sample"), *[(F.col(f"_end{n}") - F.col(f"_all{n}")).alias(f"_start{n}") for n in totals]
     )
+    inside = running_totals(shown, [sample], image, totals, block_rows)
+    placed = inside.join(starts, F.col(sample).eqNullSafe(F.col("_sample")))
     each = placed.select("*", F.explode(F.sequence(F.lit(1).cast("long"), frames)).alias("i"))
     offsets = each.select(
-        (F.col("_entries") - frames + F.col("i")).alias("entry"),
-        (F.col("_tokens") + (F.col("i") - frames) * area).alias("offset"),
+        (F.col("_start_entries") + F.col("_entries") - frames + F.col("i")).alias("entry"),
+        (F.col("_start_tokens") + F.col("_tokens") + (F.col("i") - frames) * area).alias("offset"),
     )
     zero = F.lit(0).cast("long")
     first = grids.sparkSession.range(1).select(zero.alias("entry"), zero.alias("offset"))
@@ -319,7 +325,8 @@ def assign_segment(positions: DataFrame, spans: DataFrame, block_rows: int = BLO
 
     A range join by sorting: in each block of positions the last start at or before ``pos`` names
     its segment. A segment that reaches into later blocks leaves a mark at their beginning, so
-    blocks are independent; no pair of a position and a span is ever formed.
+    blocks are independent; no pair of a position and a span is ever formed. The spans of a
+    sample must not overlap; where one begins before the last one has ended, the query fails.
     """
     first = int_div(F.col("start"), block_rows)
     last = int_div(F.col("end") - 1, block_rows)
@@ -337,14 +344,18 @@ def assign_segment(positions: DataFrame, spans: DataFrame, block_rows: int = BLO
         F.struct(*columns).alias("_row"),
     )
     in_order = Window.partitionBy("sample", BLOCK).orderBy("_at", F.col("_row").isNotNull())
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
     marked = placed.unionByName(marks, allowMissingColumns=True).repartition("sample", BLOCK).select(
         "_row", "_at",
-        F.last("_span", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("_span"),
+        F.last("_span", ignorenulls=True).over(so_far).alias("_span"),
+        # The end of every span that has begun: none may reach beyond the start of a later one.
+        (F.max("_span.end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("_at")).alias("_open"),
+        F.col("_span").isNotNull().alias("_begins"),
     )
+    overlap = F.col("_begins") & F.col("_open")
     inside = F.col("_at") < F.col("_span.end")
-    return marked.where(F.col("_row").isNotNull()).select(
-        "_row.*", F.when(inside, F.col("_span.segment")).alias("segment")
-    )
+    shown = F.when(overlap, F.raise_error(F.lit("spans of a sample overlap"))).when(inside, F.col("_span.segment"))
+    return marked.where(F.col("_row").isNotNull() | overlap).select("_row.*", shown.alias("segment"))
 
 
 # --- repetition --------------------------------------------------------------------------------

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.plans.ordered import int_div
+from trajspark.session import materialize
 
-# 16**HASH_PREFIX buckets: 65,536 rows of bucket totals are broadcast (about 1 MB), whatever the
-# data size. At 10**12 rows a bucket holds some 15 million rows, which one window task can sort.
+# 16**HASH_PREFIX buckets: 65,536 rows of bucket totals are broadcast (about 1 MB). A bucket holds rows / 65,536,
+# which one window task sorts: some 15 million at 10**12 rows. Beyond that, give ``prefix=5``
+# (a million buckets) or more: the result doesn't depend on it.
 HASH_PREFIX = 4
+EPOCH_RUN = 1024
 
 
 def seeded_rank(
@@ -33,7 +36,9 @@ def seeded_rank(
 
     With ``below`` only ranks under that number are kept (all rows if there are fewer); buckets
     that lie beyond it are dropped before the shuffle. With ``within`` the ranks are counted per
-    value of those columns, meant for a handful of values such as the splits.
+    value of those columns (NULL is a value, too), meant for a handful of values such as the splits. The
+    bucket totals are hinted for broadcast only without ``within``: their number is then at most
+    ``16 ** prefix``; with it they are stored, and Spark broadcasts them if their measured size allows.
 
     With ``partitions`` the result comes in that many partitions which follow the rank: each is a
     run of consecutive ranks (of every ``within`` value), as a writer of shards wants it. The
@@ -60,7 +65,12 @@ def seeded_rank(
     if below is not None:
         limit = F.lit(below) if isinstance(below, int) else below
         starts = starts.where(F.col("_start") < limit)
-    placed = hashed.join(F.broadcast(starts), buckets)
+    # NULL is a value of ``within`` like any other.
+    renamed = starts.select(*[F.col(c).alias(f"_at_{c}") for c in buckets], "_start")
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in buckets]
+    # With ``within`` the totals are stored first, so that Spark knows their size when it chooses the join.
+    known = materialize(renamed, "rank-starts") if within else F.broadcast(renamed)
+    placed = hashed.join(known, same).drop(*[f"_at_{c}" for c in buckets])
     groups = buckets
     if partitions is not None:
         number = F.conv("_bucket", 16, 10).cast("long")
@@ -135,21 +145,29 @@ def step_schedule(
     max_steps: int,
     accumulation: int = 1,
     save_every: int | None = None,
+    start_step: int = 0,
 ) -> DataFrame:
     """One row per training step: batches run in order, epoch after epoch, until ``max_steps``.
 
     Columns: step (from 0), epoch, batch_id, n_samples, is_update (an optimiser update ends the
     step), and with ``save_every`` is_save (a checkpoint follows it; the final step always saves).
-    Every batch is repeated once per epoch, so the rows stay spread over the batches.
+    With ``start_step`` (the stored number of steps done) the schedule is resumed: the same
+    rows from that step on, its epoch and batch included.
+
+    Every batch is repeated once per epoch that is left, so the rows stay spread over the batches; the epochs of a batch
+    come in runs of ``EPOCH_RUN``, so no row holds a long array.
     """
     batches = batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_samples"))
     per_epoch = batches.agg(F.count(F.lit(1)).alias("n")).scalar()
-    last_epoch = int_div(F.lit(max_steps - 1).cast("long"), F.col("_per_epoch"))
+    first_epoch = int_div(F.lit(start_step).cast("long"), F.col("_per_epoch"))
+    last_epoch = int_div(F.lit(max(max_steps - 1, start_step)).cast("long"), F.col("_per_epoch"))
+    run_end = F.least(F.col("_run") + EPOCH_RUN - 1, last_epoch)
     steps = (
         batches.withColumn("_per_epoch", per_epoch)
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last_epoch)))
+        .withColumn("_run", F.explode(F.sequence(first_epoch, last_epoch, F.lit(EPOCH_RUN).cast("long"))))
+        .withColumn("epoch", F.explode(F.sequence(F.col("_run"), run_end)))
         .withColumn("step", F.col("epoch") * F.col("_per_epoch") + F.col("batch_id"))
-        .where(F.col("step") < max_steps)
+        .where((F.col("step") < max_steps) & (F.col("step") >= start_step))
         .withColumn("is_update", F.pmod(F.col("step") + 1, F.lit(accumulation)) == 0)
     )
     columns = ["step", "epoch", "batch_id", "n_samples", "is_update"]

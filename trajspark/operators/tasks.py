@@ -17,15 +17,19 @@ QUESTION_TAIL = "?"
 def attach_task(frames: DataFrame, tasks: DataFrame, strict: bool = True) -> DataFrame:
     """Add the task text by ``task_index``; in strict mode a frame without a task fails the query.
 
-    ``tasks`` has one row per index. It carries no broadcast hint because its size is not
+    ``tasks`` has one row per index; in strict mode a repeated index fails the query as well, instead of
+    doubling frames. It carries no broadcast hint because its size is not
     bounded: Spark broadcasts it below its threshold, otherwise a frequent task is split
     by adaptive execution.
     """
     known = tasks.select("task_index", "task", F.lit(True).alias("_known"))
     joined = frames.join(known, "task_index", "left")
     if strict:
+        # The check of the tasks is a subquery of its own, so that the join stays one that can be split.
+        most = tasks.groupBy("task_index").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
+        twice = F.raise_error(F.lit("more than one task with the same index"))
         message = F.concat(F.lit("no task with index "), F.coalesce(F.col("task_index").cast("string"), F.lit("NULL")))
-        joined = joined.withColumn("task", F.when(F.col("_known").isNull(), F.raise_error(message)).otherwise(F.col("task")))
+        joined = joined.withColumn("task", F.when(F.col("_known").isNull(), F.raise_error(message)).when(most > 1, twice).otherwise(F.col("task")))
     return joined.drop("_known")
 
 
@@ -60,15 +64,19 @@ def augmentation_plan(
     seed: int,
     epoch: int,
     random_order: bool = False,
-    enable: bool = True,
+    enable: bool | Column = True,
     key: Sequence[str] = ("episode_index", "frame_index"),
 ) -> DataFrame:
     """Which transforms each frame gets, and in which order: rows (key, position, transform).
 
     ``min(len(transforms), max_n)`` are drawn uniformly without repetition; they keep the list's
     order unless ``random_order``. The draw is a sort of a short array inside the row, so
-    nothing is joined or shuffled. With ``enable=False`` the plan is empty.
+    nothing is joined or shuffled. ``enable`` may be a condition on the frame, such as ``augmented_splits()``; frames
+    for which it isn't true get no rows, and without transforms nobody does.
     """
+    if not transforms:
+        return frames.select(*key, F.lit(0).alias("position"), F.lit("").alias("transform")).where(F.lit(False))
+    frames = frames.where(enable if isinstance(enable, Column) else F.lit(enable))
     stem = F.concat_ws(":", F.lit(f"{seed}:{epoch}"), *[F.col(k).cast("string") for k in key])
     drawn = F.array_sort(F.array(*[
         F.struct(
@@ -82,5 +90,11 @@ def augmentation_plan(
     if not random_order:
         chosen = F.array_sort(F.transform(chosen, lambda c: F.struct(c["number"].alias("number"), c["transform"].alias("transform"))))
     picked = frames.select(*key, F.posexplode(chosen).alias("position", "_choice"))
-    plan = picked.select(*key, "position", F.col("_choice.transform").alias("transform"))
-    return plan if enable else plan.where(F.lit(False))
+    return picked.select(*key, "position", F.col("_choice.transform").alias("transform"))
+
+
+def augmented_splits(enable: bool = True, validation: bool = False, split: str = "split") -> Column:
+    """Whether a frame is augmented: training frames if enabled, validation frames only if asked for as well."""
+    if not enable:
+        return F.lit(False)
+    return F.lit(True) if validation else F.col(split).eqNullSafe("train")

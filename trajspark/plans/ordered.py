@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from trajspark.session import materialize
 
-BLOCK_ROWS = 1 << 20      # rows per block where a position column gives the blocks
-ROWS_PER_TASK = 10_000_000  # largest group that one window task is given
+BLOCK_ROWS = 1 << 20  # rows per block where a position column gives the blocks
 
 BLOCK = "_block"
 
@@ -26,13 +25,6 @@ def int_div(value: Column, divisor: int | Column) -> Column:
     return F.call_function("div", value, divisor)
 
 
-def largest_group(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
-    """(rows in the largest group, rows in all): a count with map-side combine over the keys only."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return row["largest"] or 0, row["total"] or 0
-
-
 def _add_totals(
     blocked: DataFrame,
     group: Sequence[str],
@@ -46,18 +38,19 @@ def _add_totals(
     spec = Window.partitionBy(*group) if group else Window
     earlier = spec.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(
-        *keys,
+        *[F.col(k).alias(f"_at_{k}") for k in keys],
         F.count(F.lit(1)).over(earlier).alias("_blocks_before"),
         *[F.sum(f"_sum_{n}").over(earlier).alias(f"_carry_{n}") for n in totals],
     ).where("_blocks_before > 0").drop("_blocks_before")
     # Only the second and later blocks of a group carry anything, so this side has at most one
     # row per block boundary; with range blocks that is below the number of range partitions.
     carried = F.broadcast(carried) if few_blocks else carried
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]  # NULL is a group like any other
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = [F.col(c) for c in blocked.columns if c != BLOCK]
     # The shuffle by block is spelled out: rows that happen to arrive partitioned by group would
     # satisfy the window as they are, with a large group in one task.
-    return blocked.repartition(*keys).join(carried, keys, "left").select(
+    return blocked.repartition(*keys).join(carried, same, "left").select(
         *kept,
         *[(F.sum(v).over(inside) + F.coalesce(f"_carry_{n}", F.lit(0))).alias(n) for n, v in totals.items()],
     )
@@ -72,7 +65,6 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running totals of each group by an integer ``position``, unique in its group.
 
-    Group columns must not be NULL (block totals are joined back on them).
     Blocks are ``position div block_rows``: known without looking at the data, so the plan is
     lazy and a retried task lands on the same blocks.
     """
@@ -85,47 +77,26 @@ def ordered_totals(
     group: Sequence[str],
     order: Sequence[str],
     totals: Mapping[str, Column],
-    rows_per_task: int = ROWS_PER_TASK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Inclusive running totals of each group by any ``order`` that has no ties in a group.
 
-    The group sizes are counted first. Groups that fit a task go through one window. The rows of
-    larger groups (or of the whole table, if ``group`` is empty) are range-partitioned by (group,
-    order), which cuts a group at sampled keys, and written once, so that the blocks are the same
-    for every reader.
+    The rows are range-partitioned by (group, order), which cuts groups at sampled keys wherever they are large,
+    and written once, so that the blocks are the same for every reader. Neither a group nor
+    the table (if ``group`` is empty) is ever one task, at any size. All columns of ``df`` are written: give narrow rows.
+
+    ``partitions`` is the number of ranges; by default Spark's shuffle partitions, merged by adaptive execution where
+    they are small.
     """
-    largest, total = largest_group(df, group)
-    if largest <= rows_per_task:
-        return _in_one_window(df, group, order, totals)
-    small = None
-    if group:
-        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > rows_per_task)
-        # Fewer than total / rows_per_task rows, whatever the number of groups.
-        large = materialize(sizes, "large-groups")
-        names = F.broadcast(large.select(*group))
-        columns = df.columns
-        small = _in_one_window(df.join(names, list(group), "left_anti").select(*columns), group, order, totals)
-        df = df.join(names, list(group), "left_semi").select(*columns)
-        total = large.agg(F.sum("_size")).first()[0]
-    partitions = 2 * -(-total // rows_per_task)
-    ranged = df.repartitionByRange(partitions, *group, *order).withColumn(BLOCK, F.spark_partition_id())
-    split = _add_totals(materialize(ranged, "ranges"), group, order, totals, few_blocks=True)
-    return split if small is None else small.unionByName(split)
-
-
-def _in_one_window(df: DataFrame, group: Sequence[str], order: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
-    spec = Window.partitionBy(*group) if group else Window
-    frame = spec.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.select("*", *[F.sum(v).over(frame).alias(n) for n, v in totals.items()])
+    keys = [*group, *order]
+    ranged = df.repartitionByRange(*keys) if partitions is None else df.repartitionByRange(partitions, *keys)
+    blocks = materialize(ranged.withColumn(BLOCK, F.spark_partition_id()), "ranges")
+    return _add_totals(blocks, group, order, totals, few_blocks=True)
 
 
 def ordered_index(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    name: str,
-    rows_per_task: int = ROWS_PER_TASK,
+    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, partitions: int | None = None
 ) -> DataFrame:
     """Zero-based BIGINT index of each row in its group."""
-    counted = ordered_totals(df, group, order, {name: F.lit(1).cast("long")}, rows_per_task)
+    counted = ordered_totals(df, group, order, {name: F.lit(1).cast("long")}, partitions)
     return counted.withColumn(name, F.col(name) - 1)

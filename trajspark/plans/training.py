@@ -12,7 +12,7 @@ from trajspark.operators.bounds import fit_bounds
 from trajspark.operators.chunks import action_chunk
 from trajspark.operators.evaluate import chunk_error, score_policy, validation_loss
 from trajspark.operators.shuffling import assign_batches, bounded_sample, seeded_rank, split_episodes
-from trajspark.operators.tasks import attach_task
+from trajspark.operators.tasks import attach_task, render_prompt
 from trajspark.plans.ordered import int_div
 from trajspark.session import materialize
 
@@ -26,9 +26,10 @@ class TrainingPlan:
     train_fraction: float = 0.8
     batch_size: int = 32
     val_batch_size: int | None = None
-    max_val_batches: int = 256
+    max_val_batches: int | None = None  # None keeps all validation frames; a number draws a sample for each evaluation
     quantiles: tuple[float, float] = (0.01, 0.99)
     fit_on: str = "all"
+    prompt_images: tuple[str, str] | None = None  # columns with the references of both images; gives each frame its prompt
 
 
 def prepare_training_set(
@@ -40,27 +41,31 @@ def prepare_training_set(
 ) -> DataFrame:
     """Frames to batches: split, bounds, chunks, tasks, shuffled order, batch numbers.
 
-    Every training frame is kept; validation is the bounded sample. Ranks and batches are
-    counted per split in one pass, so the chunks are computed once for both. With ``partitions``
-    the result is laid out in batch order, ready for ``write_training_set(..., in_order=True)``.
+    Every training frame is kept, and every validation frame unless ``max_val_batches`` asks for a sample. Split, task and
+    prompt are attached to the frames before these grow into chunks; the chunks are then moved once to their block and
+    once to their rank. With ``partitions`` the result is laid out in batch order, ready
+    for ``write_training_set(..., in_order=True)``.
     """
     # One row per episode, read several times; and the split must not change between its readers.
     episodes = materialize(frames.select("episode_index").distinct(), "episodes")
     splits = materialize(split_episodes(episodes, plan.train_fraction, plan.seed), "splits")
     fit_episodes = splits.where("split = 'train'") if plan.fit_on == "train" else None
     bounds = fit_bounds(frames, *plan.quantiles, episodes=fit_episodes)
-    # Chunks come first: a join on the episode would leave long episodes in one task for them.
-    chunks = action_chunk(frames, plan.chunk_len, bounds).join(splits, "episode_index")
+    described = attach_task(frames.join(splits, "episode_index"), tasks)
+    if plan.prompt_images is not None:
+        described = render_prompt(described, *plan.prompt_images)
     val_size = plan.val_batch_size or plan.batch_size
     is_train = F.col("split") == "train"
-    limit = F.when(is_train, F.lit(2**63 - 1)).otherwise(F.lit(plan.max_val_batches * val_size))
+    limit = None
+    if plan.max_val_batches is not None:
+        limit = F.when(is_train, F.lit(2**63 - 1)).otherwise(F.lit(plan.max_val_batches * val_size))
     ranked = seeded_rank(
-        attach_task(chunks, tasks),
+        action_chunk(described, plan.chunk_len, bounds),
         ["episode_index", "frame_index"],
         f"{plan.seed}:{epoch}",
         below=limit,
         within=["split"],
-        count_from=frames.join(splits, "episode_index"),
+        count_from=frames.select("episode_index", "frame_index").join(splits, "episode_index"),
         partitions=partitions,
     )
     size = F.when(is_train, F.lit(plan.batch_size)).otherwise(F.lit(val_size)).cast("long")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_scopes: list[list[str]] = []
 
 
 def build_session(app_name: str = "trajspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,7 +49,28 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below one folder per application, so that a finished run can be cleaned as a whole."""
-    return f"{scratch_root(spark)}/trajspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/trajspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all that was stored below ``scratch_path`` since its beginning.
+
+    Lazy results read what was stored for them: write them elsewhere before the scope ends.
+    """
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for stored in mine:
+            folder = jvm.org.apache.hadoop.fs.Path(stored)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark.operators.bounds import normalize_actions
-from trajspark.session import scratch_path
 
 
 def stream_normalize(stream: DataFrame, bounds: DataFrame, column: str = "action") -> DataFrame:
@@ -27,13 +26,21 @@ def stream_metrics(
     )
 
 
-def drain_to_table(stream: DataFrame, path: str, name: str) -> DataFrame:
-    """Run a stateless stream over all available input into Parquet files and read them back."""
+def progress_of(path: str, checkpoint: str | None) -> str:
+    """Where a sink keeps its offsets and state: the named folder, else one beside its table."""
+    return checkpoint or f"{path.rstrip('/')}-progress"
+
+
+def drain_to_table(stream: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
+    """Run a stateless stream over all input that is new since the last call into Parquet files; read back all of them.
+
+    Calls with the same ``path`` and ``checkpoint`` continue each other.
+    """
     spark = stream.sparkSession
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
-        .option("checkpointLocation", scratch_path(spark, f"{name}-offsets"))
+        .option("checkpointLocation", progress_of(path, checkpoint))
         .trigger(availableNow=True)
         .start()
     )
@@ -41,8 +48,10 @@ def drain_to_table(stream: DataFrame, path: str, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_updates(stream: DataFrame, path: str, name: str, keys: list[str]) -> DataFrame:
-    """Run an aggregating stream in update mode; the latest version of every key is read back.
+def drain_updates(stream: DataFrame, path: str, keys: list[str], checkpoint: str | None = None) -> DataFrame:
+    """Run an aggregating stream in update mode over the new input; the latest version of every key is read back.
+
+    Calls with the same ``path`` and ``checkpoint`` continue each other: state lives on, and batch numbers go up.
 
     Append mode would hold back the newest windows, and complete mode would keep all state.
     Each micro-batch overwrites its own folder, so a batch that is run again does no harm.
@@ -54,7 +63,7 @@ def drain_updates(stream: DataFrame, path: str, name: str, keys: list[str]) -> D
 
     query = (
         stream.writeStream.outputMode("update")
-        .option("checkpointLocation", scratch_path(spark, f"{name}-offsets"))
+        .option("checkpointLocation", progress_of(path, checkpoint))
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
