@@ -4,8 +4,9 @@ The score of a segmentation is the sum of its pieces' scores. The search runs ov
 best score from the start to every place, and that is the exact heuristic of a backward A-star search from the end, which therefore
 completes segmentations from best to worst and never looks at a place that none of them passes.
 
-Places that no piece of the vocabulary can cross cut the lattice. Each part between two cuts is searched once per worker and remembered, and
-the best segmentations of a text are the best sums over its parts: the whole text is segmented, however long it is.
+Places that no piece of the vocabulary can cross cut the lattice, and the best segmentations of a text are the best sums over the parts
+between the cuts: the whole text is segmented, however long it is. Of each part a worker remembers the best segmentation and how much worse the
+second best is; that tells which parts can take part in the n best of a text, and only these are searched for their n best.
 
 Text form: a space before a non-empty text, spaces as U+2581. A character that no piece covers becomes its UTF-8 bytes as byte pieces, at
 the cost of the worst piece and ten more. Equal scores: of one part, the segmentation whose ids read from the end are smaller comes first; of a
@@ -19,10 +20,11 @@ table gives an empty result; other columns are never looked at.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,22 @@ from pyspark.sql.types import StringType, StructField, StructType
 NBEST = 4
 SPACE = "▁"
 PENALTY = 10              # fixed value: what an unknown character costs beyond the worst piece
-HELD = 3_000_000          # characters of parts that a worker remembers with their segmentations
+HELD = 12_000_000         # characters of parts that a worker remembers with their best segmentation
+OTHERS = 50_000           # parts that it remembers with all n
 WORD = 64                 # longer runs without a space are taken part by part
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-# A segmentation: cost beyond the best one of its part, number of ids, ids as little-endian 32-bit numbers.
-Path = tuple[float, int, bytes]
+INFINITE = float("inf")
+# A segmentation: cost beyond the best one of its part, ids as little-endian 32-bit numbers.
+Path = tuple[float, bytes]
+# A piece that ends at a place: where it starts, its ids from last to first, its cost.
+Edge = tuple[int, tuple[int, ...], float]
+# The best segmentation of a part: its cost, how much worse the second is, ids.
+Part = tuple[float, float, bytes]
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Behind:
@@ -77,75 +89,144 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], n: int = NBEST) -> None:
         """``pieces``: id and cost (negative score) of each piece; ``byte_ids``: id of each byte's piece."""
-        self.pieces, self.byte_ids, self.n = pieces, byte_ids, n
+        self.byte_ids, self.n = byte_ids, n
+        self.pieces = {piece: ((number,), cost) for piece, (number, cost) in pieces.items()}
         self.unknown = max(cost for _, cost in pieces.values()) + PENALTY
-        self.longest = max(map(len, pieces))
+        self.reach: dict[str, int] = {}  # length of the longest piece with these first two characters
+        for piece in pieces:
+            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
         self.inside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}  # neighbours that a piece spans
         # Space runs apart, a chunk starts where a space follows something else; no piece may cross that.
         self.by_chunk = not any(b == SPACE and a != SPACE for a, b in self.inside)
-        self.known: dict[str, tuple[float, list[Path]]] = {}
+        self.known: dict[str, Part] = {}
+        self.others: dict[str, list[Path]] = {}
         self.held = 0  # characters in ``known``
 
-    def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each place the pieces that end there: (start, ids from last to first, cost)."""
-        found: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(len(text) + 1)]
-        get, size = self.pieces.get, len(text)
+    def forward(self, text: str) -> tuple[list[list[Edge]], list[float]]:
+        """For each place the pieces that end there, and the Viterbi cost from the start to it."""
+        size = len(text)
+        ending: list[list[Edge]] = [[] for _ in range(size + 1)]
+        best = [0.0] + [INFINITE] * size
+        get, reach = self.pieces.get, self.reach
         for start in range(size):
-            if text[start] not in self.pieces:
-                ids = tuple(self.byte_ids[b] for b in reversed(text[start].encode("utf-8", "replace")))
-                found[start + 1].append((start, ids, self.unknown))
-            for end in range(start + 1, min(size, start + self.longest) + 1):
+            here = best[start]
+            for end in range(start + 1, min(size, start + reach.get(text[start : start + 2], 1)) + 1):
                 piece = get(text[start:end])
                 if piece is not None:
-                    found[end].append((start, (piece[0],), piece[1]))
-        return found
-
-    def search(self, text: str) -> tuple[float, list[tuple[float, list[int]]]]:
-        """The best cost, and up to n segmentations (cost, ids), best first."""
-        ending = self.edges(text)
-        best = [0.0] + [0.0] * len(text)
-        for end in range(1, len(text) + 1):
-            best[end] = min([best[start] + cost for start, _, cost in ending[end]])
+                    ids, cost = piece
+                elif end == start + 1:
+                    ids, cost = tuple(self.byte_ids[b] for b in reversed(text[start].encode("utf-8", "replace"))), self.unknown
+                else:
+                    continue
+                ending[end].append((start, ids, cost))
+                if here + cost < best[end]:
+                    best[end] = here + cost
+        return ending, best
+
+    def best(self, text: str) -> Part:
+        """The best segmentation of a part, and how much worse the second best is.
+
+        Every other segmentation has a piece that isn't on the best path; the cheapest way through such a piece is the second best.
+        """
+        ending, best = self.forward(text)
+        size = len(text)
+        beyond = [0.0 if place == size else INFINITE for place in range(size + 1)]  # cost from each place to the end
+        ids: list[int] = []
+        place, on_path = size, set()
+        while place:
+            own, start = min([(own, start) for start, own, cost in ending[place] if best[start] + cost == best[place]])
+            ids += own
+            on_path.add((start, place))
+            place = start
+        second = INFINITE
+        for end in range(size, 0, -1):
+            after = beyond[end]
+            for start, _, cost in ending[end]:
+                rest = cost + after
+                if rest < beyond[start]:
+                    beyond[start] = rest
+                if best[start] + rest < second and (start, end) not in on_path:
+                    second = best[start] + rest
+        return best[-1], second - best[-1], packed(ids[::-1])
+
+    def search(self, text: str) -> list[tuple[float, list[int]]]:
+        """Up to n segmentations (cost, ids), best first, by A-star search from the end.
+
+        The heuristic is exact, so each hypothesis stands for a segmentation of just its cost, and no two for the same: of more
+        hypotheses than segmentations are still wanted the last ones are let go.
+        """
+        ending, best = self.forward(text)
         found: list[tuple[float, list[int]]] = []
         agenda: list[tuple[float, Behind, int, float]] = [(best[-1], Behind((), None), len(text), 0.0)]
-        while agenda and len(found) < self.n:
-            total, behind, place, spent = heappop(agenda)
+        while agenda:
+            total, behind, place, spent = agenda.pop(0)
             if not place:
                 found.append((total, behind.ids()))
                 continue
+            wanted = self.n - len(found)
+            limit = agenda[wanted - 1][0] if len(agenda) >= wanted else INFINITE
             for start, own, cost in ending[place]:
-                heappush(agenda, (best[start] + cost + spent, Behind(own, behind), start, cost + spent))
-        return best[-1], found
+                through = best[start] + cost + spent
+                if through <= limit:
+                    insort(agenda, (through, Behind(own, behind), start, cost + spent))
+            del agenda[wanted:]
+        return found
+
+    def paths(self, part: str) -> list[Path]:
+        """The n best segmentations of a known part."""
+        found = self.others.get(part)
+        if found is None:
+            if len(self.others) > OTHERS:
+                self.others.clear()
+            own = self._cut(part)
+            if len(own) > 1:
+                found = self._sums(own)
+            else:
+                found = self.search(part)
+                found = [(cost - found[0][0], packed(ids)) for cost, ids in found]
+            self.others[part] = found
+        return found
+
+    def _sums(self, parts: list[str]) -> list[Path]:
+        """The n best segmentations of parts in a row."""
+        best: list[Path] = [(0.0, b"")]
+        for part in parts:
+            more = [
+                (a[0] + p[0], which, before, a[1] + p[1])
+                for which, p in enumerate(self.paths(part)) for before, a in enumerate(best)
+            ]
+            more.sort(key=lambda m: m[:3])
+            best = [(cost, ids) for cost, _, _, ids in more[: self.n]]
+        return best
 
     def segment(self, text: str) -> tuple[float, list[Path]]:
         """The best cost and the n best segmentations of a whole text."""
         parts = self._parts(text)
-        n, known = self.n, self.known
-        total = 0.0
+        n = self.n
+        firsts = [self.known[part] for part in parts]
+        seconds = [p[1] for p in firsts]
+        # The second choice of each part makes a segmentation of its own, so n - 1 of them bound the n-th best.
+        limit = sorted(seconds)[n - 2] if 1 < n <= len(seconds) + 1 else INFINITE
         # The n best choices so far: (cost beyond the best, other choices as (part, which) pairs from the last to the first).
         best: list[tuple[float, tuple | None]] = [(0.0, None)]
-        for k, part in enumerate(parts):
-            cost, paths = known[part]
-            total += cost
-            if len(paths) == 1 or len(best) == n and paths[1][0] >= best[-1][0]:
+        for k in [k for k, second in enumerate(seconds) if second <= limit and second < INFINITE]:
+            if len(best) == n and seconds[k] >= best[-1][0]:
                 continue
-            more = [(b + p[0], which, before, rest) for which, p in enumerate(paths) for before, (b, rest) in enumerate(best)]
+            more = [
+                (b + p[0], which, before, rest)
+                for which, p in enumerate(self.paths(parts[k])) for before, (b, rest) in enumerate(best)
+            ]
             more.sort(key=lambda x: x[:3])
             best = [(c, (k, which, rest) if which else rest) for c, which, _, rest in more[:n]]
-        firsts = [known[part][1][0] for part in parts]
-        ids, number = [p[2] for p in firsts], sum(p[1] for p in firsts)
+        ids = [p[2] for p in firsts]
         result = []
         for cost, changed in best:
-            own, count = ids, number
-            if changed is not None:
-                own = ids.copy()
+            own = ids if changed is None else ids.copy()
             while changed is not None:
                 k, which, changed = changed
-                path = known[parts[k]][1][which]
-                own[k] = path[2]
-                count += path[1] - firsts[k][1]
-            result.append((cost, count, b"".join(own)))
-        return total, result
+                own[k] = self.paths(parts[k])[which][1]
+            result.append((cost, b"".join(own)))
+        return sum([p[0] for p in firsts]), result
 
     def _parts(self, text: str) -> list[str]:
         """The parts of a text, all of them known."""
@@ -156,36 +237,29 @@ class Lattice:
             self.held = 0
         form = SPACE + text.replace(" ", SPACE)
         parts = CHUNKS.findall(form) if self.by_chunk else [form]
-        fresh = {p: self._cut(p) for p in set(parts).difference(self.known)}
-        long = {p for p, own in fresh.items() if len(own) > 1 and len(p) > WORD}
-        for part, own in fresh.items():
+        long = {}
+        for part in set(parts).difference(self.known):
+            own = self._cut(part)
             for x in own:
                 if x not in self.known:
-                    cost, found = self.search(x)
-                    self._keep(x, cost, [(c - cost, len(ids), np.array(ids, "<u4").tobytes()) for c, ids in found])
-            if len(own) > 1 and part not in long:
-                self._join(part, own)
-        return parts if not long else [x for p in parts for x in (fresh[p] if p in long else [p])]
+                    self._keep(x, self.best(x))
+            if len(own) > 1:
+                if len(part) > WORD:
+                    long[part] = own
+                else:
+                    each = [self.known[x] for x in own]
+                    costs, seconds, ids = zip(*each)
+                    self._keep(part, (sum(costs), min(seconds), b"".join(ids)))
+        return parts if not long else [x for p in parts for x in long.get(p, (p,))]
 
     def _cut(self, part: str) -> list[str]:
         cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self.inside]
-        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])]
+        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])] if cuts else [part]
 
-    def _keep(self, part: str, cost: float, paths: list[Path]) -> None:
-        self.known[part] = (cost, paths)
+    def _keep(self, part: str, found: Part) -> None:
+        self.known[part] = found
         self.held += len(part)
 
-    def _join(self, part: str, own: list[str]) -> None:
-        """Remembers a word of several parts as one."""
-        n, total, best = self.n, 0.0, [(0.0, 0, b"")]
-        for x in own:
-            cost, paths = self.known[x]
-            total += cost
-            more = [(a[0] + p[0], which, before, a[1] + p[1], a[2] + p[2]) for which, p in enumerate(paths) for before, a in enumerate(best)]
-            more.sort(key=lambda m: m[:3])
-            best = [(c, number, ids) for c, _, _, number, ids in more[:n]]
-        self._keep(part, total, best)
-
 
 class Decoder:
     """Texts from ids."""
@@ -194,8 +268,8 @@ class Decoder:
         self.pieces = pieces
 
     def decode(self, ids: bytes) -> bytes:
-        get = self.pieces
-        text = b"".join([get[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        get = self.pieces.__getitem__
+        text = b"".join(map(get, memoryview(ids).cast("I")))
         return text[1:] if text[:1] == b" " else text  # the space that encoding puts in front
 
 
@@ -235,8 +309,8 @@ def encode(docs: DataFrame, path: str, n: int = NBEST, ids: bool = False) -> Dat
                 text = text or ""
                 total, found = lattice.segment(text)
                 plain = text.encode().replace(SPACE.encode(), b" ")
-                for rank, (cost, number, own) in enumerate(found, 1):
-                    made = (doc_id, rank, number, -(total + cost), zlib.crc32(own), decoder.decode(own) == plain,
+                for rank, (cost, own) in enumerate(found, 1):
+                    made = (doc_id, rank, len(own) // 4, -(total + cost), zlib.crc32(own), decoder.decode(own) == plain,
                             np.frombuffer(own, "<u4").astype(np.int64) if ids else None)
                     for column, value in zip(rows, made):
                         column.append(value)
