@@ -57,8 +57,9 @@ def action_chunk(
     gap = F.raise_error(F.lit("frame_index has a gap or a duplicate, or doesn't start at 0"))
     chunked = (
         spread.select("*", steps.alias("_steps"), (follows & starts).alias("_whole"))
-        .where(at_home | ~F.col("_whole"))
-        .withColumn("_steps", F.when(F.col("_whole"), F.col("_steps.a")).otherwise(gap))
+        # The check is part of the filter, so that no action leaves it out, not even a count.
+        .where(F.when(F.col("_whole"), at_home).otherwise(gap))
+        .withColumn("_steps", F.col("_steps.a"))
     )
     missing = F.lit(k) - F.size("_steps")
     padded = F.concat("_steps", F.array_repeat(F.element_at("_steps", -1), missing))
