@@ -92,9 +92,13 @@ class Lattice:
         self.byte_ids, self.n = byte_ids, n
         self.pieces = {piece: ((number,), cost) for piece, (number, cost) in pieces.items()}
         self.unknown = max(cost for _, cost in pieces.values()) + PENALTY
-        self.reach: dict[str, int] = {}  # length of the longest piece with these first two characters
-        for piece in pieces:
-            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
+        # A tree over the pieces' characters: each node has its children by character, and the piece that ends there (or None).
+        self.tree: dict[str, list] = {}
+        for piece, found in self.pieces.items():
+            node = [self.tree, None]
+            for character in piece:
+                node = node[0].setdefault(character, [{}, None])
+            node[1] = found
         self.inside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}  # neighbours that a piece spans
         # Space runs apart, a chunk starts where a space follows something else; no piece may cross that.
         self.by_chunk = not any(b == SPACE and a != SPACE for a, b in self.inside)
@@ -107,20 +111,22 @@ class Lattice:
         size = len(text)
         ending: list[list[Edge]] = [[] for _ in range(size + 1)]
         best = [0.0] + [INFINITE] * size
-        get, reach = self.pieces.get, self.reach
         for start in range(size):
-            here = best[start]
-            for end in range(start + 1, min(size, start + reach.get(text[start : start + 2], 1)) + 1):
-                piece = get(text[start:end])
+            here, children = best[start], self.tree
+            for end in range(start + 1, size + 1):
+                node = children.get(text[end - 1])
+                if node is None:
+                    break
+                children, piece = node
                 if piece is not None:
                     ids, cost = piece
-                elif end == start + 1:
-                    ids, cost = tuple(self.byte_ids[b] for b in reversed(text[start].encode("utf-8", "replace"))), self.unknown
-                else:
-                    continue
-                ending[end].append((start, ids, cost))
-                if here + cost < best[end]:
-                    best[end] = here + cost
+                    ending[end].append((start, ids, cost))
+                    if here + cost < best[end]:
+                        best[end] = here + cost
+            if text[start] not in self.pieces:
+                ids = tuple(self.byte_ids[b] for b in reversed(text[start].encode("utf-8", "replace")))
+                ending[start + 1].append((start, ids, self.unknown))
+                best[start + 1] = min(best[start + 1], here + self.unknown)
         return ending, best
 
     def best(self, text: str) -> Part:
