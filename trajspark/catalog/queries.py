@@ -47,6 +47,11 @@ def unrolled(df: DataFrame, keys: list[str], column: str = "action") -> DataFram
     return df.select(*keys, F.posexplode(column).alias("dim", "v")).select(*keys, "dim", r6("v").alias("value"))
 
 
+def numbered_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as numbered frames, stored: for queries that read them more than once."""
+    return materialize(src.lineitem_frames(spark, sf), "numbered-frames")
+
+
 def long_chunks(df: DataFrame, keys: list[str], column: str = "action_chunk") -> DataFrame:
     cells = ch.unstack_chunks(df.select(*keys, column), column)
     return cells.select(*keys, "step", "dim", r6("value").alias("value"))
@@ -82,9 +87,9 @@ def saved_bounds(spark, sf):
 def write_training_set(spark, sf):
     path = scratch_path(spark, "training-set")
     splits = materialize(sh.split_episodes(src.order_episodes(spark, sf), FRACTION, SEED), "splits")
-    frames = src.lineitem_frames(spark, sf).join(splits, "episode_index")
+    frames = numbered_frames(spark, sf).join(splits, "episode_index")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = materialize(frames.select(*FRAME_KEY, "split"), "frame-keys")
+    keys = frames.select(*FRAME_KEY, "split")
     ranked = sh.seeded_rank(frames, FRAME_KEY, f"{SEED}:0", within=["split"], count_from=keys, partitions=shards)
     io.write_training_set(sh.assign_batches(ranked, BATCH), path, in_order=True)
     return spark.read.parquet(path).select("split", "batch_id", "rank", "episode_index", "frame_index", "task_index")
@@ -469,13 +474,13 @@ def complement_episodes(spark, sf):
 
 @query
 def normalize_actions(spark, sf):
-    frames = src.lineitem_frames(spark, sf)
+    frames = numbered_frames(spark, sf)
     return unrolled(bd.normalize_actions(frames, bd.fit_bounds(frames)), FRAME_KEY)
 
 
 @query
 def unnormalize_actions(spark, sf):
-    frames = src.lineitem_frames(spark, sf)
+    frames = numbered_frames(spark, sf)
     bounds = bd.assert_bounds(bd.fit_bounds(frames))
     return unrolled(bd.unnormalize_actions(bd.normalize_actions(frames, bounds), bounds), FRAME_KEY)
 
@@ -651,7 +656,7 @@ def map_batches(spark, sf):
 @query
 def training_set(spark, sf):
     """Every frame of the input, each with its chunk, its prompt and its batch."""
-    frames, tasks = with_images(src.lineitem_frames(spark, sf)), src.part_tasks(spark, sf)
+    frames, tasks = with_images(numbered_frames(spark, sf)), src.part_tasks(spark, sf)
     plan = TrainingPlan(SEED, CHUNK, FRACTION, BATCH, val_batch_size=128, prompt_images=("image_ref", "image2_ref"))
     batched = prepare_training_set(frames, tasks, plan)
     first, last = F.element_at("action_chunk", 1), F.element_at("action_chunk", -1)
