@@ -65,7 +65,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    groups = simhash.fingerprint_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.llm import jaccard
 from trajspark.llm.common import FILE, ROW, addressed, on_disk
 from trajspark.llm.graph import components
 from trajspark.session import materialize
@@ -154,28 +155,44 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODE
     return placed.mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+def fingerprint_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """A row per row of ``docs``: doc_id, fp, component_id (smallest doc_id of its group), kept, and its address.
 
     One row of each group is kept: that with the smallest id, and among equal ids with the first address.
     """
     prints = materialize(fingerprints(on_disk(docs), width), "fingerprints")
+    distinct = materialize(_firsts(prints, "fp"), "fingerprint-nodes")
+    return _grouped(prints, distinct, components(links(distinct.select("fp"), radius, tree_nodes), "simhash"), "fp")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """The same for groups of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles (node for fp)."""
+    docs = on_disk(docs)
+    prints = materialize(jaccard.prints(docs), "shingles")
+    distinct = materialize(_firsts(prints, "node"), "shingle-nodes")
+    return _grouped(prints, distinct, jaccard.components_of(prints, distinct, docs), "node")
+
+
+def _firsts(prints: DataFrame, key: str) -> DataFrame:
+    """For each value of the key, its first row."""
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", FILE, ROW)
-    distinct = materialize(prints.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-nodes")
-    labels = components(links(distinct.select("fp"), radius, tree_nodes), "simhash")
-    grouped = labels.withColumnRenamed("node", "fp").join(distinct, "fp")
+    return prints.groupBy(key).agg(F.min(first).alias("first"))
+
+
+def _grouped(prints: DataFrame, distinct: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    grouped = labels.withColumnRenamed("node", key).join(distinct, key)
     firsts = grouped.groupBy("label").agg(F.min("first").alias("_first"))
-    joined = grouped.join(firsts, "label").select("fp", "_first")
-    # Only fingerprints with a link have a label; all others are groups of their own.
-    known = distinct.join(joined, "fp", "left").select("fp", F.coalesce("_first", "first").alias("first"))
+    joined = grouped.join(firsts, "label").select(key, "_first")
+    # Only nodes with a link have a label; all others are groups of their own.
+    known = distinct.join(joined, key, "left").select(key, F.coalesce("_first", "first").alias("first"))
     kept = (F.col("first")[FILE] == F.col(FILE)) & (F.col("first")[ROW] == F.col(ROW))
-    return prints.join(known, "fp").select(
-        "doc_id", "fp", F.col("first.doc_id").alias("component_id"), kept.alias("kept"), FILE, ROW
+    return prints.drop("first").join(known, key).select(
+        "doc_id", key, F.col("first.doc_id").alias("component_id"), kept.alias("kept"), FILE, ROW
     )
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies; columns as they are."""
+    """``docs`` with one row of each group of near copies (``near_groups``); columns as they are."""
     docs = on_disk(docs)
     gone = near_groups(docs).where(~F.col("kept")).select(FILE, ROW)
     columns = [F.col(f"`{c}`") for c in docs.columns]
