@@ -5,19 +5,20 @@ logistic loss on feature differences over preference pairs (a row labelled 1 is
 threshold is the quantile of the raw scores of the labelled rows below which a share of them lies that equals the share
 of label 0; a logistic curve through that point turns raw scores into 0 to 1.
 
-Labelled rows: at most ``LABELLED`` rows, those with the smallest hash of the id (a documented bound; the
-model has some fifty weights). Scoring covers every row and every whole text.
+The weights are learned from at most ``LABELLED`` documents of each label, those with the smallest hash of the id (a
+documented bound; the model has some fifty weights). The threshold is the exact quantile over all labelled documents
+that aren't held out. Scoring covers every row and every whole text.
 
 Defined results: a null text is the empty text; without labels of both kinds every score is 0.5; rows with null id or
-label aren't learned from, and a null id counts as held out; several labels of one id count as the largest; repeated
-rows each get the same result; other columns are never looked at.
+label aren't learned from, and a null id counts as held out; several labels of one id count as the largest, as do the
+scores of several texts of one id; repeated rows each get the same result; other columns are never looked at.
 """
 
 from __future__ import annotations
 
 import operator
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,9 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from trajspark.llm.common import annotate, free_name
 from trajspark.llm.language import held_out
+from trajspark.session import materialize
 
-LABELLED = 20_000   # labelled rows to learn from, at most
+LABELLED = 20_000   # documents of each label to learn the weights from, at most
 PAIRS = 200_000     # preference pairs drawn from them
 THRESHOLD = 0.3     # of the 0 to 1 score
 RIDGE = 1e-3
@@ -111,18 +113,58 @@ def fit_pairs(rows: np.ndarray, good: np.ndarray, pairs: int = PAIRS, seed: int
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Ranking:
-    """Fit the ranking on labelled rows that aren't held out."""
+    """Fit the ranking on labelled rows that aren't held out: weights on a sample of each label, the cut on all."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(folds=5, fold=0))
-    chosen = (
-        usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(labelled)
+    known = materialize(
+        usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs.select("doc_id"), "doc_id", "left_semi"),
+        "quality-labels",
     )
-    # At most ``labelled`` ids, so this side may be broadcast whatever the size of the corpus.
+    order = [F.xxhash64(F.col("doc_id").cast("long")), F.col("doc_id")]
+    chosen = known.where("quality = 0").orderBy(*order).limit(labelled).unionByName(
+        known.where("quality = 1").orderBy(*order).limit(labelled)
+    )
+    # At most twice ``labelled`` ids, so this side may be broadcast whatever the size of the corpus.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     added = StructType([StructField("_features", ArrayType(DoubleType()))])
     found = annotate(texts, "text", added, lambda batch: [pa.array([features(t).tolist() for t in batch], pa.list_(pa.float64()))])
     rows = found.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("_features").alias("f")).orderBy("doc_id").collect()
-    return fit_pairs(np.array([r["f"] for r in rows], float), np.array([r["quality"] == 1 for r in rows], bool))
+    model = fit_pairs(np.array([r["f"] for r in rows], float), np.array([r["quality"] == 1 for r in rows], bool))
+    return model if model.cut is None else replace(model, cut=_cut(docs, known, model))
+
+
+def _cut(docs: DataFrame, known: DataFrame, model: Ranking) -> float:
+    """The middle between the two raw scores of labelled documents that the share of label 0 lies between."""
+
+    def each(texts: Iterable[bytes | None]) -> list[pa.Array]:
+        rows = [features(t) for t in texts]
+        return [pa.array(model.raw(np.array(rows)) if rows else [], pa.float64())]
+
+    # Texts are scored where they are read; only ids and scores are shuffled.
+    scored = annotate(docs.select("doc_id", "text"), "text", StructType([StructField("_raw", DoubleType())]), each)
+    raw = materialize(
+        scored.select("doc_id", "_raw").join(known, "doc_id").groupBy("doc_id").agg(F.max("_raw").alias("raw")), "quality-raw"
+    )
+    share = known.where("quality = 0").count()
+    return (nth_smallest(raw, share - 1) + nth_smallest(raw, share)) / 2
+
+
+def nth_smallest(values: DataFrame, n: int, bins: int = 4096, few: int = LABELLED) -> float:
+    """The value of column raw with n smaller or equal ones before it, exactly and without sorting them all.
+
+    Values are counted in bins, then those of the bin that holds the n-th, until few are left or all are equal.
+    """
+    low, high, count = values.agg(F.min("raw"), F.max("raw"), F.count("raw")).first()
+    while low < high and count > few:
+        at = F.least(F.floor((F.col("raw") - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+        binned = values.withColumn("bin", at)
+        for r in sorted(binned.groupBy("bin").agg(
+            F.min("raw").alias("low"), F.max("raw").alias("high"), F.count("raw").alias("count")
+        ).collect()):
+            if n < r["count"]:
+                break
+            n -= r["count"]
+        values, low, high, count = binned.where(F.col("bin") == r["bin"]).drop("bin"), r["low"], r["high"], r["count"]
+    return low if low == high else sorted(r["raw"] for r in values.select("raw").collect())[n]
 
 
 def score(docs: DataFrame, model: Ranking, name: str = "score") -> DataFrame:
