@@ -1,12 +1,13 @@
 """URL filter: listed rules first, then a path-template tree per host.
 
-Paths are read segment by segment. Runs of digits become ``{n}``. At each node of a host's tree, segments that are rare among its
-pages become ``*``, and siblings whose labelled share of bad pages doesn't differ significantly become one branch
+Paths are read segment by segment. Runs of digits become ``{n}``. At each node of a host's tree, segments with too few pages to be
+judged by themselves become ``*``, and siblings whose labelled share of bad pages doesn't differ significantly become one branch
 (``de|en``). A template is rejected when its smoothed share of bad labelled pages is high enough:
 ``(bad + strength * overall share) / (labelled + strength)``.
 
 A tree has ``DEPTH`` levels; what lies deeper is ``**``. Counting is by shape of path, so a popular host is summed
-up map-side, and a node has at most ``RARE`` + 1 branches however many segments its pages have.
+up map-side. A node has a branch for every segment with ``LEAST`` pages, whatever its share; siblings are merged by their
+distinct shares of bad pages, and a template names at most ``RARE`` large segments of a merged branch and the first small one (``a|*``).
 
 Defined results: a url that is null or has no ``://`` has empty host and path; rows without a label count as pages only; a
 template without enough labelled pages is allowed; repeated rows count as often as they occur and get the same
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from trajspark.session import materialize
 
 DEPTH = 4
-RARE = 50          # a segment with less than 1/50 of its node's pages is variable
-LEAST = 5          # and so is one with fewer pages than this; also the labelled pages that a rejection needs
+RARE = 50          # a segment with less than 1/50 of its node's pages isn't named in a branch that holds several such
+LEAST = 5          # a segment with fewer pages than this is variable; also the labelled pages that a rejection needs
 DISTANCE = 1.36    # sqrt(ln(2 / 0.05) / 2): Hoeffding bound at 5 %
 STRENGTH = 4.0     # pages' worth of the overall share in each template
 REJECT = 0.8
@@ -84,9 +85,10 @@ def path_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         rows = shapes.withColumn("segment", segment)
         children = rows.groupBy(*node, "segment").agg(*sums)
         totals = children.groupBy(*node).agg(F.sum("n").alias("pages"))
-        variable = (F.col("n") * RARE < F.col("pages")) | (F.col("n") < LEAST)
+        variable = F.col("n") < LEAST
         named = children.join(totals, node).withColumn("branch", F.when(variable, "*").otherwise(F.col("segment")))
-        branches = named.groupBy(*node, "branch").agg(*sums)
+        rare = ~variable & (F.col("n") * RARE < F.col("pages"))
+        branches = named.groupBy(*node, "branch").agg(*sums, F.max(rare).alias("rare"))
         merged = named.join(_merge(branches), [*node, "branch"]).select(*node, "segment", "label")
         shapes = materialize(
             rows.join(merged, [*node, "segment"]).select(
@@ -103,19 +105,32 @@ def path_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
 def _merge(branches: DataFrame) -> DataFrame:
     """Siblings in order of their share of bad pages, cut wherever two neighbours differ significantly.
 
-    At most ``RARE`` + 1 siblings per node. Siblings without enough labels are alike among themselves only.
+    Siblings with equal shares are never cut, so only the distinct shares of a node are put in order, each with the
+    labelled pages of its first and last sibling. Siblings without enough labels are alike among themselves only.
     """
     enough, share = F.col("labelled") >= LEAST, F.col("bad") / F.col("labelled")
-    order = Window.partitionBy("host", "prefix").orderBy(F.col("enough").desc(), "share", "branch")
+    ranked = branches.withColumn("enough", enough).withColumn("share", F.when(enough, share).otherwise(-1.0))
+    keys = ["host", "prefix", "enough", "share"]
+    shares = ranked.groupBy(*keys).agg(
+        F.min(F.struct("branch", "labelled"))["labelled"].alias("first"), F.max(F.struct("branch", "labelled"))["labelled"].alias("last")
+    )
+    order = Window.partitionBy("host", "prefix").orderBy(F.col("enough").desc(), "share")
     apart = F.abs(F.col("share") - F.lag("share").over(order))
-    bound = DISTANCE * (1 / F.sqrt("labelled") + 1 / F.sqrt(F.lag("labelled").over(order)))
-    ranked = branches.withColumn("enough", enough).withColumn("share", F.when(enough, share))
+    bound = DISTANCE * (1 / F.sqrt("first") + 1 / F.sqrt(F.lag("last").over(order)))
     cut = (F.col("enough") != F.lag("enough").over(order)) | (F.col("enough") & (apart > bound))
-    run = ranked.withColumn("cut", F.when(cut, 1).otherwise(0)).withColumn("run", F.sum("cut").over(order))
+    runs = shares.withColumn("cut", F.when(cut, 1).otherwise(0)).withColumn("run", F.sum("cut").over(order)).select(*keys, "run")
+    run = ranked.join(runs, keys)
+    few = F.when(F.col("rare"), F.col("branch"))
     labels = run.groupBy("host", "prefix", "run").agg(
-        F.array_join(F.sort_array(F.collect_list("branch")), "|").alias("label")
+        F.collect_list(F.when(~F.col("rare"), F.col("branch"))).alias("large"), F.min(few).alias("small"), F.count(few).alias("smalls")
+    )
+    # Small segments of one branch may be any number; the first stands for them.
+    rest = F.when(F.col("smalls") > 0, F.array("small")).otherwise(F.array().cast("array<string>"))
+    listed = F.array_join(F.sort_array(F.concat("large", rest)), "|")
+    label = F.when(F.col("smalls") > 1, F.concat(listed, F.lit("|*"))).otherwise(listed)
+    return run.join(labels.select("host", "prefix", "run", label.alias("label")), ["host", "prefix", "run"]).select(
+        "host", "prefix", "branch", "label"
     )
-    return run.join(labels, ["host", "prefix", "run"]).select("host", "prefix", "branch", "label")
 
 
 def judge(pages: DataFrame, rules: list[Rule], depth: int = DEPTH) -> DataFrame:
