@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import dedup, language, licenses, negatives, neighbours, packing, quality, segmentation, simhash, urls, warc
+from trajspark.llm import collocations, dedup, language, licenses, negatives, neighbours, packing, quality, segmentation, simhash, urls, warc
 from trajspark.llm.common import table
 
 # The rules that the pages are judged by.
@@ -69,6 +69,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -131,5 +136,6 @@ ORACLE_SQL = {
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(squeezed) AS text_sha256 FROM ranked
     """,
     "op7_license_votes": licenses.scan_sql(),
+    "op12_collocations": collocations.COLLOCATIONS_SQL,
     "op13_hard_negatives": negatives.MINE_SQL,
 }
