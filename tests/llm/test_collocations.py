@@ -67,7 +67,7 @@ def test_equals_brute_force(spark, monkeypatch):
         assert rows(co.collocations(frame(spark, data).repartition(3), least, top)) == expected
     # Several shards, and filters that mark many phrases wrongly.
     monkeypatch.setattr(co, "SHARD", 40)
-    monkeypatch.setattr(co, "FILTER_BITS", 8)
+    monkeypatch.setattr(co, "FILTER_BITS", 14)
     data = corpus(2, 60)
     assert rows(co.collocations(frame(spark, data), 4, 30)) == brute(data, 4, 30)
 

@@ -2,11 +2,11 @@
 
 Counting is exact and goes level by level (Apriori: a phrase is frequent only if all phrases inside it are):
 
-1. Filters. Phrases of 1, 2 and 3 words are counted by 64-bit hash; a bit field of fixed size (``FILTER_BITS``) marks the
+1. Filters. Phrases of 1, 2, 3 and 4 words are counted by a 32-bit hash; a bit field of fixed size (``FILTER_BITS``) marks the
    hashes that reach ``least``. A hash counts at least as much as any phrase that has it, so no frequent phrase is
    lost. A level looks only at places whose two shorter phrases are marked.
-2. Candidates. Phrases whose places pass the filters (and their words) are made distinct and dealt into shards of at most about
-   ``SHARD`` phrases and ``SHARD_BYTES`` bytes. Each shard becomes one double-array trie over its words, built in a task.
+2. Candidates. Marked phrases (the longest at a place, then all inside them) are made distinct and dealt into shards of about
+   ``SHARD`` phrases or ``SHARD_BYTES`` bytes. Each shard becomes one double-array trie over its words, built in a task.
 3. Counts. One trie after the other is broadcast, so what is broadcast is bounded whatever the corpus. A task
    starts a state at every word of a block, moves all states on together, one word a level, and counts accepting states
    with ``bincount``; Spark adds up the counts of all tasks.
@@ -21,6 +21,7 @@ are there; an empty table, or one without a frequent phrase, gives an empty resu
 from __future__ import annotations
 
 import pickle
+from binascii import crc32
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,10 +36,13 @@ LEAST = 30
 TOP = 2000
 MOST_WORDS = 4
 FILTER_BITS = 26        # a filter is 2**26 bits, 8 MB
-SHARD = 1 << 18
-SHARD_BYTES = 1 << 24
+PART_BITS = 10          # counts of a filter are added up in 2**10 parts of 2**22 counters
+SHARD = 1 << 20
+SHARD_BYTES = 1 << 25
 BLOCK = 1 << 20         # bytes of text that are cut into words at a time
-HELD = 1 << 21          # hashes, and a sixteenth as many phrases, that a task gathers before it hands them on
+HELD = 1 << 21          # hashes, or states, that a task gathers before it adds them up
+RUN = 1 << 14           # counters in a packed run
+PHRASES = 1 << 18       # phrases that a task gathers before it hands them on
 WORDS_KEPT = 1 << 18    # words whose hashes a task remembers
 
 BREAK = b"!"
@@ -108,22 +112,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _place(field: np.ndarray) -> np.uint64:
+    return np.uint64(33 - (64 * len(field)).bit_length())
+
+
 def _marked(field: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    bit = grams >> np.uint64(65 - (64 * len(field)).bit_length())
+    bit = grams >> _place(field)
     return (field[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
 
 
 def _levels(lang: bytes, words: list[bytes], hashes: _Hashes, fields: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per level (phrases of 1, 2, ... words): the hash at each start, and whether all shorter phrases there are marked."""
+    """Per level (phrases of 1, 2, ... words): 32 bits of hash at each start, and whether all shorter phrases there are marked."""
     single = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     may = single != 0
     gram = _mix(single ^ np.uint64(xxhash.xxh64_intdigest(lang, 1)))
-    yield gram, may
+    yield gram >> np.uint64(32), may
     for size, field in enumerate(fields, 2):
-        may = may & _marked(field, gram)
+        may = may & _marked(field, gram >> np.uint64(32))
         may = may[:-1] & may[1:]
         gram = _mix(gram[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + single[size - 1 :])
-        yield gram, may
+        yield gram >> np.uint64(32), may
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -132,15 +140,26 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _filter(texts: DataFrame, fields: list[np.ndarray], least: int) -> np.ndarray:
-    """The bit field of phrases one word longer than the last of ``fields``."""
+    """The bit field of phrases one word longer than the last of ``fields``.
+
+    A task hands on its counts packed by the top bits of the hash; whoever gets such a part adds it up in one dense array, so
+    memory is the same for any corpus.
+    """
     known = texts.sparkSession.sparkContext.broadcast(fields)
+    low = np.uint64(32 - PART_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = _Hashes(), [], 0
 
         def flush() -> pa.RecordBatch:
             grams, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+            parts, first = np.unique(grams >> low, return_index=True)
+            ends = [*first[1:].tolist(), len(grams)]
+            inner, n = (grams & ((np.uint64(1) << low) - np.uint64(1))).astype(np.uint32), n.astype(np.uint32)
+            packed = [[x[a:b].tobytes() for a, b in zip(first.tolist(), ends)] for x in (inner, n)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(parts.astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], names=["part", "grams", "n"]
+            )
 
         for lang, words, carried in _rows(batches):
             *_, (gram, may) = _levels(lang, words, hashes, known.value)
@@ -150,51 +169,113 @@ def _filter(texts: DataFrame, fields: list[np.ndarray], least: int) -> np.ndarra
             if size > HELD:
                 yield flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
-    heavy = texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = F.expr(f"shiftrightunsigned(gram, {64 - FILTER_BITS})")
-    bits = heavy.select(bit.alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("at")).agg(
-        F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits")
-    )
-    field = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    found = bits.toArrow()  # at most 2**20 rows
-    field[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    known.unpersist()
-    return field
+    bits, drop = 1 << (FILTER_BITS - PART_BITS), np.uint32(32 - FILTER_BITS)  # of each part
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts, seen, size = None, np.zeros(1 << int(low), np.int64), [], 0
+
+        def marks() -> pa.RecordBatch:
+            grams = np.concatenate(seen)
+            marked = np.zeros(bits, bool)
+            marked[grams[counts[grams] >= least] >> drop] = True
+            counts[grams] = 0
+            packed = np.packbits(marked, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            for part, grams, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at:
+                    if at is not None:
+                        yield marks()
+                    at, seen, size = part, [], 0
+                seen.append(np.frombuffer(grams, np.uint32))
+                counts[seen[-1]] += np.frombuffer(n, np.uint32)
+                size += len(seen[-1])
+                if size > 2 * len(counts):
+                    seen = [np.flatnonzero(counts).astype(np.uint32)]
+                    size = len(seen[0])
+        if at is not None:
+            yield marks()
+
+    counted = texts.mapInArrow(count, "part int, grams binary, n binary")
+    found = counted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary").toArrow()
+    field = np.zeros((1 << PART_BITS, bits // 8), np.uint8)
+    for part, packed in zip(found.column("part").to_pylist(), found.column("bits").to_pylist()):
+        field[part] = np.frombuffer(packed, np.uint8)
+    known.destroy()
+    return field.ravel().view("<u8").astype(np.uint64)
+
+
+def _longest(levels: list[tuple[np.ndarray, np.ndarray]], fields: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Starts and sizes of the marked phrases that lie in no other one."""
+    size = np.zeros(len(levels[0][0]) + 1, np.int64)
+    for k, ((gram, may), field) in enumerate(zip(levels, fields), 1):
+        if k > 1:
+            size[np.flatnonzero(may & _marked(field, gram))] = k
+    inside = np.zeros(len(size), bool)
+    inside[1:] = size[1:] < size[:-1]
+    starts = np.flatnonzero((size > 0) & ~inside)
+    return starts.tolist(), size[starts].tolist()
 
 
 def _candidates(texts: DataFrame, fields: list[np.ndarray]) -> DataFrame:
-    """lang, size, phrase: all phrases of 2 to 4 words that pass the filters, and the words in them; stored."""
+    """lang, size, phrase: all phrases of up to 4 words that pass the filters; stored."""
     known = texts.sparkSession.sparkContext.broadcast(fields)
+    parts = max(1, int(sum(np.bitwise_count(f).sum() for f in fields)) // PHRASES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = _Hashes(), set()
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held = _Hashes(), {}
 
         def flush() -> pa.RecordBatch:
-            langs, sizes, phrases = zip(*held)
+            dealt: dict[tuple[bytes, int], list[bytes]] = {}
+            for lang, phrases in held.items():
+                for phrase in phrases:
+                    dealt.setdefault((lang, crc32(phrase) % parts), []).append(phrase)
             held.clear()
-            texts = [pa.array(c, pa.binary()).cast(pa.string()) for c in (langs, phrases)]
-            return pa.RecordBatch.from_arrays([texts[0], pa.array(sizes, pa.int32()), texts[1]], names=["lang", "size", "phrase"])
-
-        for lang, words, carried in _rows(batches):
-            for size, (gram, may) in enumerate(_levels(lang, words, hashes, known.value), 1):
-                if size == 1:
-                    continue
-                if size <= len(known.value):
-                    may = may & _marked(known.value[size - 1], gram)
-                starts = np.flatnonzero(may).tolist()
-                held.update([(lang, size, b" ".join(words[i : i + size])) for i in starts])
-                if len(held) > HELD // 16:
-                    yield flush()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in dealt], pa.binary()), pa.array([x for _, x in dealt], pa.int32()),
+                 pa.array([b"\n".join(x) for x in dealt.values()], pa.binary())], names=["lang", "part", "phrases"],
+            )
+
+        for lang, words, _ in _rows(batches):
+            own = held.setdefault(lang, set())
+            starts, sizes = _longest(list(_levels(lang, words, hashes, known.value[:-1])), known.value)
+            own.update([b" ".join(words[i : i + k]) for i, k in zip(starts, sizes)])
+            if sum(map(len, held.values())) > PHRASES:
+                yield flush()
         if held:
             yield flush()
 
-    phrases = materialize(texts.mapInArrow(run, "lang string, size int, phrase string").distinct(), "phrases")
-    known.unpersist()
-    words = phrases.where("size = 2").select("lang", F.lit(1).alias("size"), F.explode(F.split("phrase", " ")).alias("phrase"))
-    return phrases.unionByName(words.distinct())
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, set[bytes]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, phrases in held.items():
+                named = pa.array([lang] * len(phrases), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([named, pa.array(list(phrases), pa.binary()).cast(pa.string())], names=["lang", "phrase"])
+            held.clear()
+
+        for batch in batches:
+            for lang, _, phrases in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(lang, set()).update(phrases.split(b"\n") if phrases else ())
+                if sum(map(len, held.values())) > 2 * PHRASES:  # what is repeated after this is made single below
+                    yield from flush()
+        yield from flush()
+
+    proposed = texts.mapInArrow(propose, "lang binary, part int, phrases binary").repartition("part")
+    longest = proposed.mapInArrow(merge, "lang string, phrase string").select("lang", F.split("phrase", " ").alias("words"))
+    inner = F.transform(
+        F.sequence(F.lit(1), F.size("words")),
+        lambda size: F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda start: F.slice("words", start, size)),
+    )
+    every = longest.select("lang", F.explode(F.flatten(inner)).alias("words"))
+    phrases = every.select("lang", F.size("words").alias("size"), F.array_join("words", " ").alias("phrase")).distinct()
+    stored = materialize(phrases, "phrases")
+    known.destroy()
+    return stored
 
 
 class DoubleArray:
@@ -233,13 +314,14 @@ class DoubleArray:
         base, slot = np.zeros(total, np.int64), np.zeros(total, np.int64)
         owners, first, count = np.unique(parent, return_index=True, return_counts=True)
         used = np.ones(width, bool)
+        tried = width
         for at in np.argsort(-count, kind="stable"):
             if count[at] == 1:
                 break
             children = slice(first[at], first[at] + count[at])
             steps = code[children] - code[first[at]]
-            tried, window = width, max(16, 4096 // len(steps))
-            while True:  # ends: all is free beyond the last slot in use
+            window = max(16, 4096 // len(steps))
+            while True:  # ends: all is free beyond the last slot in use. Gaps left behind are filled by only children.
                 if len(used) < tried + window + width:
                     used = np.append(used, np.zeros(len(used) + window + width, bool))
                 free = np.flatnonzero(~used[tried : tried + window]) + tried
@@ -297,8 +379,12 @@ def _tries(candidates: DataFrame, shards: int) -> DataFrame:
 
 
 def _count(texts: DataFrame, packed: bytes) -> DataFrame:
-    """(state, lang, n) added up over all texts; rows with state -1 hold the number of all words of a language."""
+    """(state, lang, n) added up over all texts; rows with state -1 hold the number of all words of a language.
+
+    A task hands on its counters in packed runs, which are added up run by run.
+    """
     known = texts.sparkSession.sparkContext.broadcast(packed)
+    names = ["part", "lang", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, words, langs = pickle.loads(known.value)
@@ -324,16 +410,39 @@ def _count(texts: DataFrame, packed: bytes) -> DataFrame:
                 held, size = [], 0
         if held:
             counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        states = np.flatnonzero(counts)
-        names, sums = [x.decode() for x in totals], list(totals.values())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(states, [-1] * len(sums)).astype(np.int64)), pa.array([None] * len(states) + names, pa.string()),
-             pa.array([*counts[states].tolist(), *sums], pa.int64())], names=["state", "lang", "n"],
-        )
-
-    summed = texts.mapInArrow(run, "state long, lang string, n long").groupBy("state", "lang").agg(F.sum("n").alias("n"))
-    stored = materialize(summed, "phrase-counts")
-    known.unpersist()
+        runs = [(part, counts[at : at + RUN]) for part, at in enumerate(range(0, len(counts), RUN))]
+        found = [(part, None, x.tobytes()) for part, x in runs if x.any()]
+        found += [(-1, lang, np.array([n], np.int64).tobytes()) for lang, n in totals.items()]
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary()))], names=names
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(1, np.int64)
+
+        def sums() -> pa.RecordBatch:
+            part, lang = at
+            states = np.flatnonzero(total)
+            named = pa.array([None if lang is None else lang.decode()] * len(states), pa.string())
+            numbers = np.full(len(states), -1) if part < 0 else states + part * RUN
+            return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), named, pa.array(total[states])], names=["state", "lang", "n"])
+
+        for batch in batches:
+            for part, lang, n in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = np.frombuffer(n, np.int64)
+                if (part, lang) == at:
+                    total = total + counts
+                    continue
+                if at is not None:
+                    yield sums()
+                at, total = (part, lang), counts
+        if at is not None:
+            yield sums()
+
+    counted = texts.mapInArrow(run, "part int, lang binary, n binary").repartition("part", "lang").sortWithinPartitions("part", "lang")
+    stored = materialize(counted.mapInArrow(add, "state long, lang string, n long"), "phrase-counts")
+    known.destroy()
     return stored
 
 
@@ -341,7 +450,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     """(lang, size, phrase, f) of all phrases of 2 to 4 words that occur ``least`` times, and their words; and (lang, n)."""
     texts = _texts(docs)
     fields: list[np.ndarray] = []
-    for _ in range(1, MOST_WORDS):
+    for _ in range(MOST_WORDS):
         fields.append(_filter(texts, fields, least))
     candidates = _candidates(texts, fields)
     number, size = candidates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
