@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import collocations, dedup, language, licenses, negatives, neighbours, packing, quality, segmentation, simhash, urls, warc
+from trajspark.llm import collocations, dedup, language, licenses, negatives, neighbours, packing, pii, quality, segmentation, simhash, urls, warc
 from trajspark.llm.common import table
 
 # The rules that the pages are judged by.
@@ -69,6 +69,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op11_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_pii_tagger": op11_pii_tagger,
     "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
