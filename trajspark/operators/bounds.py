@@ -66,6 +66,13 @@ def _exact_quantiles(
     found = [F.col("q")[i] for i in range(4)] if margin < 1 else everything
     names = ("low_from", "low_to", "high_from", "high_to")
     brackets = sketch.select("dim", "total", *[end.alias(name) for end, name in zip(found, names)])
+    return exact_quantiles(values, brackets, lo, hi, partitions)
+
+
+def exact_quantiles(values: DataFrame, brackets: DataFrame, lo: float, hi: float, partitions: int | None = None) -> DataFrame:
+    """(dim, lower, upper, bracketed) of (dim, value) rows, given for each dimension its number of values and a bracket for each
+    quantile (dim, total, low_from, low_to, high_from, high_to). A bracket that misses its quantile leaves ``bracketed`` false.
+    """
     value = F.col("value")
     in_bracket = value.between(F.col("low_from"), F.col("low_to")) | value.between(F.col("high_from"), F.col("high_to"))
     # A value outside the brackets only counts: below the lower one, or between the two.
