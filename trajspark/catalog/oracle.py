@@ -147,13 +147,34 @@ def repeated(position: str) -> str:
       SELECT sample, image_no, repeat, {position} AS position FROM images, range(3) r(repeat)"""
 
 
-def chunk_sql(extra: str, value: str, join: str = "") -> str:
+def chunk_sql(extra: str, value: str, join: str = "", key: str = "e.event_id") -> str:
     return with_(EVENTS) + f"""{extra}
-      SELECT e.event_id, CAST(s.step AS INTEGER) AS step, 0 AS dim, round({value}, 6) AS value
+      SELECT {key}, CAST(s.step AS INTEGER) AS step, 0 AS dim, round({value}, 6) AS value
       FROM ev e CROSS JOIN range(8) s(step)
       JOIN ev f ON f.episode_index = e.episode_index AND f.frame_index = least(e.frame_index + s.step, e.n - 1) {join}"""
 
 
+def epoch_sql(epoch: int) -> str:
+    """(event_id, rank): the permutation of row numbers, walked until it is back among them."""
+
+    def through(start: str) -> str:
+        for number in range(4):
+            noise = lambda half: f"('0x' || substr(md5('42:{epoch}:{number}:' || {half}), 1, 12))::BIGINT"  # noqa: B023, E731
+            high, low = (f"(h + {noise('l')}) % high", "l") if number % 2 == 0 else ("h", f"(l + {noise('h')}) % low")
+            start = f"SELECT event_id, n, high, low, {high} AS h, {low} AS l FROM ({start})"
+        return f"SELECT event_id, n, high, low, h * low + l AS x FROM ({start})"
+
+    halves = "event_id, n, high, low, x // low AS h, x % low AS l"
+    return f"""
+      WITH RECURSIVE size AS (
+        SELECT n, high, (n + high - 1) // high AS low FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS high FROM events)),
+      numbered AS (SELECT event_id, n, high, low, row_number() OVER (ORDER BY event_id) - 1 AS x FROM events, size),
+      walk AS (
+        {through(f"SELECT {halves} FROM numbered")}
+        UNION ALL {through(f"SELECT {halves} FROM walk WHERE x >= n")})
+      SELECT event_id, x AS rank FROM walk WHERE x < n"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_frames": """
       SELECT l_orderkey AS episode_index, l_partkey AS task_index, l_quantity AS a0, l_extendedprice AS a1,
@@ -169,6 +190,8 @@ ORACLE_SQL: dict[str, str] = {
       FROM (SELECT s.split, f.*, row_number() OVER (PARTITION BY s.split
                      ORDER BY md5('42:0:' || f.episode_index || ':' || f.frame_index), f.episode_index, f.frame_index) - 1 AS rank
             FROM frames f JOIN splits s ON s.episode_index = f.episode_index)""",
+    "log_metrics": """
+      SELECT CAST(epoch_us(ts) AS BIGINT) AS ts_micros, event_id AS step, event_type AS name, value FROM events""",
     "append_metrics": """
       SELECT CAST(epoch_us(ts) AS BIGINT) AS ts_micros, event_id AS step, event_type AS name, value FROM events""",
     "project_keys": with_(FRAMES) + "SELECT episode_index, frame_index, task_index FROM frames",
@@ -232,10 +255,11 @@ ORACLE_SQL: dict[str, str] = {
       SELECT CAST(step AS INTEGER) AS step, CAST(dim AS INTEGER) AS dim, CAST(level AS INTEGER) AS level,
              round(sorted[CAST(ceil(0.5 * n) AS BIGINT)], 6) AS median_abs_error,
              round(sorted[CAST(ceil(0.95 * n) AS BIGINT)], 6) AS p95_abs_error FROM listed""",
-    "bounds_from_stats": """
-      WITH first AS (SELECT * FROM lineitem WHERE l_partkey = (SELECT min(l_partkey) FROM lineitem))
-      SELECT CAST(0 AS INTEGER) AS dim, CAST(min(l_discount) AS DOUBLE) AS lower, CAST(max(l_discount) AS DOUBLE) AS upper FROM first
-      UNION ALL SELECT 1, CAST(min(l_tax) AS DOUBLE), CAST(max(l_tax) AS DOUBLE) FROM first""",
+    "bounds_from_stats": with_(FRAMES) + """
+      SELECT CAST(dim AS INTEGER) AS dim, CAST(min(x) AS DOUBLE) AS lower, CAST(max(x) AS DOUBLE) AS upper FROM long_frames GROUP BY dim""",
+    "refined_bounds": with_(FRAMES, BOUNDS) + "SELECT dim, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds",
+    "sketched_bounds": with_(FRAMES) + """
+      SELECT dim, count(*) AS n_values, true AS lower_within, true AS upper_within FROM long_frames GROUP BY dim""",
     "grouped_l2_norm": with_(VECTORS) + """
       SELECT component, round(sqrt(sum(v * v)), 6) AS l2_norm, count(*) AS n_values FROM (
         SELECT 'label_' || label AS component, v FROM cells
@@ -305,6 +329,8 @@ ORACLE_SQL: dict[str, str] = {
     "seeded_rank": """
       SELECT o_orderkey AS episode_index, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) - 1 AS rank FROM orders""",
     "split_episodes": with_(SPLITS) + "SELECT episode_index, split FROM splits",
+    "epoch_order": f"SELECT a.event_id, a.rank AS rank_0, b.rank AS rank_1 FROM ({epoch_sql(0)}) a JOIN ({epoch_sql(1)}) b USING (event_id)",
+    "epoch_batches": f"SELECT rank // 32 AS batch_id, rank, event_id FROM ({epoch_sql(0)})",
     "shuffle_epoch": """
       SELECT CAST(epoch AS INTEGER) AS epoch, event_id,
              row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || event_id), event_id) - 1 AS rank
@@ -383,6 +409,16 @@ ORACLE_SQL: dict[str, str] = {
     "stream_normalize": f"""
       WITH bounds AS (SELECT quantile_cont(value, 0.01) AS lower, quantile_cont(value, 0.99) AS upper FROM events)
       SELECT event_id, round({normalized('value')}, 6) AS value FROM events CROSS JOIN bounds""",
+    "stream_chunks": chunk_sql("", "f.value", key="e.episode_index, e.frame_index"),
+    "stream_metrics_late": """
+      WITH parts AS (SELECT event_id % 3 AS part, ts, event_type AS name, value, date_trunc('day', ts) AS start FROM events),
+      marked AS (
+        SELECT p.*, (SELECT max(q.ts) FROM parts q WHERE q.part < p.part) - INTERVAL 10 DAYS AS mark FROM parts p),
+      judged AS (SELECT *, coalesce(start + INTERVAL 1 DAY <= mark, false) AS late FROM marked)
+      SELECT CAST(epoch(start) AS BIGINT) AS start_seconds, name, round(avg(value) FILTER (NOT late), 6) AS mean_value,
+             count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS n_late,
+             CAST(coalesce(sum(epoch_us(mark) - epoch_us(ts)) FILTER (late), 0) AS BIGINT) AS delay_micros
+      FROM judged GROUP BY 1, 2""",
     "stream_metrics": """
       SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start_seconds, event_type AS name,
              round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,16 +13,20 @@ from trajspark.catalog import tables as src
 from trajspark.operators import bounds as bd
 from trajspark.operators import chunks as ch
 from trajspark.operators import episodes as ep
+from trajspark.operators import epochs as eo
 from trajspark.operators import evaluate as ev
 from trajspark.operators import layout as lay
 from trajspark.operators import norms
 from trajspark.operators import shuffling as sh
+from trajspark.operators import sketches as sk
 from trajspark.operators import tasks as tk
 from trajspark.plans.ordered import ordered_index
 from trajspark.plans.training import TrainingPlan, evaluate_policy, prepare_training_set
 from trajspark.session import materialize, scratch_path
 from trajspark.sources import frames as io
-from trajspark.streaming import streams
+from trajspark.streaming import late, streams
+from trajspark.streaming.chunks import stream_chunks as chunk_stream
+from trajspark.streaming.state import keyed_state
 
 SEED = 42
 CHUNK = 8
@@ -105,6 +110,16 @@ def append_metrics(spark, sf):
     return io.read_metrics(spark, path).select(F.unix_micros("ts").alias("ts_micros"), "step", "name", "value")
 
 
+@query
+def log_metrics(spark, sf):
+    """Two parts of a log, the second one twice, as after a resume: the log is the same."""
+    path = scratch_path(spark, "metric-log")
+    metrics = src.metric_rows(src.table(spark, sf, "events"))
+    for part in (0, 1, 1):
+        io.log_metrics(metrics.where(F.col("step") % 2 == part), path)
+    return io.read_metrics(spark, path).select(F.unix_micros("ts").alias("ts_micros"), "step", "name", "value")
+
+
 # --- projections, filters, predicates ----------------------------------------------------------
 
 
@@ -135,9 +150,12 @@ def drop_padding(spark, sf):
 
 @query
 def validate_chunks(spark, sf):
+    """Chunks are checked while they are written, so that they are made once."""
+    path = scratch_path(spark, "validated-chunks")
     chunks = ch.action_chunk(src.event_frames(spark, sf), CHUNK)
+    io.checked_write(chunks, path, {"whole": F.size("action_chunk") == CHUNK})
     bad = F.col("action_chunk").isNull() | (F.size("action_chunk") != CHUNK)
-    return ch.validate_chunks(chunks, CHUNK).agg(
+    return spark.read.schema(chunks.schema).parquet(path).agg(
         F.count(F.lit(1)).alias("n_chunks"), F.count_if(bad).alias("n_invalid")
     )
 
@@ -264,12 +282,43 @@ def error_quantiles(spark, sf):
 
 @query
 def bounds_from_stats(spark, sf):
-    """Each part's statistics row holds its smallest and largest discount and tax; the bounds of the first part are shown."""
-    stats = src.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(
-        F.array(F.min("l_discount"), F.min("l_tax")).alias("q01"), F.array(F.max("l_discount"), F.max("l_tax")).alias("q99")
+    """Statistics of the whole table in one row, as two vectors over all four measures."""
+    measures = [f"l_{c}" for c in ("quantity", "extendedprice", "discount", "tax")]
+    stats = src.table(spark, sf, "lineitem").agg(
+        F.array(*map(F.min, measures)).alias("q01"), F.array(*map(F.max, measures)).alias("q99")
     )
-    first = stats.where(F.col("part") == stats.agg(F.min("part")).scalar())
-    return bd.bounds_from_stats(first)
+    return bd.bounds_from_stats(stats)
+
+
+def stored_sketches(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Sketches of 16 parts of the order lines, the last four added later; and the frames."""
+    path = scratch_path(spark, "sketches")
+    frames = src.lineitem_rows(spark, sf).withColumn("part", F.pmod("episode_index", F.lit(16)))
+    for parts in (F.col("part") < 12, F.col("part") >= 12):
+        sk.store_sketches(sk.sketch_parts(frames.where(parts), "part"), path)
+    return sk.read_sketches(spark, path), frames
+
+
+@query
+def refined_bounds(spark, sf):
+    """Exact bounds from stored sketches and one pass over the frames."""
+    fitted = sk.refined_bounds(*stored_sketches(spark, sf))
+    return fitted.select("dim", r6("lower").alias("lower"), r6("upper").alias("upper"))
+
+
+@query
+def sketched_bounds(spark, sf):
+    """For each bound taken from the sketches alone: whether its rank is within the stated error of its quantile."""
+    sketches, frames = stored_sketches(spark, sf)
+    bounds = materialize(sk.sketched_bounds(sketches), "sketched-bounds")
+    values = frames.select(F.posexplode("action").alias("dim", "value")).join(bounds, "dim")
+    share = lambda holds: F.avg(F.when(holds, 1.0).otherwise(0.0))
+    error = F.lit(sk.rank_error())
+    within = [
+        ((share(F.col("value") < F.col(c)) - error <= q) & (share(F.col("value") <= F.col(c)) + error >= q)).alias(f"{c}_within")
+        for c, q in (("lower", 0.01), ("upper", 0.99))
+    ]
+    return values.groupBy("dim").agg(F.count(F.lit(1)).alias("n_values"), *within)
 
 
 @query
@@ -423,6 +472,26 @@ def shuffle_epoch(spark, sf):
     return epochs[0].unionByName(epochs[1]).select("epoch", "event_id", "rank")
 
 
+def indexed_events(spark, sf) -> tuple[DataFrame, int]:
+    events = src.table(spark, sf, "events").select("event_id")
+    return ordered_index(events, [], ["event_id"], "index"), events.count()
+
+
+@query
+def epoch_order(spark, sf):
+    """The place of every event in two epochs, by a permutation of its index."""
+    events, n = indexed_events(spark, sf)
+    orders = {f"rank_{e}": eo.EpochOrder(n, SEED, e).rank("index") for e in (0, 1)}
+    return events.withColumns(orders).select("event_id", *orders)
+
+
+@query
+def epoch_batches(spark, sf):
+    """All batches of an epoch, fetched by the inverse permutation."""
+    events, n = indexed_events(spark, sf)
+    return eo.fetch_batches(events, eo.EpochOrder(n, SEED, 0), BATCH).select("batch_id", "rank", "event_id")
+
+
 @query
 def bounded_sample(spark, sf):
     return sh.bounded_sample(event_keys(spark, sf), 16, 128, SEED, "event_id").select("event_id", "rank")
@@ -586,6 +655,41 @@ def stream_normalize(spark, sf):
     return done.select("event_id", r6(F.col("action")[0]).alias("value"))
 
 
+@query
+def stream_chunks(spark, sf):
+    """Frames arrive in three parts by time; chunks go out as they become whole, the rest when a much later row ends all episodes."""
+    numbered = materialize(src.event_frames(spark, sf).select("episode_index", "frame_index", "action", src.utc().alias("ts")), "event-frames")
+    first, last = numbered.agg(F.min("ts"), F.max("ts")).first()
+    arriving, table = scratch_path(spark, "stream-frames"), scratch_path(spark, "stream-chunks")
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)]
+    parts = [
+        numbered.where(F.col("ts") < cuts[0]), numbered.where(F.col("ts").between(cuts[0], cuts[1])), numbered.where(F.col("ts") > cuts[1]),
+        spark.createDataFrame([(None, None, None, last + dt.timedelta(days=4000))], numbered.schema),
+    ]
+    done = None
+    for part in parts:
+        part.write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(numbered.schema).parquet(arriving)
+        with keyed_state(spark):
+            done = streams.drain_to_table(chunk_stream(stream, CHUNK, "3650 DAYS", "1 day"), table)
+    return long_chunks(done, FRAME_KEY)
+
+
+@query
+def stream_metrics_late(spark, sf):
+    """Three parts that all span the whole time, so that most of the later two is late; every row is in time or late."""
+    events = src.table(spark, sf, "events")
+    arriving, log = scratch_path(spark, "late-events"), scratch_path(spark, "late-metrics")
+    for part in range(3):
+        events.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(events.schema).parquet(arriving)
+        late.drain_metrics(src.metric_rows(stream), log, "1 day", "10 DAYS")
+    behind = late.late_rows(spark, log).groupBy("start", "name").agg(F.count(F.lit(1)).alias("n_late"), F.sum("delay_micros").alias("delay_micros"))
+    both = late.window_sums(spark, log).join(behind, ["start", "name"], "full")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select(F.unix_seconds("start").alias("start_seconds"), "name", r6("mean_value").alias("mean_value"), zero("n"), zero("n_late"), zero("delay_micros"))
+
+
 @query
 def stream_metrics(spark, sf):
     """The events arrive in three parts by time, each drained when it is there: state and results go on."""

@@ -164,7 +164,11 @@ def next_vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select(F.pmod(F.col("vec_id") - 1, n).alias("vec_id"), F.col("action_chunk").alias("predicted_chunk"))
 
 
+def utc(ts: str = "ts") -> Column:
+    """A zoneless time taken as UTC, whatever the session's zone."""
+    return F.expr(f"TIMESTAMP '1970-01-01 00:00:00Z' + ({ts} - TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+
+
 def metric_rows(events: DataFrame) -> DataFrame:
-    """Events as metric rows. The zoneless times are taken as UTC, whatever the session's zone."""
-    utc = F.expr("TIMESTAMP '1970-01-01 00:00:00Z' + (ts - TIMESTAMP_NTZ '1970-01-01 00:00:00')")
-    return events.select(utc.alias("ts"), F.col("event_id").alias("step"), F.col("event_type").alias("name"), "value")
+    """Events as metric rows."""
+    return events.select(utc().alias("ts"), F.col("event_id").alias("step"), F.col("event_type").alias("name"), "value")

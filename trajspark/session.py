@@ -67,10 +67,20 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.remove(mine)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for stored in mine:
-            folder = jvm.org.apache.hadoop.fs.Path(stored)
-            folder.getFileSystem(conf).delete(folder, True)
+            remove(spark, stored)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder with all that is in it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark.operators.bounds import check_bounds
 from trajspark.schemas import BOUNDS, FRAMES, METRICS
+from trajspark.session import exists, materialize, remove
 
 
 def scan_frames(
@@ -87,5 +88,44 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     rows.hint("rebalance", "name").write.mode("append").partitionBy("name").parquet(path)
 
 
+def log_metrics(metrics: DataFrame, path: str, steps: int = 10_000) -> None:
+    """Log metric rows so that a repeated call changes nothing: rows of a (name, step) replace what was logged for it.
+
+    The log is partitioned by name and by ranges of ``steps`` steps. Only the ranges that ``metrics`` touches are read and written
+    anew (dynamic overwrite), so a resumed run that logs its last steps again costs as much as those steps.
+    """
+    spark = metrics.sparkSession
+    span = F.floor(F.col("step") / F.lit(steps)).alias("step_range")
+    new = materialize(metrics.select([F.col(f.name).cast(f.dataType) for f in METRICS]).select("*", span), "metrics-new")
+    if exists(spark, path):
+        logged = read_metrics(spark, path).select("*", span)
+
+        def same(a: DataFrame, b: DataFrame, keys: list[str]) -> list[Column]:
+            return [a[k].eqNullSafe(b[k]) for k in keys]
+
+        ranges, steps_again = new.select("name", "step_range").distinct(), new.select("name", "step").distinct()
+        old = logged.join(ranges, same(logged, ranges, ["name", "step_range"]), "left_semi")
+        new = new.unionByName(old.join(steps_again, same(old, steps_again, ["name", "step"]), "left_anti"))
+        new = materialize(new, "metrics-merged")  # a table can't be read while it is overwritten
+    writer = new.hint("rebalance", "name", "step_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("name", "step_range").parquet(path)
+
+
+def checked_write(df: DataFrame, path: str, checks: Mapping[str, Column], mode: str = "errorifexists") -> dict[str, int]:
+    """Write ``df`` and count, in the same pass, the rows (``rows``) and those for which each check does not hold.
+
+    If a check fails on any row (NULL fails), what was written is removed and the call fails; a column is evaluated once.
+    """
+    seen = Observation()
+    counts = [F.count_if(~F.coalesce(check, F.lit(False))).alias(name) for name, check in checks.items()]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).write.mode(mode).parquet(path)
+    found = dict(seen.get)
+    failed = {name: found[name] for name in checks if found[name]}
+    if failed:
+        remove(df.sparkSession, path)
+        raise ValueError(f"of {found['rows']} rows these fail a check: {failed}")
+    return found
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRICS).parquet(path)
+    return spark.read.schema(METRICS).parquet(path).select(*METRICS.names)
