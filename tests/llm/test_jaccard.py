@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -63,10 +64,29 @@ def test_large_groups_are_linked_in_two_rounds(docs):
     texts = planted(random.Random(5), 12)
     stored = materialize(docs(list(enumerate(texts))), "t")
     prints = materialize(jaccard.prints(stored), "t")
-    nodes = materialize(simhash._firsts(prints, "node"), "t")
+    nodes = materialize(simhash._firsts(prints, "node", "n", "counts"), "t")
     node = {r.doc_id: r.node for r in prints.collect()}
     expected, _ = brute(texts)
     for small in (1, 3, 1000):
         label = {r.node: r.label for r in jaccard.components_of(prints, nodes, stored, small).collect()}
         got = [label.get(node[i], node[i]) for i in range(len(texts))]
         assert all((got[i] == got[j]) == (expected[i] == expected[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_bucket_counts_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        pool = rng.integers(0, 2**64, 400, np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(0, 300))) for _ in "ab")
+        bound = jaccard.may_share([jaccard.bucket_counts(a)], [jaccard.bucket_counts(b)], np.array([len(a)]), np.array([len(b)]))[0]
+        assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+    many = np.arange(70_000, dtype=np.uint64)  # one bucket, more than 16 bits
+    assert jaccard.bucket_counts(many) == b""
+    assert jaccard.may_share([b""], [jaccard.bucket_counts(a)], np.array([70_000]), np.array([len(a)]))[0] == len(a)
+
+
+def test_sets_that_share_a_name_are_told_apart(docs):
+    texts = ["a b c d e f g", "h i j k l m n", "a b c d e f g"]
+    prints = jaccard.prints(materialize(docs(list(enumerate(texts))), "t")).withColumn("node", F.lit(1).cast("long"))
+    found = {r.doc_id: r.node for r in jaccard.told_apart(materialize(prints, "t")).collect()}
+    assert found[0] == found[2] != found[1]

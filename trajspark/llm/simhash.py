@@ -166,16 +166,19 @@ def fingerprint_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """The same for groups of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles (node for fp)."""
+    """The same for groups of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles (node for fp).
+
+    Nulls, ties, repeated rows and empty tables are as in ``fingerprint_groups``; a text without words is like every other such one.
+    """
     docs = on_disk(docs)
-    prints = materialize(jaccard.prints(docs), "shingles")
-    distinct = materialize(_firsts(prints, "node"), "shingle-nodes")
+    prints = jaccard.told_apart(materialize(jaccard.prints(docs), "shingles"))
+    distinct = materialize(_firsts(prints, "node", "n", "counts"), "shingle-nodes")
     return _grouped(prints, distinct, jaccard.components_of(prints, distinct, docs), "node")
 
 
-def _firsts(prints: DataFrame, key: str) -> DataFrame:
+def _firsts(prints: DataFrame, key: str, *more: str) -> DataFrame:
     """For each value of the key, its first row."""
-    first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", FILE, ROW)
+    first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", FILE, ROW, *more)
     return prints.groupBy(key).agg(F.min(first).alias("first"))
 
 
