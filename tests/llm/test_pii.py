@@ -129,6 +129,7 @@ def test_reconciling_joins_cut_spans_and_keeps_the_heaviest():
     assert pii.reconcile([(1.0, 1, 2, 10, False), (1.0, 1, 2, 10, False)], of) == [(1, 2, 10)]
     assert pii.reconcile([(1.0, 3, 15, 30, False), (3.0, 3, 18, 30, False), (0.5, 1, 2, 10, False)], of) == [(1, 2, 10), (3, 18, 30)]
     assert pii.reconcile([(9.0, 2, 2, 10, False)], of) == []  # no card number
+    assert not pii.passes(2, "405768150e0411590525") and not pii.passes(3, "555a123456")
 
 
 def test_finds_what_patterns_miss_and_leaves_clean_texts_alone(docs):

@@ -6,7 +6,7 @@ none, at most ``SAMPLE`` of each class chosen by hash (none where a match failed
 digits, other separators), which the patterns cannot read. Overlapping windows of ``WINDOW`` characters are decoded
 by Viterbi; spans cut by a window's edge are joined with what the next window saw, and of all spans of a text the
 set of most weight without overlap is kept (over the whole text, not window by window). An added span must pass the check of its kind
-(Luhn digits, four numbers up to 255, 9 to 15 digits, an @ between two parts) and may not overlap a base span of its kind.
+(Luhn digits, four numbers up to 255, 9 to 15 digits, each without letters; an @ between two parts) and may not overlap a base span of its kind.
 
 A span of any kind holds a digit or an @, so windows without either cannot change the result and aren't decoded. Whole texts are
 read once; what is stored of them is the base spans and those windows, and the model works on these.
@@ -120,6 +120,8 @@ def passes(kind: int, found: str) -> bool:
     if kind == 0:
         name, _, host = found.partition("@")
         return bool(name and host and re.search(r"\w\W+\w", host)) and not re.search(r"\s", name + host[-1:])
+    if any(c.isalpha() for c in found):
+        return False
     if kind == 1:
         numbers = re.findall("[0-9]+", found)
         return len(numbers) == 4 and all(map(_is_byte, numbers))
