@@ -25,6 +25,8 @@ import zlib
 from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nsmallest
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +89,13 @@ class Behind:
 class Lattice:
     """The vocabulary as a lattice over texts."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], n: int = NBEST) -> None:
-        """``pieces``: id and cost (negative score) of each piece; ``byte_ids``: id of each byte's piece."""
+    def __init__(
+        self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], n: int = NBEST, decoder: Decoder | None = None
+    ) -> None:
+        """``pieces``: id and cost (negative score) of each piece; ``byte_ids``: id of each byte's piece.
+
+        With a decoder each segmentation of a part is decoded once, when it's found.
+        """
         self.byte_ids, self.n = byte_ids, n
         self.pieces = {piece: ((number,), cost) for piece, (number, cost) in pieces.items()}
         self.unknown = max(cost for _, cost in pieces.values()) + PENALTY
@@ -99,12 +106,15 @@ class Lattice:
             for character in piece:
                 node = node[0].setdefault(character, [{}, None])
             node[1] = found
+        self.longest = max(map(len, pieces))
         self.inside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}  # neighbours that a piece spans
         # Space runs apart, a chunk starts where a space follows something else; no piece may cross that.
         self.by_chunk = not any(b == SPACE and a != SPACE for a, b in self.inside)
         self.known: dict[str, Part] = {}
         self.others: dict[str, list[Path]] = {}
         self.held = 0  # characters in ``known``
+        self.decoder = decoder
+        self.odd: set[str] = set()  # parts with a segmentation that doesn't decode to the part
 
     def forward(self, text: str) -> tuple[list[list[Edge]], list[float]]:
         """For each place the pieces that end there, and the Viterbi cost from the start to it."""
@@ -130,30 +140,48 @@ class Lattice:
         return ending, best
 
     def best(self, text: str) -> Part:
-        """The best segmentation of a part, and how much worse the second best is.
+        """The best segmentation of a part, and how much worse the second best is: a forward pass that keeps the two best costs of each place.
 
-        Every other segmentation has a piece that isn't on the best path; the cheapest way through such a piece is the second best.
+        Of equally good last pieces the one with smaller ids is kept, as in the search.
         """
-        ending, best = self.forward(text)
-        size = len(text)
-        beyond = [0.0 if place == size else INFINITE for place in range(size + 1)]  # cost from each place to the end
+        size, tree, longest, single = len(text), self.tree, self.longest, self.pieces
+        first, second = [0.0] + [INFINITE] * size, [INFINITE] * (size + 1)
+        last: list[tuple[tuple[int, ...], int]] = [((), 0)] * (size + 1)  # ids and start of the last piece
+        for start in range(size):
+            here, other, children, end = first[start], second[start], tree, start
+            for character in text[start : start + longest]:
+                node = children.get(character)
+                if node is None:
+                    break
+                end += 1
+                children, piece = node
+                if piece is not None:
+                    own, cost = piece
+                    through, known = here + cost, first[end]
+                    if through < known:
+                        also = other + cost
+                        first[end], second[end], last[end] = through, known if known < also else also, (own, start)
+                    else:
+                        if through < second[end]:
+                            second[end] = through
+                        if through == known and (own, start) < last[end]:
+                            last[end] = (own, start)
+            if text[start] not in single:
+                own = tuple(self.byte_ids[b] for b in reversed(text[start].encode("utf-8", "replace")))
+                through, end = here + self.unknown, start + 1
+                known = first[end]
+                if through < known:
+                    first[end], second[end], last[end] = through, min(known, other + self.unknown), (own, start)
+                else:
+                    second[end] = min(second[end], through)
+                    if through == known and (own, start) < last[end]:
+                        last[end] = (own, start)
         ids: list[int] = []
-        place, on_path = size, set()
+        place = size
         while place:
-            own, start = min([(own, start) for start, own, cost in ending[place] if best[start] + cost == best[place]])
+            own, place = last[place]
             ids += own
-            on_path.add((start, place))
-            place = start
-        second = INFINITE
-        for end in range(size, 0, -1):
-            after = beyond[end]
-            for start, _, cost in ending[end]:
-                rest = cost + after
-                if rest < beyond[start]:
-                    beyond[start] = rest
-                if best[start] + rest < second and (start, end) not in on_path:
-                    second = best[start] + rest
-        return best[-1], second - best[-1], packed(ids[::-1])
+        return first[-1], second[-1] - first[-1], packed(ids[::-1])
 
     def search(self, text: str) -> list[tuple[float, list[int]]]:
         """Up to n segmentations (cost, ids), best first, by A-star search from the end.
@@ -183,7 +211,8 @@ class Lattice:
         found = self.others.get(part)
         if found is None:
             if len(self.others) > OTHERS:
-                self.others.clear()
+                for old in list(islice(self.others, len(self.others) // 2)):
+                    del self.others[old]
             own = self._cut(part)
             if len(own) > 1:
                 found = self._sums(own)
@@ -191,6 +220,8 @@ class Lattice:
                 found = self.search(part)
                 found = [(cost - found[0][0], packed(ids)) for cost, ids in found]
             self.others[part] = found
+            for _, ids in found:
+                self._check(part, ids)
         return found
 
     def _sums(self, parts: list[str]) -> list[Path]:
@@ -207,12 +238,19 @@ class Lattice:
 
     def segment(self, text: str) -> tuple[float, list[Path]]:
         """The best cost and the n best segmentations of a whole text."""
-        parts = self._parts(text)
+        return self.segment_parts(self.parts(text))
+
+    def decodes(self, parts: list[str]) -> bool:
+        """Whether all segmentations seen of these parts decode to them. Ids are decoded one by one, so those of whole texts do as well."""
+        return self.decoder is not None and (not self.odd or self.odd.isdisjoint(parts))
+
+    def segment_parts(self, parts: list[str]) -> tuple[float, list[Path]]:
+        """The best cost and the n best segmentations of known parts in a row."""
         n = self.n
-        firsts = [self.known[part] for part in parts]
-        seconds = [p[1] for p in firsts]
+        firsts = list(map(self.known.__getitem__, parts))
+        costs, seconds, ids = zip(*firsts) if firsts else ((), (), ())
         # The second choice of each part makes a segmentation of its own, so n - 1 of them bound the n-th best.
-        limit = sorted(seconds)[n - 2] if 1 < n <= len(seconds) + 1 else INFINITE
+        limit = nsmallest(n - 1, seconds)[-1] if 1 < n <= len(seconds) + 1 else INFINITE
         # The n best choices so far: (cost beyond the best, other choices as (part, which) pairs from the last to the first).
         best: list[tuple[float, tuple | None]] = [(0.0, None)]
         for k in [k for k, second in enumerate(seconds) if second <= limit and second < INFINITE]:
@@ -224,23 +262,24 @@ class Lattice:
             ]
             more.sort(key=lambda x: x[:3])
             best = [(c, (k, which, rest) if which else rest) for c, which, _, rest in more[:n]]
-        ids = [p[2] for p in firsts]
         result = []
         for cost, changed in best:
-            own = ids if changed is None else ids.copy()
+            own = ids if changed is None else list(ids)
             while changed is not None:
                 k, which, changed = changed
                 own[k] = self.paths(parts[k])[which][1]
             result.append((cost, b"".join(own)))
-        return sum([p[0] for p in firsts]), result
+        return sum(costs), result
 
-    def _parts(self, text: str) -> list[str]:
+    def parts(self, text: str) -> list[str]:
         """The parts of a text, all of them known."""
         if not text:
             return []
         if self.held > HELD:
-            self.known.clear()
-            self.held = 0
+            for old in list(islice(self.known, len(self.known) // 2)):
+                del self.known[old]
+                self.held -= len(old)
+            self.odd = {part for part in self.odd if part in self.known or part in self.others}
         form = SPACE + text.replace(" ", SPACE)
         parts = CHUNKS.findall(form) if self.by_chunk else [form]
         long = {}
@@ -248,7 +287,9 @@ class Lattice:
             own = self._cut(part)
             for x in own:
                 if x not in self.known:
-                    self._keep(x, self.best(x))
+                    found = self.best(x)
+                    self._keep(x, found)
+                    self._check(x, found[2])
             if len(own) > 1:
                 if len(part) > WORD:
                     long[part] = own
@@ -256,6 +297,8 @@ class Lattice:
                     each = [self.known[x] for x in own]
                     costs, seconds, ids = zip(*each)
                     self._keep(part, (sum(costs), min(seconds), b"".join(ids)))
+                    if self.odd and not self.odd.isdisjoint(own):
+                        self.odd.add(part)
         return parts if not long else [x for p in parts for x in long.get(p, (p,))]
 
     def _cut(self, part: str) -> list[str]:
@@ -266,6 +309,10 @@ class Lattice:
         self.known[part] = found
         self.held += len(part)
 
+    def _check(self, part: str, ids: bytes) -> None:
+        if self.decoder is not None and self.decoder.shown(ids) != part.replace(SPACE, " ").encode("utf-8", "replace"):
+            self.odd.add(part)
+
 
 class Decoder:
     """Texts from ids."""
@@ -273,9 +320,11 @@ class Decoder:
     def __init__(self, pieces: list[bytes]) -> None:
         self.pieces = pieces
 
+    def shown(self, ids: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))
+
     def decode(self, ids: bytes) -> bytes:
-        get = self.pieces.__getitem__
-        text = b"".join(map(get, memoryview(ids).cast("I")))
+        text = self.shown(ids)
         return text[1:] if text[:1] == b" " else text  # the space that encoding puts in front
 
 
@@ -296,7 +345,8 @@ def vocabulary(path: str, n: int = NBEST) -> tuple[Lattice, Decoder]:
         else:
             pieces[piece] = (i, -model.get_score(i))
             shown.append(piece.replace(SPACE, " ").encode())
-    return Lattice(pieces, byte_ids, n), Decoder(shown)
+    decoder = Decoder(shown)
+    return Lattice(pieces, byte_ids, n, decoder), decoder
 
 
 def encode(docs: DataFrame, path: str, n: int = NBEST, ids: bool = False) -> DataFrame:
@@ -313,10 +363,11 @@ def encode(docs: DataFrame, path: str, n: int = NBEST, ids: bool = False) -> Dat
             rows: list[list] = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
-                total, found = lattice.segment(text)
-                plain = text.encode().replace(SPACE.encode(), b" ")
+                parts = lattice.parts(text)
+                total, found = lattice.segment_parts(parts)
+                plain = None if lattice.decodes(parts) else text.encode().replace(SPACE.encode(), b" ")
                 for rank, (cost, own) in enumerate(found, 1):
-                    made = (doc_id, rank, len(own) // 4, -(total + cost), zlib.crc32(own), decoder.decode(own) == plain,
+                    made = (doc_id, rank, len(own) // 4, -(total + cost), zlib.crc32(own), plain is None or decoder.decode(own) == plain,
                             np.frombuffer(own, "<u4").astype(np.int64) if ids else None)
                     for column, value in zip(rows, made):
                         column.append(value)
