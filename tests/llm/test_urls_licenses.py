@@ -58,6 +58,46 @@ def test_rejected_templates_block_pages_without_a_rule(spark):
     assert found[2] == found[99] == urls.BLOCK and found[1000] == urls.ALLOW
 
 
+def same_as_sql(spark, rules, pages):
+    """The rows of judge, after a comparison with its SQL."""
+    import duckdb
+    import pandas as pd
+
+    frame = pd.DataFrame(pages, columns=["page_id", "url"])
+    with duckdb.connect() as base:
+        base.register("pages", frame)
+        columns = ["page_id", "host", "path", "rule", "verdict", "template"]
+        wanted = sorted(base.execute(f"SELECT {', '.join(columns)} FROM ({urls.judge_sql(rules)})").fetchall(), key=str)
+    found = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).select(columns).collect()
+    assert sorted(map(tuple, found), key=str) == wanted
+    return {r.page_id: r for r in found}
+
+
+def test_pages_that_part_deep_in_a_path_are_judged_apart(spark):
+    top = "/a/b/c/d"
+    rules = [urls.Rule("h.com", f"{top}/spam/old/", urls.BLOCK), urls.Rule("h.com", f"{top}/news/old/", urls.ALLOW)]
+    kinds = [f"{top}/spam/old/x/{{}}", f"{top}/spam/new{{}}", f"{top}/news/old/{{}}", f"{top}/news/new/{{}}", f"{top}/other/{{}}"]
+    pages = [(100 * k + i, "http://h.com" + kind.format(i)) for k, kind in enumerate(kinds) for i in range(30)]
+    found = same_as_sql(spark, rules, pages)
+    assert {found[200 + i].verdict for i in range(30)} == {urls.ALLOW} == {found[300 + i].verdict for i in range(30)}
+    assert {found[i].verdict for i in range(30)} == {urls.BLOCK}
+    assert {found[400 + i].verdict for i in range(30)} == {urls.ALLOW}
+    assert len({found[i].template for i in (0, 200, 400)}) == 3
+
+
+def test_many_small_sections_and_odd_names_equal_the_sql(spark):
+    # Sections of 1 % of their host each; every third is bad, every third good, the rest without a rule.
+    rules = [urls.Rule("h.com", f"/s{chr(97 + k % 26)}{chr(97 + k // 26)}/old/", urls.BLOCK if k % 3 else urls.ALLOW)
+             for k in range(100) if k % 3 < 2]
+    pages = []
+    for k in range(100):
+        section = f"http://h.com/s{chr(97 + k % 26)}{chr(97 + k // 26)}"
+        pages += [(1000 * k + i, f"{section}/old/{i}") for i in range(15)] + [(1000 * k + 500 + i, f"{section}/old{i}") for i in range(15)]
+    pages += [(500_000 + i, f"http://star.org/*/{i}") for i in range(10)] + [(600_000 + i, f"http://star.org/{chr(97 + i)}|x/{i}") for i in range(10)]
+    found = same_as_sql(spark, rules, pages)
+    assert "%2A" in found[500_000].template
+
+
 def plain_scan(text):
     words = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, labels = [], set()

@@ -5,7 +5,8 @@ judged by themselves become ``*``, and siblings whose labelled share of bad page
 (``de|en``). A template is rejected when its smoothed share of bad labelled pages is high enough:
 ``(bad + strength * overall share) / (labelled + strength)``.
 
-A tree has ``DEPTH`` levels; what lies deeper is ``**``. Counting is by shape of path, so a popular host is summed
+Every tree has ``DEPTH`` levels. Below them a branch is followed, level by level to the ends of its paths, as long as a verdict can depend on it:
+while it has ``LEAST`` labelled pages that don't all carry the same label, or pages without one. What lies deeper is ``**``. Counting is by shape of path, so a popular host is summed
 up map-side. A node has a branch for every segment with ``LEAST`` pages, whatever its share; siblings are merged by their
 distinct shares of bad pages, and a template names at most ``RARE`` large segments of a merged branch and the first small one (``a|*``).
 
@@ -17,13 +18,14 @@ verdict; a null id is passed on; other columns are never looked at.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.session import materialize
 
-DEPTH = 4
+DEPTH = 4          # levels that every branch has; below, only branches that can change a verdict go on
 RARE = 50          # a segment with less than 1/50 of its node's pages isn't named in a branch that holds several such
 LEAST = 5          # a segment with fewer pages than this is variable; also the labelled pages that a rejection needs
 DISTANCE = 1.36    # sqrt(ln(2 / 0.05) / 2): Hoeffding bound at 5 %
@@ -64,7 +66,9 @@ def first_rule(rules: list[Rule]) -> tuple[Column, Column]:
 
 
 def shape(path: str = "path") -> Column:
-    return F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "{n}")
+    """A path with ``{n}`` for digits; ``*`` and ``|`` in it are escaped, since templates use them (``%2A`` of a path reads ``%{n}A``)."""
+    plain = F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "{n}")
+    return F.replace(F.replace(plain, F.lit("*"), F.lit("%2A")), F.lit("|"), F.lit("%7C"))
 
 
 def path_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -80,7 +84,19 @@ def path_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     )
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     node = ["host", "prefix"]
-    for level in range(depth):
+    length, level, done = F.size(F.split("shape", "/")), 0, []
+    while True:
+        if level >= depth:
+            one_label = (F.col("n") == F.col("labelled")) & F.col("bad").isin(0, F.col("labelled"))
+            live = shapes.groupBy(*node).agg(*sums, F.max(length).alias("longest")).where(
+                (F.col("longest") > level) & (F.col("labelled") >= LEAST) & ~one_label
+            ).select(*node, F.lit(True).alias("live"))
+            shapes = materialize(shapes.join(live, node, "left"), f"live-{level}")
+            deeper = F.when(length > level, "/**").otherwise("")
+            done.append(shapes.where("live IS NULL").withColumn("template", F.concat("prefix", deeper)).drop("live", "prefix"))
+            shapes = shapes.where("live").drop("live")
+            if shapes.isEmpty():
+                break
         segment = F.coalesce(F.get(F.split("shape", "/"), F.lit(level)), F.lit(""))
         rows = shapes.withColumn("segment", segment)
         children = rows.groupBy(*node, "segment").agg(*sums)
@@ -96,8 +112,8 @@ def path_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             ),
             f"tree-{level}",
         )
-    deeper = F.when(F.size(F.split("shape", "/")) > depth, "/**").otherwise("")
-    named = shapes.select("host", "shape", F.concat("prefix", deeper).alias("template"), "n", "labelled", "bad")
+        level += 1
+    named = reduce(DataFrame.unionByName, done)
     stats = named.groupBy("host", "template").agg(*sums)
     return named.select("host", "shape", "template").join(stats, ["host", "template"])
 
@@ -157,8 +173,8 @@ def judge(pages: DataFrame, rules: list[Rule], depth: int = DEPTH) -> DataFrame:
     )
 
 
-def judge_sql(rules: list[Rule], depth: int = DEPTH) -> str:
-    """The same in SQL, one block per level."""
+def judge_sql(rules: list[Rule], depth: int = DEPTH, levels: int = 8) -> str:
+    """The same in SQL, one block per level. It states ``levels`` levels, where the code goes on as far as it has to."""
     by_length = sorted(rules, key=lambda r: -len(str(r)))
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in by_length)
@@ -168,39 +184,53 @@ def judge_sql(rules: list[Rule], depth: int = DEPTH) -> str:
     ), parsed AS (
         SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host,
                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
-    ), ruled AS (
+    ), ruled AS MATERIALIZED (
         SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} END AS ruled,
-               regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '{{n}}', 'g') AS shape FROM parsed
-    ), tree0 AS (
-        SELECT host, shape, '' AS prefix, count(*) AS n, count(ruled) AS labelled,
-               count(*) FILTER (ruled = '{BLOCK}') AS bad FROM ruled GROUP BY ALL
+               replace(replace(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '{{n}}', 'g'), '*', '%2A'), '|', '%7C') AS shape
+        FROM parsed
+    ), tree0 AS MATERIALIZED (
+        SELECT host, shape, '' AS prefix, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = '{BLOCK}') AS bad,
+               len(string_split(shape, '/')) AS segments, 0 AS taken FROM ruled GROUP BY host, shape
     )"""]
-    for k in range(depth):
-        parts.append(f"""rows{k} AS (
-        SELECT *, coalesce(string_split(shape, '/')[{k + 1}], '') AS segment FROM tree{k}
+    for k in range(levels):
+        live = "true" if k < depth else f"""max(segments) OVER node > {k} AND taken = {k} AND sum(labelled) OVER node >= {LEAST}
+               AND NOT (sum(n) OVER node = sum(labelled) OVER node AND sum(bad) OVER node IN (0, sum(labelled) OVER node))"""
+        parts.append(f"""rows{k} AS MATERIALIZED (
+        SELECT *, {live} AS live, coalesce(string_split(shape, '/')[{k + 1}], '') AS segment
+        FROM tree{k} WINDOW node AS (PARTITION BY host, prefix, taken)
     ), children{k} AS (
-        SELECT host, prefix, segment, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM rows{k} GROUP BY ALL
-    ), named{k} AS (
-        SELECT *, CASE WHEN n * {RARE} < sum(n) OVER (PARTITION BY host, prefix) OR n < {LEAST} THEN '*' ELSE segment END AS branch
-        FROM children{k}
-    ), branches{k} AS (
-        SELECT host, prefix, branch, sum(labelled) AS labelled, sum(labelled) >= {LEAST} AS enough,
-               CASE WHEN sum(labelled) >= {LEAST} THEN sum(bad) / sum(labelled) END AS share FROM named{k} GROUP BY host, prefix, branch
+        SELECT host, prefix, segment, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM rows{k} WHERE live GROUP BY ALL
+    ), named{k} AS MATERIALIZED (
+        SELECT *, CASE WHEN n < {LEAST} THEN '*' ELSE segment END AS branch,
+               n >= {LEAST} AND n * {RARE} < sum(n) OVER (PARTITION BY host, prefix) AS rare FROM children{k}
+    ), branches{k} AS MATERIALIZED (
+        SELECT host, prefix, branch, sum(labelled) AS labelled, sum(labelled) >= {LEAST} AS enough, bool_or(rare) AS rare,
+               CASE WHEN sum(labelled) >= {LEAST} THEN sum(bad) / sum(labelled) ELSE -1 END AS share FROM named{k} GROUP BY host, prefix, branch
+    ), shares{k} AS (
+        SELECT host, prefix, enough, share, arg_min(labelled, branch) AS first, arg_max(labelled, branch) AS last
+        FROM branches{k} GROUP BY ALL
     ), cuts{k} AS (
         SELECT *, CASE WHEN enough <> lag(enough) OVER o OR enough AND abs(share - lag(share) OVER o)
-                    > {DISTANCE} * (1 / sqrt(labelled) + 1 / sqrt(lag(labelled) OVER o)) THEN 1 ELSE 0 END AS cut
-        FROM branches{k} WINDOW o AS (PARTITION BY host, prefix ORDER BY enough DESC, share NULLS FIRST, branch)
-    ), runs{k} AS (
-        SELECT *, sum(cut) OVER (PARTITION BY host, prefix ORDER BY enough DESC, share NULLS FIRST, branch) AS run FROM cuts{k}
+                    > {DISTANCE} * (1 / sqrt(first) + 1 / sqrt(lag(last) OVER o)) THEN 1 ELSE 0 END AS cut
+        FROM shares{k} WINDOW o AS (PARTITION BY host, prefix ORDER BY enough DESC, share)
+    ), runs{k} AS MATERIALIZED (
+        SELECT b.host, b.prefix, branch, rare, run FROM branches{k} b JOIN (
+            SELECT *, sum(cut) OVER (PARTITION BY host, prefix ORDER BY enough DESC, share) AS run FROM cuts{k}
+        ) USING (host, prefix, enough, share)
+    ), smalls{k} AS (
+        SELECT host, prefix, run, min(branch) FILTER (rare) AS small, count(*) FILTER (rare) AS smalls FROM runs{k} GROUP BY ALL
     ), labels{k} AS (
-        SELECT host, prefix, run, string_agg(branch, '|' ORDER BY branch) AS label FROM runs{k} GROUP BY ALL
-    ), tree{k + 1} AS (
-        SELECT r.host, r.shape, r.prefix || '/' || label AS prefix, r.n, r.labelled, r.bad
+        SELECT host, prefix, run, string_agg(branch, '|' ORDER BY branch) FILTER (NOT rare OR branch = small)
+               || CASE WHEN max(smalls) > 1 THEN '|*' ELSE '' END AS label
+        FROM runs{k} JOIN smalls{k} USING (host, prefix, run) GROUP BY host, prefix, run
+    ), tree{k + 1} AS MATERIALIZED (
+        SELECT r.host, r.shape, r.prefix || '/' || label AS prefix, r.n, r.labelled, r.bad, r.segments, {k + 1} AS taken
         FROM rows{k} r JOIN named{k} USING (host, prefix, segment) JOIN runs{k} USING (host, prefix, branch)
-        JOIN labels{k} USING (host, prefix, run)
+        JOIN labels{k} USING (host, prefix, run) WHERE r.live
+        UNION ALL SELECT host, shape, prefix, n, labelled, bad, segments, taken FROM rows{k} WHERE NOT live
     )""")
-    parts.append(f"""templates AS (
-        SELECT *, prefix || CASE WHEN len(string_split(shape, '/')) > {depth} THEN '/**' ELSE '' END AS template FROM tree{depth}
+    parts.append(f"""templates AS MATERIALIZED (
+        SELECT *, prefix || CASE WHEN segments > taken THEN '/**' ELSE '' END AS template FROM tree{levels}
     ), overall AS (
         SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0) AS prior FROM templates
     ), judged AS (
