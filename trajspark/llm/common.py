@@ -13,6 +13,18 @@ from pyspark.sql.types import StructType
 from trajspark.session import materialize
 
 FILE, ROW = "_llm_file", "_llm_row"
+BATCH_ROWS = 2048
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark) -> None:
+    """From now on the session hands at most ``BATCH_ROWS`` rows at a time to Python.
+
+    Whole rows with long texts are held by the executor and its worker at once; results never depend on the batches.
+    """
+    rows = int(spark.conf.get(BATCH_CONF, "10000"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
