@@ -1,5 +1,7 @@
 import re
 
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_texts
@@ -129,3 +131,22 @@ def test_odd_texts_and_near_notices(docs):
     assert seen[at].labels == "mit" and seen[at].score == 1.0 and seen[at + 1].labels == "mit" and 0.75 <= seen[at + 1].score < 1
     assert seen[at + 2].labels == ""
     assert licenses.scan(docs([])).collect() == []
+
+
+def test_repeated_notices_keep_their_labels(docs):
+    """Neighbouring repeats merge into spans far longer than the template; each window of it is judged all the same."""
+    long = licenses.TEMPLATES[8].text
+    texts = ["GNU Lesser General Public License, General Public License, General Public License", "gnu lesser general public license",
+             f"{long} " * 50, f"{long.replace('granted', 'given, quite')} " * 50, "general public license " * 50,
+             "of this software to any person " * 50]
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r for r in licenses.scan(docs(rows)).collect()}
+    assert [found[i].labels for i in range(6)] == ["lgpl", "lgpl", "mit", "mit", "", ""]
+    assert found[0].score == found[1].score == found[2].score == 1.0 and 0.75 <= found[3].score < 1
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    table = con.execute(licenses.scan_sql())
+    names = [c[0] for c in table.description]
+    stated = {row[0]: dict(zip(names, row)) for row in table.fetchall()}
+    assert {i: found[i].asDict() for i in found} == stated

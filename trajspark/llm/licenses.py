@@ -3,7 +3,8 @@
 All word pairs of a text are joined by hash to the word pairs of the templates. Each match votes for a template and a
 diagonal (place in the text less place in the template); words on one diagonal stand as in the template. Diagonals of a
 template that lie within ``SLACK`` words of each other are merged, so that inserted or missing words don't part a text. A merged
-span counts if it holds enough different pairs of the template and isn't much longer than it.
+span counts if enough different pairs of the template stand close together in it: on one diagonal, on diagonals at most a
+template's length apart, or in the whole span if that isn't much longer than the template. Repeated notices thus lose nothing.
 Matches are verified word by word, so a phrase is found exactly where its words stand consecutively.
 
 The templates are fixed and small: broadcast, and joined where the text is read. Only votes are shuffled, by row.
@@ -96,17 +97,21 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     step = F.when(F.col("diagonal") - F.lag("diagonal").over(order) > SLACK, 1).otherwise(0)
     exact = F.col("base") & (F.col("marks") == F.col("whole"))
+    # Diagonals in lengths of the template: votes of those within STRETCH - 1 stand in a window of STRETCH lengths.
+    close = Window.partitionBy("row", "template", "span").orderBy("lengths").rangeBetween(Window.currentRow, STRETCH - 1)
     spans = (
         diagonals.withColumn("step", step).withColumn("span", F.sum("step").over(order))
         .withColumn("exact", F.when(exact, F.col("diagonal")))
+        .withColumn("lengths", F.col("diagonal") / (F.col("pairs") + 1))
+        .withColumn("near", F.bit_count(F.bit_or("marks").over(close)))
         .groupBy("row", "doc_id", "template", "label", "base", "pairs", "span").agg(
-            F.bit_or("marks").alias("marks"), F.min("low").alias("low"), F.max("high").alias("high"),
+            F.bit_or("marks").alias("marks"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("near").alias("near"),
             F.count("exact").alias("places"), F.min("exact").alias("first"), F.max("exact").alias("last"),
         )
     )
-    cover = F.bit_count("marks") / F.col("pairs")
-    verified = (cover >= COVER) & (F.col("high") - F.col("low") + 2 <= STRETCH * (F.col("pairs") + 1))
-    holds = F.when(F.col("base"), F.col("places") > 0).otherwise(verified)
+    short = F.col("high") - F.col("low") + 2 <= STRETCH * (F.col("pairs") + 1)
+    cover = F.greatest("near", F.when(short, F.bit_count("marks"))) / F.col("pairs")
+    holds = F.when(F.col("base"), F.col("places") > 0).otherwise(cover >= COVER)
     name = lambda rows: F.array_join(F.array_sort(F.collect_set(rows)), ",")
     return spans.withColumn("holds", holds).groupBy("row", "doc_id").agg(
         # Rows without a template are the texts' last words.
@@ -140,12 +145,18 @@ def scan_sql(templates: list[Template] = TEMPLATES) -> str:
         ), numbered AS (
             SELECT *, sum(step) OVER (PARTITION BY row, template ORDER BY diagonal) AS span,
                    CASE WHEN base AND marks = whole THEN diagonal END AS exact FROM steps
+        ), windows AS (
+            SELECT *, bit_count(bit_or(marks) OVER (
+                PARTITION BY row, template, span ORDER BY diagonal / (pairs + 1)
+                RANGE BETWEEN CURRENT ROW AND {STRETCH - 1}::DOUBLE FOLLOWING
+            )) AS near FROM numbered
         ), spans AS (
-            SELECT row, template, label, base, pairs, span, bit_count(bit_or(marks)) / pairs AS cover, max(high) - min(low) + 2 AS wide,
-                   count(exact) AS places, min(exact) AS first, max(exact) AS last
-            FROM numbered GROUP BY row, template, label, base, pairs, span
+            SELECT row, template, label, base, pairs, span,
+                   greatest(max(near), CASE WHEN max(high) - min(low) + 2 <= {STRETCH} * (pairs + 1) THEN bit_count(bit_or(marks)) END) / pairs
+                   AS cover, count(exact) AS places, min(exact) AS first, max(exact) AS last
+            FROM windows GROUP BY row, template, label, base, pairs, span
         ), held AS (
-            SELECT *, CASE WHEN base THEN places > 0 ELSE cover >= {COVER} AND wide <= {STRETCH} * (pairs + 1) END AS holds FROM spans
+            SELECT *, CASE WHEN base THEN places > 0 ELSE cover >= {COVER} END AS holds FROM spans
         ), found AS (
             SELECT row, sum(places) AS n_base, min(first) AS first_word, max(last) AS last_word,
                    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0) AS base_labels,
