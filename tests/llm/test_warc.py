@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import json
 import zipfile
 
 import pytest
@@ -79,3 +80,39 @@ def test_damage_is_noticed(tmp_path):
     member = warc.record(1, "u", b"body", hashlib.sha1(b"other").digest(), "response", None)
     with pytest.raises(ValueError, match="damaged"):
         warc.parse(member)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Two data members, a plain and a gzipped index, a compressed page list, numbers as text, repeated entries."""
+    records = [warc.record(i, f"http://h/{i}", f"body {i}".encode(), hashlib.sha1(f"body {i}".encode()).digest(), "response", None) for i in range(6)]
+    lines = {"a.warc.gz": [], "b.warc.gz": []}
+    data = {name: b"" for name in lines}
+    for i, member in enumerate(records):
+        name = "a.warc.gz" if i < 4 else "b.warc.gz"
+        entry = {"url": f"http://h/{i}", "offset": str(len(data[name])), "length": str(len(member)), "filename": f"archive/{name}" if i % 2 else name}
+        lines[name].append(f"h)/{i} 20200101 {json.dumps(entry)}")
+        data[name] += member
+    path = str(tmp_path / "other.wacz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as archive:
+        archive.writestr("pages/pages.jsonl", "x" * 5000, compress_type=zipfile.ZIP_DEFLATED)
+        for name, body in data.items():
+            archive.writestr(f"archive/{name}", body)
+        archive.writestr("indexes/a.cdxj", "\n".join(["!meta {}", *lines["a.warc.gz"], lines["a.warc.gz"][0]]))
+        archive.writestr("indexes/b.cdxj.gz", gzip.compress("\n".join(lines["b.warc.gz"]).encode()))
+    archives = spark.createDataFrame([(path,)], "archive string")
+    found = warc.read_records(warc.read_index(archives)).collect()
+    assert sorted((r.page_id, r.payload) for r in found) == [(i, f"body {i}".encode()) for i in range(6)]
+
+    wrong = str(tmp_path / "wrong.wacz")
+    with zipfile.ZipFile(wrong, "w", zipfile.ZIP_STORED) as archive:
+        archive.writestr("archive/a.warc.gz", data["a.warc.gz"])
+        archive.writestr("indexes/a.cdxj", lines["b.warc.gz"][0])
+    with pytest.raises(ValueError, match="lacks"):
+        list(warc.entries(warc.Ranges(wrong)))
+
+
+def test_schemes_are_known_before_any_work(spark):
+    assert warc.store_uri("s3a://bucket/a") == "s3://bucket/a" and warc.store_uri("hdfs://n:1/a") == "hdfs://n:1/a"
+    assert warc.store_uri("/a b") == "/a b" and warc.store_uri("file:/a") == "file:/a" and warc.store_uri("file:///a") == "file:///a"
+    with pytest.raises(ValueError, match="wasbs"):
+        warc.write_archives(spark.createDataFrame([], SCHEMA), "wasbs://c@a/b")

@@ -3,7 +3,8 @@
 An archive is a ZIP file of stored members: ``archive/data.warc.gz`` (each record a gzip member of its own), ``indexes/index.cdxj`` (a
 line per record with its offset and length) and ``datapackage.json``. A reader takes the end of the file, parses the central
 directory (ZIP64 fields included), finds the members' bytes, reads the index, and then fetches single records by
-range: nothing is extracted and no archive is read whole.
+range: nothing is extracted and no archive is read whole. Archives of other writers may hold several data members, several
+indexes, gzipped indexes, and members of any other kind, compressed or not, which are passed over.
 
 Tasks stream records into archives of about ``ARCHIVE_BYTES`` in the shared folder. Each attempt of a task uses file
 names of its own, and only the attempt that Spark accepts gets into the manifest, so lost executors leave no half archives behind in
@@ -26,7 +27,7 @@ import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import closing
 from typing import BinaryIO
 from urllib.parse import quote, urlparse
@@ -47,12 +48,25 @@ DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackag
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RESPONSE, REVISIT = "response", "revisit"
 LEVEL = 6
+# Where archives can be: Spark's scheme, and its name here.
+SCHEMES = {"file": "file", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss"}
 
 
 # --- files -------------------------------------------------------------------------------------
 
 
+def store_uri(uri: str) -> str:
+    """The URI as the tasks' file system names it: Hadoop's names of object stores are changed, unknown schemes refused."""
+    scheme, colon, rest = uri.partition("://")
+    if not colon:
+        scheme = "file"  # a plain path, or file:/path
+    if scheme not in SCHEMES:
+        raise ValueError(f"archives can't be in {scheme}://, only in {', '.join(SCHEMES)}")
+    return SCHEMES[scheme] + colon + rest if colon else uri
+
+
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
+    uri = store_uri(uri)
     parsed = urlparse(uri)
     if parsed.scheme in ("", "file"):
         return fs.LocalFileSystem(), parsed.path if parsed.scheme else uri
@@ -93,8 +107,8 @@ LOCAL, LOCAL_SIZE = b"PK\x03\x04", 30
 COMMENT, FULL16, FULL32, EXTRA64, STORED = 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0x0001, 0
 
 
-def directory(ranges: Ranges) -> dict[str, tuple[int, int]]:
-    """(first byte, bytes) of each stored member. Fails on a compressed member or a broken directory."""
+def directory(ranges: Ranges, wanted: Callable[[str], bool] = lambda name: True) -> dict[str, tuple[int, int]]:
+    """(first byte, bytes) of each wanted member. Fails if one of these is compressed, or the directory is broken."""
     tail_at = max(0, ranges.size - END_SIZE - COMMENT)
     tail = ranges.read(tail_at, ranges.size - tail_at)
     at = tail.rfind(END, 0, max(0, len(tail) - END_SIZE + len(END)))
@@ -122,6 +136,9 @@ def directory(ranges: Ranges) -> dict[str, tuple[int, int]]:
         name = data[name_at : name_at + name_size].decode("utf-8")
         extra = data[name_at + name_size : name_at + name_size + extra_size]
         size, packed, header = _wide(extra, size, packed, header)
+        place = name_at + name_size + extra_size + comment_size
+        if not wanted(name):
+            continue
         if method != STORED or packed != size:
             raise ValueError(f"member {name} isn't stored")
         local = ranges.read(header, LOCAL_SIZE)
@@ -129,7 +146,6 @@ def directory(ranges: Ranges) -> dict[str, tuple[int, int]]:
             raise ValueError(f"no local header of {name}")
         own_name, own_extra = struct.unpack_from("<HH", local, 26)
         members[name] = (header + LOCAL_SIZE + own_name + own_extra, size)
-        place = name_at + name_size + extra_size + comment_size
     return members
 
 
@@ -200,6 +216,44 @@ def parse(member: bytes) -> dict:
     }
 
 
+def is_data(name: str) -> bool:
+    return name.startswith("archive/") and name.endswith(".warc.gz")
+
+
+def is_index(name: str) -> bool:
+    return name.startswith("indexes/") and name.removesuffix(".gz").endswith((".cdxj", ".cdx"))
+
+
+def entries(ranges: Ranges) -> Iterator[tuple[int, int]]:
+    """(first byte, bytes) of each record that the indexes of an archive name, each place once.
+
+    An entry names its data member by the last part of its path; without a name it is in the only one. Lines that aren't entries
+    (headers, comments) are passed over.
+    """
+    members = directory(ranges, lambda name: is_data(name) or is_index(name))
+    data = {name.rpartition("/")[2]: place for name, place in members.items() if is_data(name)}
+    seen = set()
+    for name in sorted(filter(is_index, members)):
+        text = ranges.read(*members[name])
+        for line in (gzip.decompress(text) if name.endswith(".gz") else text).decode().splitlines():
+            _, brace, rest = line.partition("{")
+            if line.startswith("!") or not brace:
+                continue
+            entry = json.loads(brace + rest)
+            if "offset" not in entry:
+                continue
+            named = entry.get("filename", "").rpartition("/")[2] or (next(iter(data)) if len(data) == 1 else "")
+            if named not in data:
+                raise ValueError(f"{name} names {named or 'no member'}, which the archive lacks")
+            first, size = data[named]
+            offset, length = int(entry["offset"]), int(entry["length"])
+            if offset < 0 or length < 0 or offset + length > size:
+                raise ValueError(f"{name} names bytes beyond {named}")
+            if (first + offset, length) not in seen:
+                seen.add((first + offset, length))
+                yield first + offset, length
+
+
 class ArchiveWriter:
     """Streams records into one archive."""
 
@@ -232,6 +286,7 @@ class ArchiveWriter:
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record per row of ``pages`` (page_id, url, html) and returns the manifest: archive, data_bytes, records."""
+    store_uri(folder)  # refused here, before any work
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"),
@@ -277,14 +332,12 @@ def read_index(archives: DataFrame, tasks: int | None = None) -> DataFrame:
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 with closing(Ranges(archive)) as ranges:
-                    members = directory(ranges)
-                    first = members[DATA][0]
-                    entries = [json.loads(x.split(" ", 2)[2]) for x in ranges.read(*members[INDEX]).decode().splitlines()]
+                    places = list(entries(ranges))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([archive] * len(entries), pa.string()),
-                        pa.array([first + e["offset"] for e in entries], pa.int64()),
-                        pa.array([e["length"] for e in entries], pa.int64()),
+                        pa.array([archive] * len(places), pa.string()),
+                        pa.array([start for start, _ in places], pa.int64()),
+                        pa.array([length for _, length in places], pa.int64()),
                     ],
                     names=["archive", "start", "length"],
                 )
