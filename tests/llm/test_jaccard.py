@@ -91,3 +91,39 @@ def test_sets_that_share_a_name_are_told_apart(docs):
     prints = jaccard.prints(materialize(docs(list(enumerate(texts))), "t")).withColumn("node", F.lit(1).cast("long"))
     found = {r.doc_id: r.node for r in jaccard.told_apart(materialize(prints, "t")).collect()}
     assert found[0] == found[2] != found[1]
+
+
+def test_fingerprints_find_near_copies_through_the_trees(docs):
+    texts = planted(random.Random(7), 20)
+    prints = jaccard.told_apart(materialize(jaccard.prints(materialize(docs(list(enumerate(texts))), "t")), "t"))
+    marks = {r.node: r.fp & simhash.ALL for r in prints.select("node", "fp").collect()}
+    expected = {
+        tuple(sorted((a, b))) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= simhash.NEAR_RADIUS
+    }
+    assert len(set(marks.values())) == len(marks) and len(expected) > 20
+    for nodes in (3, 1000):
+        got = [tuple(sorted(r)) for r in simhash.near_pairs(prints, tree_nodes=nodes, nearest=1000).collect()]
+        assert set(got) == expected and len(got) == len(expected)
+    assert {tuple(sorted(r)) for r in simhash.near_pairs(prints).collect()} <= expected
+
+
+def test_copies_that_stay_apart_are_not_handed_on_in_pairs(docs):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        other = list(base)
+        for at in rng.sample(range(len(base)), 8):  # two of them are some 0.4 alike, so none is linked
+            other[at] = word()
+        texts.append(" ".join(other))
+    rows = materialize(docs(list(enumerate(texts))), "t")
+    prints = materialize(jaccard.prints(rows), "t")
+    nodes = materialize(simhash._firsts(prints, "node", "n", "counts"), "t")
+    own = nodes.select("node", F.col("first.counts").alias("counts"), F.col("node").alias("label"))
+    hashes = prints.select(F.col("n").cast("long").alias("n"), "node", F.posexplode("first").alias("at", "hash"))
+    met = hashes.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("hash")), 1, jaccard.MET).alias("met"))
+    pairs = jaccard._apart(hashes.withColumn("at", F.col("at").cast("long")).join(own, "node").join(met, "node")).collect()
+    _, levels = brute(texts)
+    assert len(levels) <= len(pairs) <= len(levels) + 20
+    assert len({tuple(sorted(p)) for p in pairs}) == len(pairs)

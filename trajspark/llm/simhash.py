@@ -16,6 +16,7 @@ gives an empty result; other columns are never looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm import jaccard
-from trajspark.llm.common import FILE, ROW, addressed, on_disk
+from trajspark.llm.common import FILE, ROW, addressed, majority, on_disk
 from trajspark.llm.graph import components
 from trajspark.session import materialize
 
@@ -33,6 +34,8 @@ RADIUS = 2
 WIDTH = 3
 SEED = 42
 TREE_NODES = 4096
+NEAR_RADIUS = 5       # near copies: bits in which fingerprints of five-word shingles may differ
+NEAREST = 4           # links that a fingerprint has to the nearest of one tree; the exact way gives the rest
 ALL = (1 << BITS) - 1
 
 
@@ -50,11 +53,7 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     hashes = np.array(
         [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64
     )
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -106,19 +105,26 @@ class ShardTree:
         return found
 
 
-def block_masks(radius: int) -> list[int]:
-    """``radius + 1`` masks that cut the bits into runs of nearly equal length."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+def block_masks(radius: int, agree: int = 1) -> list[int]:
+    """Masks of ``agree`` of ``radius + agree`` runs of bits of nearly equal length: two values within the radius agree on one mask."""
+    blocks = radius + agree
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    runs = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    return [sum(some) for some in combinations(runs, agree)]
 
 
 def signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """All pairs (a, b) of different values in column fp that differ in at most ``radius`` bits, each pair once."""
-    masks = block_masks(radius)
+def links(
+    distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES, agree: int = 1, nearest: int | None = None
+) -> DataFrame:
+    """All pairs (a, b) of different values in column fp that differ in at most ``radius`` bits, each pair once.
+
+    More blocks that must ``agree`` make more, smaller shards. With ``nearest`` a value is linked to so many of the nearest of a tree only.
+    """
+    masks = block_masks(radius, agree)
     values: list[Column] = [F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks]
     shares = distinct.select("fp", F.posexplode(F.array(*values)).alias("block", "value"))
     # A value that a single fingerprint has can't link anything.
@@ -142,10 +148,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODE
                 if (block, value, number) != key:
                     key, tree = (block, value, number), ShardTree()
                 bits = fp & ALL
-                for other in tree.within(bits, radius):
-                    # Each pair once: guests look for smaller ones only, and only the first block in which both agree reports.
-                    if (not guest or other < bits) and all((bits ^ other) & m for m in masks[:block]):
-                        found.append((signed(min(bits, other)), signed(max(bits, other))))
+                # Each pair once: guests look for smaller ones only, and only the first block in which both agree reports.
+                near = [
+                    other for other in tree.within(bits, radius)
+                    if (not guest or other < bits) and all((bits ^ other) & m for m in masks[:block])
+                ]
+                if nearest is not None and len(near) > nearest:
+                    near = sorted(near, key=lambda other: ((bits ^ other).bit_count(), other))[:nearest]
+                found += [(signed(min(bits, other)), signed(max(bits, other))) for other in near]
                 if not guest:
                     tree.add(bits)
             if found:
@@ -168,12 +178,28 @@ def fingerprint_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS
 def near_groups(docs: DataFrame) -> DataFrame:
     """The same for groups of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles (node for fp).
 
+    Fingerprints of the shingles go through the BK-trees with a wider radius, and whole sets of what these link are compared.
+    Similarity 0.8 is about 10 bits of 64, so that no radius of feasible shards finds every link: prefix filtering
+    (``jaccard``) then brings together what is still apart.
+
     Nulls, ties, repeated rows and empty tables are as in ``fingerprint_groups``; a text without words is like every other such one.
     """
     docs = on_disk(docs)
     prints = jaccard.told_apart(materialize(jaccard.prints(docs), "shingles"))
     distinct = materialize(_firsts(prints, "node", "n", "counts"), "shingle-nodes")
-    return _grouped(prints, distinct, jaccard.components_of(prints, distinct, docs), "node")
+    return _grouped(prints, distinct, jaccard.components_of(prints, distinct, docs, near=near_pairs(prints)), "node")
+
+
+def near_pairs(prints: DataFrame, radius: int = NEAR_RADIUS, tree_nodes: int = TREE_NODES, nearest: int = NEAREST) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or linked through the trees; of one fingerprint's nodes all meet the first."""
+    marks = materialize(prints.select("fp", "node").distinct(), "near-fingerprints")
+    firsts = materialize(marks.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprint-nodes")
+    equal = marks.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = links(firsts.select("fp"), radius, tree_nodes, agree=2, nearest=nearest)
+    for end in ("a", "b"):
+        named = firsts.select(F.col("fp").alias(end), F.col("first").alias(f"node_{end}"))
+        found = found.join(named, end)
+    return equal.unionByName(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
 def _firsts(prints: DataFrame, key: str, *more: str) -> DataFrame:
