@@ -154,3 +154,12 @@ def test_large_sides_are_not_broadcast_by_hint(spark, sf):
         assert "Broadcast" not in plan_of(lay.text_positions(tokens))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_neither_prompts_nor_chunks_are_moved(spark, sf):
+    """The frames take their rank before they grow into chunks, and prompts are rendered last."""
+    plan = plan_of(QUERIES["training_set"](spark, sf))
+    above = plan[: plan.index("Exchange")]
+    assert "collect_list" in above and "collect_list" not in plan[len(above):]
+    moved = [line for line in plan[len(above):].split("\n") if "Project" in line]
+    assert moved and not any("Overview cam" in line for line in moved)

@@ -41,10 +41,11 @@ def prepare_training_set(
 ) -> DataFrame:
     """Frames to batches: split, bounds, chunks, tasks, shuffled order, batch numbers.
 
-    Every training frame is kept, and every validation frame unless ``max_val_batches`` asks for a sample. Split, task and
-    prompt are attached to the frames before these grow into chunks; the chunks are then moved once to their block and
-    once to their rank. With ``partitions`` the result is laid out in batch order, ready
-    for ``write_training_set(..., in_order=True)``.
+    Every training frame is kept, and every validation frame unless ``max_val_batches`` asks for a sample. Split and task
+    are attached to the frames before these grow into chunks; the prompt is rendered at the very end, so it is never moved. Frames take
+    their rank before they grow as well, unless a sample is drawn (a chunk needs the frames that the sample leaves out) or, with
+    ``partitions``, the result is to be laid out in batch order, ready for ``write_training_set(..., in_order=True)``: then
+    the chunks are moved once to their block and once to their rank.
     """
     # One row per episode, read several times; and the split must not change between its readers.
     episodes = materialize(frames.select("episode_index").distinct(), "episodes")
@@ -52,22 +53,29 @@ def prepare_training_set(
     fit_episodes = splits.where("split = 'train'") if plan.fit_on == "train" else None
     bounds = fit_bounds(frames, *plan.quantiles, episodes=fit_episodes)
     described = attach_task(frames.join(splits, "episode_index"), tasks)
-    if plan.prompt_images is not None:
-        described = render_prompt(described, *plan.prompt_images)
     val_size = plan.val_batch_size or plan.batch_size
     is_train = F.col("split") == "train"
     limit = None
     if plan.max_val_batches is not None:
         limit = F.when(is_train, F.lit(2**63 - 1)).otherwise(F.lit(plan.max_val_batches * val_size))
-    ranked = seeded_rank(
-        action_chunk(described, plan.chunk_len, bounds),
-        ["episode_index", "frame_index"],
-        f"{plan.seed}:{epoch}",
-        below=limit,
-        within=["split"],
-        count_from=frames.select("episode_index", "frame_index").join(splits, "episode_index"),
-        partitions=partitions,
-    )
+
+    def rank(rows: DataFrame) -> DataFrame:
+        return seeded_rank(
+            rows,
+            ["episode_index", "frame_index"],
+            f"{plan.seed}:{epoch}",
+            below=limit,
+            within=["split"],
+            count_from=frames.select("episode_index", "frame_index").join(splits, "episode_index"),
+            partitions=partitions,
+        )
+
+    if limit is None and partitions is None:
+        ranked = action_chunk(rank(described), plan.chunk_len, bounds)
+    else:
+        ranked = rank(action_chunk(described, plan.chunk_len, bounds))
+    if plan.prompt_images is not None:
+        ranked = render_prompt(ranked, *plan.prompt_images)
     size = F.when(is_train, F.lit(plan.batch_size)).otherwise(F.lit(val_size)).cast("long")
     return ranked.withColumn("batch_id", int_div(F.col("rank"), size))
 
