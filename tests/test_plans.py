@@ -163,3 +163,10 @@ def test_neither_prompts_nor_chunks_are_moved(spark, sf):
     assert "collect_list" in above and "collect_list" not in plan[len(above):]
     moved = [line for line in plan[len(above):].split("\n") if "Project" in line]
     assert moved and not any("Overview cam" in line for line in moved)
+
+
+def test_ranks_move_no_hash(spark, sf):
+    """Rows are shuffled with their bucket; the hash that orders them is made where they arrive."""
+    plan = plan_of(sh.seeded_rank(src.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1, partitions=4))
+    moved = plan[plan.index("Exchange"):]
+    assert "AS _hash" in plan and "_hash#" not in moved

@@ -52,7 +52,7 @@ def seeded_rank(
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
 
     def hash_rows(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_hash", F.md5(text)).withColumn("_bucket", F.substring("_hash", 1, prefix))
+        return rows.withColumn("_bucket", F.substring(F.md5(text), 1, prefix))
 
     hashed = hash_rows(df)
     counted = hashed if count_from is None else hash_rows(count_from)
@@ -77,6 +77,10 @@ def seeded_rank(
         placed = placed.withColumn("_part", int_div(number * partitions, 16**prefix).cast("int"))
         placed = placed.repartitionById(partitions, "_part")
         groups = [*within, "_part", "_bucket"]
+    else:
+        placed = placed.repartition(*groups)
+    # The hash is made anew where the rows have arrived, so that it isn't moved.
+    placed = placed.withColumn("_hash", F.md5(text))
     inside = Window.partitionBy(*groups).orderBy("_hash", *keys)
     local = F.sum(F.lit(1).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = placed.withColumn(name, F.col("_start") + local - 1).drop("_bucket", "_hash", "_start", "_part")
