@@ -184,3 +184,10 @@ def test_size_report_tells_texts_of_one_task_number_apart(spark):
     tasks = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "task_index long, task string")
     got = sorted((r.split, r.task, r.n_episodes, r.n_frames) for r in size_report(frames, splits, tasks).where("level = 0").collect())
     assert got == [("train", "a", 1, 2), ("train", "b", 1, 1), ("val", "a", 1, 1), ("val", "b", 1, 1)]
+
+
+def test_vectors_are_computed_once_where_they_are_unrolled(spark, sf):
+    """No filter on the vector's size, which would hold the whole expression again, lies below."""
+    for name in ("normalize_actions", "unnormalize_actions"):
+        plan = plan_of(QUERIES[name](spark, sf))
+        assert not re.search(r"Filter .*size\(", plan), plan[:2000]

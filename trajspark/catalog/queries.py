@@ -49,7 +49,9 @@ def r6(column: str | Column) -> Column:
 
 
 def unrolled(df: DataFrame, keys: list[str], column: str = "action") -> DataFrame:
-    return df.select(*keys, F.posexplode(column).alias("dim", "v")).select(*keys, "dim", r6("v").alias("value"))
+    # The outer form, since for the inner one Spark infers a filter on the vector, which computes it two more times.
+    cells = df.select(*keys, F.posexplode_outer(column).alias("dim", "v")).where("dim IS NOT NULL")
+    return cells.select(*keys, "dim", r6("v").alias("value"))
 
 
 def numbered_frames(spark: SparkSession, sf: str) -> DataFrame:
