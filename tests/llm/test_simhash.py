@@ -73,6 +73,18 @@ def test_links_match_brute_force_with_small_trees(spark):
         assert len(found) == len(set(found)) and set(found) == expected
 
 
+def test_rows_sent_to_the_trees_grow_with_the_fingerprints(spark):
+    rng = random.Random(9)
+    values = [rng.getrandbits(64) for _ in range(5_000)]
+    masks = simhash.block_masks(simhash.NEAR_RADIUS, 2)
+    for n in (1_000, 5_000):
+        frame = spark.createDataFrame([(simhash.signed(v),) for v in values[:n]], "fp long")
+        assert simhash.dealt(frame, masks, simhash.TREE_NODES).count() == len(masks) * n
+    # Rows that meet only where a shard has two of them would grow with the square of n: no join picks them.
+    plan = simhash.links(frame, simhash.NEAR_RADIUS, agree=2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}

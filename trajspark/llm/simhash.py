@@ -117,6 +117,27 @@ def signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
+def dealt(distinct: DataFrame, masks: list[int], tree_nodes: int) -> DataFrame:
+    """block, value, tree, fp, guest: a row for each fingerprint and mask, so that their number grows as the fingerprints do.
+
+    Only a shard of more than ``tree_nodes`` fingerprints has several trees; a fingerprint is at home in one and a guest of the others.
+    """
+    values: list[Column] = [F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks]
+    shares = distinct.select("fp", F.posexplode(F.array(*values)).alias("block", "value"))
+    sizes = shares.groupBy("block", "value").agg(F.count(F.lit(1)).alias("size"))
+    trees = F.ceil(F.col("size") / F.lit(tree_nodes)).cast("int")
+    large = materialize(sizes.where(F.col("size") > tree_nodes).select("block", "value", trees.alias("trees")), "large-shards")
+    if large.isEmpty():
+        return shares.select("block", "value", F.lit(0).alias("tree"), "fp", F.lit(False).alias("guest"))
+    split = shares.join(large, ["block", "value"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    sent = split.select(
+        "block", "value", "fp",
+        F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"),
+        F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int").alias("home"),
+    )
+    return sent.select("block", "value", "tree", "fp", (F.col("tree") != F.col("home")).alias("guest"))
+
+
 def links(
     distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES, agree: int = 1, nearest: int | None = None
 ) -> DataFrame:
@@ -125,26 +146,19 @@ def links(
     More blocks that must ``agree`` make more, smaller shards. With ``nearest`` a value is linked to so many of the nearest of a tree only.
     """
     masks = block_masks(radius, agree)
-    values: list[Column] = [F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks]
-    shares = distinct.select("fp", F.posexplode(F.array(*values)).alias("block", "value"))
-    # A value that a single fingerprint has can't link anything.
-    sizes = shares.groupBy("block", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    trees = F.ceil(F.col("size") / F.lit(tree_nodes)).cast("int")
-    sent = shares.join(sizes, ["block", "value"]).select(
-        "block", "value", "fp",
-        F.explode(F.sequence(F.lit(0), trees - 1)).alias("tree"),
-        F.pmod(F.xxhash64("fp"), trees).cast("int").alias("home"),
-    )
     keys = ["block", "value", "tree"]
-    dealt = sent.select(*keys, "fp", (F.col("tree") != F.col("home")).alias("guest"))
-    placed = dealt.repartition(*keys).sortWithinPartitions(*keys, "guest", "fp")
+    placed = dealt(distinct, masks, tree_nodes).repartition(*keys).sortWithinPartitions(*keys, "guest", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree = None, ShardTree()
         for batch in batches:
             found: list[tuple[int, int]] = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for block, value, number, fp, guest in zip(*columns):
+            # A row between others of other shards is alone in its shard; the last one of a batch may not be.
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])
+            begins = np.concatenate(([key != tuple(c[0].item() for c in columns[:3])], new)) if batch.num_rows else new
+            alone = begins & np.concatenate((new, [False]))[: len(begins)]
+            for block, value, number, fp, guest in zip(*(c[~alone].tolist() for c in columns)):
                 if (block, value, number) != key:
                     key, tree = (block, value, number), ShardTree()
                 bits = fp & ALL
