@@ -1,12 +1,14 @@
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 
 from trajspark.operators.chunks import action_chunk
 from trajspark.session import scratch_path
 from trajspark.streaming import streams
-from trajspark.streaming.chunks import stream_chunks
+from trajspark.streaming.chunks import _Chunker, stream_chunks
 from trajspark.streaming.state import keyed_state
 
 SCHEMA = "episode_index long, frame_index long, action array<double>, ts timestamp"
@@ -74,3 +76,34 @@ def test_null_actions_are_steps(spark, tmp_path):
     write(spark, path, END)
     got = {r["frame_index"]: r["action_chunk"] for r in drained(spark, path, table, 3).collect()}
     assert got == {0: [[1.0], None, [3.0]], 1: [None, [3.0], [3.0]], 2: [[3.0], [3.0], [3.0]]}
+
+
+def test_a_batch_does_not_move_the_timer_and_an_early_one_ends_nothing():
+    calls, held = [], []
+    handle = SimpleNamespace(
+        getValueState=lambda *a: SimpleNamespace(get=lambda: held[-1] if held else None, update=held.append, clear=held.clear),
+        registerTimer=lambda ms: calls.append(("set", ms)), deleteTimer=lambda ms: calls.append(("delete", ms)),
+    )
+    chunker = _Chunker(2, 100)
+    chunker.init(handle)
+    row = lambda i, ms: Row("episode_index", "frame_index", "action", "ts", "at_ms")(7, i, [float(i)], None, ms)
+    assert list(chunker.handleInputRows((7,), iter([row(0, 0)]), None)) == []
+    assert [tuple(c) for c in chunker.handleInputRows((7,), iter([row(1, 50)]), None)] == [(7, 0, [[0.0], [1.0]])]
+    assert calls == [("set", 100)]
+    passed = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert list(chunker.handleExpiredTimer((7,), passed(120), None)) == [] and calls[1:] == [("set", 150)]
+    assert [tuple(c) for c in chunker.handleExpiredTimer((7,), passed(150), None)] == [(7, 1, [[1.0], [1.0]])] and not held
+
+
+def test_an_episode_goes_on_past_its_first_timer(spark, tmp_path):
+    path, table = str(tmp_path / "in"), scratch_path(spark, "chunks")
+    at = lambda minutes: DAY + dt.timedelta(minutes=minutes)
+    for row in ((0, 0, [0.0], at(0)), (0, 1, [1.0], at(50)), (None, None, None, at(85))):
+        write(spark, path, [row])
+        got = drained(spark, path, table, 2)
+    assert [tuple(r) for r in got.collect()] == [(0, 0, [[0.0], [1.0]])]  # the watermark has passed the timer of the first frame
+    write(spark, path, [(0, 2, [2.0], at(90))])
+    drained(spark, path, table, 2)
+    write(spark, path, END)
+    got = {r["frame_index"]: r["action_chunk"] for r in drained(spark, path, table, 2).collect()}
+    assert got == {0: [[0.0], [1.0]], 1: [[1.0], [2.0]], 2: [[2.0], [2.0]]}

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CHUNKS = "episode_index long, frame_index long, action_chunk array<array<double>>"
-# Frames of an episode that wait for others, and the first index whose chunk is not out yet.
+# Frames of an episode that wait for others, the first index whose chunk is not out yet, and when the episode is over.
 WAITING = "following long, due long, indexes array<long>, actions array<array<double>>"
+Chunk = Row("episode_index", "frame_index", "action_chunk")
 
 
 class _Chunker(StatefulProcessor):
-    """State of one episode: frames that have arrived and whose chunk isn't whole, and the timer that ends the episode."""
+    """State of one episode: frames that have arrived and whose chunk isn't whole, and the timer that ends the episode.
+
+    Every call to the state costs far more than a row, so the timer is not moved with each batch, but set anew if it expires early.
+    """
 
     def __init__(self, k: int, idle_ms: int) -> None:
         self.k, self.idle_ms = k, idle_ms
@@ -31,41 +34,39 @@ class _Chunker(StatefulProcessor):
         following, due, indexes, actions = held
         return following, due, dict(zip(indexes, actions))
 
-    def _out(self, episode: int, chunks: list[tuple[int, list]]) -> Iterator[pd.DataFrame]:
-        if chunks:
-            indexes, steps = zip(*chunks)
-            yield pd.DataFrame({"episode_index": [episode] * len(indexes), "frame_index": indexes, "action_chunk": steps})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if pd.isna(key[0]):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        if key[0] is None:
             return
         following, due, frames = self._known()
         latest = due
-        for batch in rows:
-            for index, action, ms in zip(batch["frame_index"], batch["action"], batch["at_ms"]):
-                if index >= following:  # a frame that comes again is the same frame
-                    frames.setdefault(int(index), None if action is None else [None if x is None else float(x) for x in action])
-                latest = max(latest, int(ms) + self.idle_ms)
-        chunks = []
-        while all(following + step in frames for step in range(self.k)):
-            chunks.append((following, [frames[following + step] for step in range(self.k)]))
+        for _, index, action, _, ms in rows:
+            if index >= following:  # a frame that comes again is the same frame
+                frames.setdefault(index, action)
+            latest = max(latest, ms + self.idle_ms)
+        ready, there = [], following  # frames from following on up to there have come
+        while there in frames:
+            there += 1
+        while following + self.k <= there:
+            ready.append(Chunk(key[0], following, [frames[following + step] for step in range(self.k)]))
             del frames[following]
             following += 1
-        if latest != due:
-            if due >= 0:
-                self.handle.deleteTimer(due)
+        if due < 0:  # a timer that is set already finds the later end when it expires
             self.handle.registerTimer(latest)
         self.waiting.update((following, latest, list(frames), list(frames.values())))
-        yield from self._out(key[0], chunks)
+        yield from ready
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        following, _, frames = self._known()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        following, due, frames = self._known()
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            return
         self.waiting.clear()
         if sorted(frames) != list(range(following, following + len(frames))):
             raise ValueError(f"frame_index of episode {key[0]} has a gap, or doesn't start at 0")
         last = frames.get(following + len(frames) - 1)
         padded = [frames.get(following + i, last) for i in range(len(frames) + self.k - 1)]
-        yield from self._out(key[0], [(following + i, padded[i : i + self.k]) for i in range(len(frames))])
+        for i in range(len(frames)):
+            yield Chunk(key[0], following + i, padded[i : i + self.k])
 
     def close(self) -> None:
         pass
@@ -91,6 +92,6 @@ def stream_chunks(stream: DataFrame, k: int, idle: str, watermark: str, ts: str
         stream.withWatermark(ts, watermark)
         .select("episode_index", "frame_index", "action", ts, F.coalesce(F.unix_millis(ts), F.lit(0)).alias("at_ms"))
     )
-    return frames.groupBy("episode_index").transformWithStateInPandas(
+    return frames.groupBy("episode_index").transformWithState(
         statefulProcessor=_Chunker(k, idle_ms), outputStructType=CHUNKS, outputMode="append", timeMode="eventTime"
     )
