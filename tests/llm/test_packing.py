@@ -1,8 +1,10 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -92,3 +94,39 @@ def test_odd_rows_and_sequences(docs):
     whole = packing.sequences(odd, PATH, 64).collect()
     assert sum(len(r.ids) for r in whole) == sum(r.length for r in found) and all(len(r.ids) <= 64 for r in whole)
     assert packing.pack(docs([]), PATH).collect() == []
+
+
+def test_workers_keep_no_words_after_a_task(docs, spark):
+    rows = [(i, " ".join(f"word{i}x{j}" for j in range(50))) for i in range(40)]
+    check_layout(packing.pack(docs(rows).repartition(4), PATH).collect())
+
+    def left(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing.word_encoder(PATH).known)])], names=["n"])
+
+    # The workers are those that packed: Spark gives them to the next stages too.
+    assert {r.n for r in spark.range(0, 100, 1, 8).mapInArrow(left, "n long").collect()} == {0}
+
+
+def test_full_memory_keeps_the_words_of_the_part_at_hand(monkeypatch):
+    tokenizer = Tokenizer.from_file(PATH)
+    learned = Counter()
+    learn = packing.WordEncoder._learn
+    monkeypatch.setattr(packing.WordEncoder, "_learn", lambda self, words: (learned.update(words), learn(self, words)))
+    monkeypatch.setattr(packing, "WORDS_KEPT", 300)
+    encoder = packing.WordEncoder(PATH)
+    for k in range(30):
+        texts = [f"the model and a robot, word{k}x{j}. " for j in range(20)] + ["arm? arm!", ""]
+        found = encoder.encode([t.encode() for t in texts])
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [
+            tokenizer.encode(t, add_special_tokens=False).ids for t in texts
+        ]
+        assert len(encoder.known) <= 300
+    assert learned[b"robot,"] == learned[b"arm!"] == 1 and learned[b"word0x0."] == 1
+
+
+def test_numbers_of_the_driver_start_no_python(spark):
+    frame = packing._known(spark, [(3, 1), (5, 2)], "length", "windows")
+    assert sorted(map(tuple, frame.collect())) == [(3, 1), (5, 2)] and frame.dtypes == [("length", "bigint"), ("windows", "bigint")]
+    assert "PythonRDD" not in frame._jdf.queryExecution().toRdd().toDebugString()
+    assert packing._known(spark, [], "length", "windows").collect() == []

@@ -34,7 +34,7 @@ from trajspark.session import materialize
 CAPACITY = 2048
 END_ID = 0
 NUMBERED = 20_000        # pieces that one window numbers, about
-WORDS_KEPT = 800_000     # words whose ids a worker remembers
+WORDS_KEPT = 200_000     # words whose ids a task remembers
 CHUNK = 2_000            # words encoded in one call
 CLOSERS = frozenset(b".,;:!?")
 
@@ -56,13 +56,16 @@ class WordEncoder:
         """Little-endian 32-bit ids of each text."""
         split = [self._words(t or b"") for t in texts]
         fresh = set().union(*split).difference(self.known)
-        if len(self.known) + len(fresh) > WORDS_KEPT:
-            self.known.clear()
-            fresh = set().union(*split)
+        if len(self.known) + len(fresh) > WORDS_KEPT:  # frequent words are in most parts: those of this one stay
+            known = self.known
+            self.known = {w: known[w] for w in set().union(*split).intersection(known)}
         self._learn(fresh)
         known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
+    def forget(self) -> None:
+        self.known = {}
+
     @staticmethod
     def _words(text: bytes) -> list[bytes]:
         # Only ASCII is lowered and split at here. Names of special tokens are taken as they are.
@@ -105,7 +108,7 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """One per worker, so that words are remembered from task to task."""
+    """One per worker, so that the vocabulary is read once. A worker lives on through later stages: tasks ``forget`` their words."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
@@ -131,24 +134,30 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in parts(texts):
-                source, piece, start, length, crc, data = [], [], [], [], [], []
-                for k, found in enumerate(encoder.encode(texts[part]), part.start):
-                    found += end
-                    for n, at in enumerate(range(0, len(found), 4 * capacity)):
-                        own = found[at : at + 4 * capacity]
-                        source.append(k), piece.append(n), start.append(at // 4), length.append(len(own) // 4)
-                        crc.append(zlib.crc32(own))
-                        if ids:
-                            data.append(np.frombuffer(own, "<u4").astype(np.int64))
-                of = lambda column: column.take(pa.array(source, pa.int64()))
-                made = [
-                    of(batch.column(0)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()), pa.array(crc, pa.int64()), of(batch.column(2)), of(batch.column(3)),
-                ]
-                yield pa.RecordBatch.from_arrays(made + [pa.array(data, pa.list_(pa.int64()))] * ids, names=names)
+        try:
+            for batch in batches:
+                yield from cut(encoder, batch)
+        finally:
+            encoder.forget()
+
+    def cut(encoder: WordEncoder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column(1).to_pylist()
+        for part in parts(texts):
+            source, piece, start, length, crc, data = [], [], [], [], [], []
+            for k, found in enumerate(encoder.encode(texts[part]), part.start):
+                found += end
+                for n, at in enumerate(range(0, len(found), 4 * capacity)):
+                    own = found[at : at + 4 * capacity]
+                    source.append(k), piece.append(n), start.append(at // 4), length.append(len(own) // 4)
+                    crc.append(zlib.crc32(own))
+                    if ids:
+                        data.append(np.frombuffer(own, "<u4").astype(np.int64))
+            of = lambda column: column.take(pa.array(source, pa.int64()))
+            made = [
+                of(batch.column(0)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                pa.array(length, pa.int64()), pa.array(crc, pa.int64()), of(batch.column(2)), of(batch.column(3)),
+            ]
+            yield pa.RecordBatch.from_arrays(made + [pa.array(data, pa.list_(pa.int64()))] * ids, names=names)
 
     schema = f"doc_id long, piece int, start long, length long, ids_crc32 long, {FILE} string, {ROW} long"
     schema += ", ids array<long>" * ids
@@ -187,6 +196,12 @@ def supersteps(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
     return runs
 
 
+def _known(spark: SparkSession, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
+    """Whole numbers of the driver as a table. They go as Arrow: a list of rows would start Python processes on the executors, and these stay."""
+    columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+    return spark.createDataFrame(pa.table([pa.array(c) for c in columns], names=list(names)))
+
+
 def numbered(cut: DataFrame, counts: dict[int, int], share: int = NUMBERED) -> DataFrame:
     """``cut`` with the rank of each piece among those of its length.
 
@@ -194,7 +209,7 @@ def numbered(cut: DataFrame, counts: dict[int, int], share: int = NUMBERED) -> D
     """
     spark = cut.sparkSession
     spread = [(length, -(-n // share)) for length, n in counts.items()]
-    widths = F.broadcast(spark.createDataFrame(spread, "length long, windows int"))  # at most a row per length
+    widths = F.broadcast(_known(spark, spread, "length", "windows"))  # at most a row per length
     keyed = cut.join(widths, "length").withColumn("window", F.pmod(F.xxhash64(FILE, ROW, "piece"), "windows"))
     sizes = keyed.groupBy("length", "window").agg(F.count(F.lit(1)).alias("size"))
     before = Window.partitionBy("length").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
@@ -208,9 +223,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """sequence_id and offset for each stored piece (with column length, 1 to ``capacity``)."""
     spark: SparkSession = cut.sparkSession
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    runs = spark.createDataFrame(
-        supersteps(counts, capacity), "length long, first_rank long, first_sequence long, number long, offset long"
-    )
+    runs = _known(spark, supersteps(counts, capacity), "length", "first_rank", "first_sequence", "number", "offset")
     ranked = numbered(cut, counts)
     # The number of runs depends on the capacity, not on the number of pieces.
     inside = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("number"))
