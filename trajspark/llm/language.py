@@ -33,6 +33,7 @@ MIN_SCORE = 0.05  # the pipeline lets documents go that are less like any langua
 LETTERS = re.compile(r"[^\W\d_]+")
 SHIFT, SPACE = 21, 32
 SALTS = 64
+COUNTED = 2048    # rows whose words are counted together, at least
 
 Profiles = Mapping[str, np.ndarray]
 
@@ -71,7 +72,7 @@ def ranked(counts: Mapping[str, int], size: int) -> np.ndarray:
 def learn(docs: DataFrame, size: int = SIZE) -> dict[str, np.ndarray]:
     """Profiles from all rows of ``docs`` that have a language and aren't held out: ``size`` n-grams per language.
 
-    Tasks count words per batch, then the n-grams of the distinct words; Spark adds the counts up. Only the profiles
+    Tasks count words per ``COUNTED`` rows, then the n-grams of the distinct words; Spark adds the counts up. Only the profiles
     themselves reach the driver.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
@@ -79,16 +80,25 @@ def learn(docs: DataFrame, size: int = SIZE) -> dict[str, np.ndarray]:
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str, Counter[str]] = defaultdict(Counter)
+        counted = 0
         for batch in batches:
-            met: dict[str, Counter[str]] = defaultdict(Counter)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 met[lang].update(words(text))
-            for lang, counts in met.items():
-                if counts:
-                    codes, each = ngrams(counts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(each)], names=["lang", "code", "n"]
-                    )
+            counted += batch.num_rows
+            if counted >= COUNTED:
+                yield from given(met)
+                met.clear()
+                counted = 0
+        yield from given(met)
+
+    def given(met: dict[str, Counter[str]]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in met.items():
+            if counts:
+                codes, each = ngrams(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(each)], names=["lang", "code", "n"]
+                )
 
     totals = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # The best of each part first, so that no task sorts all n-grams of a language.
