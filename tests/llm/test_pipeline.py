@@ -35,3 +35,24 @@ def test_odd_rows_pass_through(docs, spark, tmp_path):
     check_layout(corpus_pipeline.run(spark, str(tmp_path)).collect())
     docs([]).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_python_gets_few_rows_at_a_time_and_profiles_stay(spark):
+    import pyarrow as pa
+
+    from trajspark.llm import common, language
+
+    docs = common.table(spark, SMALL, "documents")
+    before = spark.conf.get(common.BATCH_CONF)
+    whole = language.learn(docs)
+    try:
+        common.small_batches(spark)
+        sizes = spark.range(0, 3000, 1, 1).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long"
+        ).collect()
+        assert sum(r.n for r in sizes) == 3000 and max(r.n for r in sizes) <= 512
+        spark.conf.set(common.BATCH_CONF, "7")
+        small = language.learn(docs)
+    finally:
+        spark.conf.set(common.BATCH_CONF, before)
+    assert whole.keys() == small.keys() and all(whole[k].tolist() == small[k].tolist() for k in whole)
