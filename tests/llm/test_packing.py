@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -68,6 +69,28 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def whole_ids(tokenizer, texts):
+    decoded = [(t or b"").decode("utf-8", "replace") for t in texts]
+    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in decoded]
+
+
+def test_marks_behind_letters_that_the_tokenizer_takes_apart():
+    encoder = packing.WordEncoder(PATH)
+    texts = ["ALİ.", "İ, x", "\ufb3c.", "\u0958***", "ΑΣ. ΑΣ,Σ", "한.글! ᄒ", "zͅ. é.", "don't, (it's)", "a\x1f.b\x7f! x\u2028y."]
+    given = [t.encode() for t in texts] + [b"a\xff. \xc3", b" \n a ", b" ", b"", None]
+    assert encoder.encode(given) == whole_ids(encoder.tokenizer, given)
+    assert encoder.encode([]) == [] and encoder.encode([None]) == [b""]
+
+
+def test_words_of_letters_digits_and_marks_never_take_the_whole_way():
+    encoder = packing.WordEncoder(PATH)
+    given = [t.encode() for t in ("Arm (left), arm!!! grip*** 3.5kg [a_b]", "Écoute: Öl, naïve? жук.", "x" * 300)]
+    expected = whole_ids(encoder.tokenizer, given)
+    # Only these two parts are left of the tokenizer, for letters beyond ASCII: nothing can be encoded with it.
+    encoder.tokenizer = SimpleNamespace(normalizer=encoder.tokenizer.normalizer, pre_tokenizer=encoder.tokenizer.pre_tokenizer)
+    assert encoder.encode(given) == expected
+
+
 def test_query_matches_the_tokenizer_and_packs_tightly(spark):
     from trajspark.llm.queries import QUERIES
 

@@ -18,92 +18,149 @@ not; an empty table gives an empty result; other columns are never looked at.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm.common import FILE, ROW, addressed, on_disk
 from trajspark.session import materialize
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 END_ID = 0
 NUMBERED = 20_000        # pieces that one window numbers, about
 WORDS_KEPT = 200_000     # words whose ids a task remembers
 CHUNK = 2_000            # words encoded in one call
-CLOSERS = frozenset(b".,;:!?")
+PIECES_AT_ONCE = 250     # pieces in one call: fewer than words, since the call makes one text of them
+# The tokenizer's pieces of a word without contractions, names of special tokens or control characters, if all beyond ASCII are letters.
+PIECES = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+APART = re.compile(rb"[\x00-\x20'<\x7f]")
 
 
 class WordEncoder:
-    """Ids of texts, word by word. Exact because this kind of tokenizer drops white space and never joins across it."""
+    """Ids of texts, word by word. Exact because this kind of tokenizer drops white space and never joins across it.
+
+    Arrow splits a part's texts and finds its distinct words; only these become Python objects. New words are made of pieces
+    (letters, a digit, marks), which go to the tokenizer's model without its normalizer and its pattern. Other words take the whole way.
+    """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
         self.tokenizer = Tokenizer.from_file(path)
+        at_blanks, as_bytes = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ascii_pieces, self.pieces = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.ascii_pieces.pre_tokenizer = at_blanks
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([at_blanks, as_bytes])
         self.known: dict[bytes, bytes] = {}
+        self.letters = set(map(chr, range(128)))  # PIECES tells these apart; added are the letters met beyond ASCII
+        self.no_letters: set[str] = set()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [self._words(t or b"") for t in texts]
-        fresh = set().union(*split).difference(self.known)
+        split = self._words(texts)
+        words = split.values.dictionary_encode()
+        own = values(words.dictionary)
+        fresh = [w for w in own if w and w not in self.known]
         if len(self.known) + len(fresh) > WORDS_KEPT:  # frequent words are in most parts: those of this one stay
             known = self.known
-            self.known = {w: known[w] for w in set().union(*split).intersection(known)}
+            self.known = {w: known[w] for w in own if w in known}
         self._learn(fresh)
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        ids = pa.array([w and known[w] for w in own], pa.large_binary()).take(words.indices)
+        return values(ids, split.offsets.to_numpy())
 
     def forget(self) -> None:
         self.known = {}
 
     @staticmethod
-    def _words(text: bytes) -> list[bytes]:
+    def _words(texts: list[bytes | None]) -> pa.ListArray:
         # Only ASCII is lowered and split at here. Names of special tokens are taken as they are.
-        return text.split() if b"<|" in text else text.lower().split()
-
-    def _learn(self, words: set[bytes]) -> None:
-        plain: set[bytes] = set()   # letters only: one end-of-word id each
-        closed: list[bytes] = []    # letters and one closing mark
+        given = pa.array([t or b"" for t in texts], pa.binary()).view(pa.string())
+        lower = pc.ascii_lower(given)
+        special = pc.match_substring(given, "<|")
+        return pc.ascii_split_whitespace(pc.if_else(special, given, lower) if special.true_count else lower)
+
+    def _learn(self, words: list[bytes]) -> None:
+        pieces: set[bytes] = set()
+        made: dict[bytes, list[bytes]] = {}
         odd: list[bytes] = []
         for word in words:
-            stem = word[:-1] if word[-1] in CLOSERS else word
-            if stem.isalpha() or stem.decode("utf-8", "replace").isalpha():
-                plain.add(stem)
-                if stem is not word:
-                    closed.append(word)
-            else:
+            if word.isalpha():  # ASCII only
+                pieces.add(word)
+                continue
+            if APART.search(word) or not (word.isascii() or self._has_letters_only(word)):
                 odd.append(word)
-        plain.difference_update(self.known)
-        todo = list(plain)
-        for at in range(0, len(todo), CHUNK):
-            part = todo[at : at + CHUNK]
-            ids = self._ids([b" ".join(part)])[0]
+                continue
+            own = PIECES.findall(word)
+            pieces.update(own)
+            if len(own) > 1:
+                made[word] = own
+        pieces.difference_update(self.known)
+        ascii_only = [p for p in pieces if p.isascii()]
+        odd += self._learn_pieces(ascii_only, self.ascii_pieces, str.lower)
+        odd += self._learn_pieces(list(pieces.difference(ascii_only)), self.pieces, self.tokenizer.normalizer.normalize_str)
+        for at in range(0, len(odd), CHUNK):
+            part = odd[at : at + CHUNK]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, found))
+        known = self.known
+        for word, own in made.items():
+            known[word] = b"".join([known[p] for p in own])
+
+    def _learn_pieces(self, pieces: list[bytes], tokenizer: Tokenizer, normalize: Callable[[str], str]) -> list[bytes]:
+        """Learns pieces that have one end-of-word id each. Returns the rest."""
+        rest: list[bytes] = []
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            part = pieces[at : at + PIECES_AT_ONCE]
+            text = normalize(b" ".join(part).decode("utf-8"))
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
                 self.known.update(zip(part, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
             else:
-                odd += part
-        marks = [bytes([c]) for c in CLOSERS if bytes([c]) not in self.known]
-        for at in range(0, len(odd) + len(marks), CHUNK):
-            part = (marks + odd)[at : at + CHUNK]
-            self.known.update(zip(part, (ids.tobytes() for ids in self._ids(part))))
-        for word in closed:
-            self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
-
-    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(x.ids, "<u4") for x in found]
+                rest += part
+        return rest
+
+    def _has_letters_only(self, word: bytes) -> bool:
+        """Whether each character beyond ASCII is a letter that the tokenizer's normalizer turns into letters (U+0130 isn't)."""
+        try:
+            text = word.decode("utf-8")
+        except UnicodeDecodeError:
+            return False
+        if self.letters.issuperset(text):
+            return True
+        for c in set(text).difference(self.letters, self.no_letters):
+            normal = self.tokenizer.normalizer.normalize_str(f"a{c}a")
+            one = c.isalpha() and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)) == 1
+            (self.letters if one else self.no_letters).add(c)
+        return self.letters.issuperset(text)
+
+
+def values(array: pa.Array, cuts: np.ndarray | None = None) -> list[bytes]:
+    """The values of a text or binary array without nulls as bytes, or what lies between the ``cuts`` joined. Faster than ``to_pylist``."""
+    _, offsets, data = array.buffers()
+    wide = pa.types.is_large_binary(array.type)
+    ends = np.frombuffer(offsets or bytes(8), np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1]
+    ends = (ends if cuts is None else ends[cuts]).tolist()
+    data = memoryview(data or b"")
+    return [data[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=2)
