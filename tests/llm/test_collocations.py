@@ -77,6 +77,38 @@ def test_without_frequent_phrases(spark):
     assert co.collocations(frame(spark, [("en", "a b c"), (None, None)])).collect() == []
 
 
+def test_few_phrases_are_candidates_by_chance(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    often = [" ".join(rng.choices(words, k=3)) for _ in range(2_000)]
+    data = [("en", ". ".join(rng.sample(often, 1_000) + [" ".join(rng.choices(words, k=2)) for _ in range(3_000)])) for _ in range(10)]
+    stored, store = {}, co.materialize
+    monkeypatch.setattr(co, "materialize", lambda df, name: stored.setdefault(name, store(df, name)))
+    monkeypatch.setattr(co, "FILTER_BITS", 18)  # frequent phrases fill some 2 % of the filter
+    known, _ = co.phrase_counts(frame(spark, data), 4)
+    assert known.count() > 5_000
+    # Phrases that others' marks let through would grow as the number of marks times that of different phrases.
+    assert known.count() <= stored["phrases"].count() < 1.01 * known.count()
+
+
+def test_blocks_of_many_different_words_are_split_without_loss(monkeypatch):
+    monkeypatch.setattr(co, "CODES", 16)
+    rng = random.Random(7)
+    words = [co.BREAK if rng.random() < 0.2 else b"w%d" % rng.randint(0, 40) for _ in range(500)]
+    for before in (0, 3):
+        blocks = [([d.to_pylist()[c] for c in codes], carried) for d, codes, carried in co._coded(words, before)]
+        assert len(blocks) > 10 and [w for own, carried in blocks for w in own[carried:]] == words[before:]
+        for k in range(1, 5):
+            seen = [tuple(own[i : i + k]) for own, c in blocks for i in range(max(0, c - k + 1), len(own) - k + 1)]
+            assert sorted(seen) == sorted(tuple(words[i : i + k]) for i in range(max(0, before - k + 1), len(words) - k + 1))
+
+
+def test_settings_of_the_session_stay(spark):
+    before = spark.conf.get(co.BATCH_CONF)
+    co.collocations(frame(spark, [("en", "New York City. " * 40)]), 20, 50).collect()
+    assert spark.conf.get(co.BATCH_CONF) == before
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     large = 2**62
     row = spark.createDataFrame([(large, large, large - 1)], "a long, l long, r long")

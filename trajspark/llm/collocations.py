@@ -1,15 +1,18 @@
 """Phrases of two to four words that occur together more often than their parts suggest, per language.
 
+Texts are cut into words once: a stored block holds its distinct words and two bytes for each word of the text, its number among
+them. All that follows looks at distinct words and arrays of such numbers.
+
 Counting is exact and goes level by level (Apriori: a phrase is frequent only if all phrases inside it are):
 
 1. Filters. Phrases of 1, 2, 3 and 4 words are counted by a 32-bit hash; a bit field of fixed size (``FILTER_BITS``) marks the
-   hashes that reach ``least``. A hash counts at least as much as any phrase that has it, so no frequent phrase is
-   lost. A level looks only at places whose two shorter phrases are marked.
-2. Candidates. Marked phrases (the longest at a place, then all inside them) are made distinct and dealt into shards of about
-   ``SHARD`` phrases or ``SHARD_BYTES`` bytes. Each shard becomes one double-array trie over its words, built in a task.
-3. Counts. One trie after the other is broadcast, so what is broadcast is bounded whatever the corpus. A task
+   hashes that reach ``least``, each by ``PROBES`` bits, so that what passes by chance stays a small share as the marks become more. A hash
+   counts at least as much as any phrase that has it, so no frequent phrase is lost. A level looks only at places whose two shorter phrases are marked.
+2. Candidates. Marked phrases (the longest at a place, then all inside them) are made distinct and dealt by their first two words into
+   shards of about ``SHARD`` phrases or ``SHARD_BYTES`` bytes. Each shard becomes one double-array trie over its words, built in a task.
+3. Counts. ``AT_ONCE`` tries after the other are broadcast, so what is broadcast is bounded whatever the corpus. A task
    starts a state at every word of a block, moves all states on together, one word a level, and counts accepting states
-   with ``bincount``; Spark adds up the counts of all tasks.
+   with ``bincount``; Spark adds up the counts of all tasks. A place goes on beyond two words in one trie only.
 
 Scores use decimals wherever a product might pass 64 bits.
 
@@ -21,15 +24,17 @@ are there; an empty table, or one without a frequent phrase, gives an empty resu
 from __future__ import annotations
 
 import pickle
-from binascii import crc32
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajspark.llm.common import BATCH_CONF
 from trajspark.session import materialize
 
 LEAST = 30
@@ -37,13 +42,17 @@ TOP = 2000
 MOST_WORDS = 4
 FILTER_BITS = 26        # a filter is 2**26 bits, 8 MB
 PART_BITS = 10          # counts of a filter are added up in 2**10 parts of 2**22 counters
-SHARD = 1 << 20
-SHARD_BYTES = 1 << 25
+PROBES = 4              # bits of a filter that mark a hash, all in its part (of at most 2**16 bits)
+SHARD = 1 << 18
+SHARD_BYTES = 1 << 23
+AT_ONCE = 4             # tries that are broadcast together
 BLOCK = 1 << 20         # bytes of text that are cut into words at a time
+CODES = 1 << 16         # distinct words of a stored block, the break included
+BLOCKS = 8              # stored blocks that are handed to Python at a time
 HELD = 1 << 21          # hashes, or states, that a task gathers before it adds them up
 RUN = 1 << 14           # counters in a packed run
 PHRASES = 1 << 18       # phrases that a task gathers before it hands them on
-WORDS_KEPT = 1 << 18    # words whose hashes a task remembers
+PART = 1 << 15          # phrases that are made distinct together, about
 
 BREAK = b"!"
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -96,15 +105,51 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes
         yield from word_blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
 
 
-class _Hashes(dict):
-    """Hash by word; 0 is the break."""
+def _coded(words: list[bytes], carried: int) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
+    """(distinct words, the first of them ``BREAK``; number of each word; carried): blocks of so few distinct words that two bytes tell them apart."""
+    found = pa.array([BREAK, *words], pa.binary()).dictionary_encode()
+    if len(found.dictionary) <= CODES:
+        yield found.dictionary, found.indices.to_numpy()[1:].astype(np.uint16), carried
+        return
+    half = len(words) // 2
+    yield from _coded(words[:half], carried)
+    yield from _coded(words[half + 1 - MOST_WORDS :], MOST_WORDS - 1)
+
+
+def _stored(docs: DataFrame) -> DataFrame:
+    """lang, carried, words (distinct ones of the block, joined by spaces), codes: all texts cut into words, stored."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        found = 0 if word == BREAK else xxhash.xxh64_intdigest(word) or 1
-        self[word] = found
-        return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, carried in _rows(batches):
+            for distinct, codes, before in _coded(words, carried):
+                joined = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), b" ")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.binary()), pa.array([before], pa.int32()), joined, pa.array([codes.tobytes()], pa.binary())],
+                    names=["lang", "carried", "words", "codes"],
+                )
+
+    return materialize(_texts(docs).mapInArrow(run, "lang binary, carried int, words binary, codes binary"), "words")
+
+
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Inside, ``BLOCKS`` rows at a time are read and handed to Python: a stored block is a row of about half a megabyte."""
+    names = (BATCH_CONF, "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, str(BLOCKS))
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes], np.ndarray, int]]:
+    """(lang, distinct words, codes, carried) of stored blocks; code 0 is the break."""
+    for batch in batches:
+        for lang, carried, words, codes in zip(*(batch.column(c) for c in ("lang", "carried", "words", "codes"))):
+            yield lang.as_py(), words.as_py().split(b" "), np.frombuffer(codes.as_buffer(), np.uint16), carried.as_py()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,26 +157,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _place(field: np.ndarray) -> np.uint64:
-    return np.uint64(33 - (64 * len(field)).bit_length())
+def _probe(grams: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The bit, of a field of 2**bits, that is number ``k`` of those that mark the hashes."""
+    inner = bits - PART_BITS
+    mixed = (_mix(grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+    return ((grams >> np.uint64(32 - PART_BITS)) << np.uint64(inner)) | (mixed >> np.uint64(16 - inner))
 
 
 def _marked(field: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    bit = grams >> _place(field)
-    return (field[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+    bits = (64 * len(field)).bit_length() - 1
+    found, at = np.zeros(len(grams), bool), np.arange(len(grams))
+    for k in range(PROBES):
+        bit = _probe(grams[at], bits, k)
+        at = at[(field[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0]
+    found[at] = True
+    return found
 
 
-def _levels(lang: bytes, words: list[bytes], hashes: _Hashes, fields: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per level (phrases of 1, 2, ... words): 32 bits of hash at each start, and whether all shorter phrases there are marked."""
-    single = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    may = single != 0
-    gram = _mix(single ^ np.uint64(xxhash.xxh64_intdigest(lang, 1)))
-    yield gram >> np.uint64(32), may
+def _levels(
+    lang: bytes, words: list[bytes], codes: np.ndarray, fields: list[np.ndarray]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per level (phrases of 1, 2, ... words): a 64-bit hash at each start, and whether all shorter phrases there are marked.
+
+    The upper half of a hash is what is counted and marked; the last level has one more word than there are fields.
+    """
+    hashes = np.array([0, *[xxhash.xxh64_intdigest(w) or 1 for w in words[1:]]], np.uint64)
+    first = _mix(hashes ^ np.uint64(xxhash.xxh64_intdigest(lang, 1)))
+    gram, may = first[codes], codes != 0
+    yield gram, may
     for size, field in enumerate(fields, 2):
-        may = may & _marked(field, gram >> np.uint64(32))
+        if size == 2:
+            may = (_marked(field, first >> np.uint64(32)) & (hashes != 0))[codes]
+        else:
+            at = np.flatnonzero(may)
+            may = np.zeros(len(gram), bool)
+            may[at] = _marked(field, gram[at] >> np.uint64(32))
         may = may[:-1] & may[1:]
-        gram = _mix(gram[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + single[size - 1 :])
-        yield gram >> np.uint64(32), may
+        gram = _mix(gram[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[codes[size - 1 :]])
+        yield gram, may
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -139,32 +202,32 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(lang.cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def _filter(texts: DataFrame, fields: list[np.ndarray], least: int) -> np.ndarray:
+def _filter(blocks: DataFrame, fields: list[np.ndarray], least: int) -> np.ndarray:
     """The bit field of phrases one word longer than the last of ``fields``.
 
     A task hands on its counts packed by the top bits of the hash; whoever gets such a part adds it up in one dense array, so
     memory is the same for any corpus.
     """
-    known = texts.sparkSession.sparkContext.broadcast(fields)
-    low = np.uint64(32 - PART_BITS)
+    known = blocks.sparkSession.sparkContext.broadcast(fields)
+    low = np.uint32(32 - PART_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             grams, n = np.unique(np.concatenate(held), return_counts=True)
             parts, first = np.unique(grams >> low, return_index=True)
             ends = [*first[1:].tolist(), len(grams)]
-            inner, n = (grams & ((np.uint64(1) << low) - np.uint64(1))).astype(np.uint32), n.astype(np.uint32)
+            inner, n = grams & ((np.uint32(1) << low) - np.uint32(1)), n.astype(np.uint32)
             packed = [[x[a:b].tobytes() for a, b in zip(first.tolist(), ends)] for x in (inner, n)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(parts.astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], names=["part", "grams", "n"]
             )
 
-        for lang, words, carried in _rows(batches):
-            *_, (gram, may) = _levels(lang, words, hashes, known.value)
+        for lang, words, codes, carried in _blocks(batches):
+            *_, (gram, may) = _levels(lang, words, codes, known.value)
             fresh = max(0, carried - len(known.value))
-            held.append(gram[fresh:][may[fresh:]])
+            held.append((gram[fresh:][may[fresh:]] >> np.uint64(32)).astype(np.uint32))
             size += len(held[-1])
             if size > HELD:
                 yield flush()
@@ -172,7 +235,7 @@ def _filter(texts: DataFrame, fields: list[np.ndarray], least: int) -> np.ndarra
         if size:
             yield flush()
 
-    bits, drop = 1 << (FILTER_BITS - PART_BITS), np.uint32(32 - FILTER_BITS)  # of each part
+    filter_bits, bits = FILTER_BITS, 1 << (FILTER_BITS - PART_BITS)  # of all parts, of each part
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, counts, seen, size = None, np.zeros(1 << int(low), np.int64), [], 0
@@ -180,7 +243,9 @@ def _filter(texts: DataFrame, fields: list[np.ndarray], least: int) -> np.ndarra
         def marks() -> pa.RecordBatch:
             grams = np.concatenate(seen)
             marked = np.zeros(bits, bool)
-            marked[grams[counts[grams] >= least] >> drop] = True
+            often = grams[counts[grams] >= least].astype(np.uint64) | (np.uint64(at) << np.uint64(low))
+            for k in range(PROBES):
+                marked[_probe(often, filter_bits, k) & np.uint64(bits - 1)] = True
             counts[grams] = 0
             packed = np.packbits(marked, bitorder="little").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed], pa.binary())], names=["part", "bits"])
@@ -200,7 +265,7 @@ def _filter(texts: DataFrame, fields: list[np.ndarray], least: int) -> np.ndarra
         if at is not None:
             yield marks()
 
-    counted = texts.mapInArrow(count, "part int, grams binary, n binary")
+    counted = blocks.mapInArrow(count, "part int, grams binary, n binary")
     found = counted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary").toArrow()
     field = np.zeros((1 << PART_BITS, bits // 8), np.uint8)
     for part, packed in zip(found.column("part").to_pylist(), found.column("bits").to_pylist()):
@@ -209,41 +274,51 @@ def _filter(texts: DataFrame, fields: list[np.ndarray], least: int) -> np.ndarra
     return field.ravel().view("<u8").astype(np.uint64)
 
 
-def _longest(levels: list[tuple[np.ndarray, np.ndarray]], fields: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Starts and sizes of the marked phrases that lie in no other one."""
+def _longest(levels: list[tuple[np.ndarray, np.ndarray]], fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the marked phrases of two words and more that lie in no other one."""
     size = np.zeros(len(levels[0][0]) + 1, np.int64)
     for k, ((gram, may), field) in enumerate(zip(levels, fields), 1):
         if k > 1:
-            size[np.flatnonzero(may & _marked(field, gram))] = k
+            at = np.flatnonzero(may)
+            size[at[_marked(field, gram[at] >> np.uint64(32))]] = k
     inside = np.zeros(len(size), bool)
     inside[1:] = size[1:] < size[:-1]
     starts = np.flatnonzero((size > 0) & ~inside)
-    return starts.tolist(), size[starts].tolist()
+    return starts, size[starts]
 
 
-def _candidates(texts: DataFrame, fields: list[np.ndarray]) -> DataFrame:
+def _candidates(blocks: DataFrame, fields: list[np.ndarray]) -> DataFrame:
     """lang, size, phrase: all phrases of up to 4 words that pass the filters; stored."""
-    known = texts.sparkSession.sparkContext.broadcast(fields)
-    parts = max(1, int(sum(np.bitwise_count(f).sum() for f in fields)) // PHRASES)
+    known = blocks.sparkSession.sparkContext.broadcast(fields)
+    parts = max(1, int(sum(np.bitwise_count(f).sum() for f in fields)) // PROBES // PART)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = _Hashes(), {}
+        held: dict[tuple[bytes, int], set[bytes]] = {}
 
         def flush() -> pa.RecordBatch:
-            dealt: dict[tuple[bytes, int], list[bytes]] = {}
-            for lang, phrases in held.items():
-                for phrase in phrases:
-                    dealt.setdefault((lang, crc32(phrase) % parts), []).append(phrase)
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in dealt], pa.binary()), pa.array([x for _, x in dealt], pa.int32()),
-                 pa.array([b"\n".join(x) for x in dealt.values()], pa.binary())], names=["lang", "part", "phrases"],
+            found = pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in held], pa.binary()), pa.array([x for _, x in held], pa.int32()),
+                 pa.array([b"\n".join(x) for x in held.values()], pa.binary())], names=["lang", "part", "phrases"],
             )
-
-        for lang, words, _ in _rows(batches):
-            own = held.setdefault(lang, set())
-            starts, sizes = _longest(list(_levels(lang, words, hashes, known.value[:-1])), known.value)
-            own.update([b" ".join(words[i : i + k]) for i, k in zip(starts, sizes)])
+            held.clear()
+            return found
+
+        for lang, words, codes, _ in _blocks(batches):
+            levels = list(_levels(lang, words, codes, known.value[:-1]))
+            starts, sizes = _longest(levels, known.value)
+            for size in range(2, MOST_WORDS + 1):
+                at = starts[sizes == size]
+                key = np.zeros(len(at), np.uint64)  # codes of two bytes: equal keys are equal phrases
+                for k in range(size):
+                    key = (key << np.uint64(16)) | codes[at + k]
+                at = at[np.unique(key, return_index=True)[1]]
+                part = (levels[size - 1][0][at] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                at, part = at[order], part[order]
+                phrases = [b" ".join(x) for x in zip(*(map(words.__getitem__, codes[at + k].tolist()) for k in range(size)))]
+                numbers, first = np.unique(part, return_index=True)
+                for number, a, b in zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+                    held.setdefault((lang, number), set()).update(phrases[a:b])
             if sum(map(len, held.values())) > PHRASES:
                 yield flush()
         if held:
@@ -265,7 +340,7 @@ def _candidates(texts: DataFrame, fields: list[np.ndarray]) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    proposed = texts.mapInArrow(propose, "lang binary, part int, phrases binary").repartition("part")
+    proposed = blocks.mapInArrow(propose, "lang binary, part int, phrases binary").repartition("part")
     longest = proposed.mapInArrow(merge, "lang string, phrase string").select("lang", F.split("phrase", " ").alias("words"))
     inner = F.transform(
         F.sequence(F.lit(1), F.size("words")),
@@ -344,11 +419,6 @@ class DoubleArray:
         return following, self.check[following] == states
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 def _tries(candidates: DataFrame, shards: int) -> DataFrame:
     """Stored rows (shard, state, lang, size, phrase), and one row per shard that holds the packed trie."""
 
@@ -372,99 +442,119 @@ def _tries(candidates: DataFrame, shards: int) -> DataFrame:
             names=["shard", "state", "lang", "size", "phrase", "trie"],
         )
 
-    shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 2)), F.lit(shards)).cast("int")
     dealt = candidates.select(shard.alias("shard"), "lang", "size", "phrase")
     schema = "shard int, state long, lang string, size int, phrase string, trie binary"
     return materialize(dealt.groupBy("shard").applyInArrow(build, schema), "tries")
 
 
-def _count(texts: DataFrame, packed: bytes) -> DataFrame:
-    """(state, lang, n) added up over all texts; rows with state -1 hold the number of all words of a language.
+def _count(blocks: DataFrame, packed: dict[int, bytes]) -> DataFrame:
+    """(shard, state, lang, n) added up over all texts for the tries of some shards; rows with state -1 hold the number of all words of a language.
 
     A task hands on its counters in packed runs, which are added up run by run.
     """
-    known = texts.sparkSession.sparkContext.broadcast(packed)
-    names = ["part", "lang", "n"]
+    known = blocks.sparkSession.sparkContext.broadcast(packed)
+    names = ["shard", "part", "lang", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, words, langs = pickle.loads(known.value)
-        code = _Codes((w, i) for i, w in enumerate(words.split(b" "), 1))
-        roots = {lang: int(trie.base[0]) + i for i, lang in enumerate(langs, 1)}
-        counts, held, size, totals = np.zeros(len(trie.check), np.int64), [], 0, {}
-        for lang, block, carried in _rows(batches):
-            totals[lang] = totals.get(lang, 0) + len(block) - carried - block[carried:].count(BREAK)
-            if lang not in roots:
-                continue
-            codes = np.fromiter(map(code.__getitem__, block), np.int32, len(block))
-            end = np.flatnonzero(codes)  # where each state's last word is
-            state = np.full(len(end), roots[lang], np.int32)
-            for _ in range(MOST_WORDS):
-                state, there = trie.step(state, codes[end])
-                state, end = state[there], end[there]
-                held.append(state[end >= carried])
-                size += len(held[-1])
-                on = end + 1 < len(codes)
-                state, end = state[on], end[on] + 1
-            if size > HELD:
+        number: dict[bytes, int] = {}  # of a word of any trie
+        tries = []
+        for shard, one in known.value.items():
+            trie, words, langs = pickle.loads(one)
+            own = np.array([number.setdefault(w, len(number)) for w in words.split(b" ")])
+            roots = {lang: int(trie.base[0]) + i for i, lang in enumerate(langs, 1)}
+            tries.append([shard, trie, own, roots, np.zeros(len(trie.check), np.int64), []])
+        for one in tries:  # the code of each word, 0 for words of other tries and of none
+            code = np.zeros(len(number) + 1, np.int32)
+            code[one[2]] = np.arange(1, len(one[2]) + 1)
+            one[2] = code
+        totals: dict[bytes, int] = {}
+        for lang, words, codes, carried in _blocks(batches):
+            totals[lang] = totals.get(lang, 0) + np.count_nonzero(codes[carried:])
+            numbers = np.array([len(number), *[number.get(w, len(number)) for w in words[1:]]])
+            for _, trie, code, roots, counts, held in tries:
+                if lang not in roots:
+                    continue
+                own = code[numbers]
+                state, there = trie.step(np.int32(roots[lang]), own)
+                state = np.where(there, state, -1)[codes]
+                end = np.flatnonzero(state >= 0)  # where each state's last word is
+                state = state[end]
+                for _ in range(MOST_WORDS):
+                    held.append(state[end >= carried])
+                    on = end + 1 < len(codes)
+                    state, end = state[on], end[on] + 1
+                    state, there = trie.step(state, own[codes[end]])
+                    state, end = state[there], end[there]
+                if sum(map(len, held)) > HELD // AT_ONCE:
+                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                    held.clear()
+        found = []
+        for shard, _, _, _, counts, held in tries:
+            if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                held, size = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        runs = [(part, counts[at : at + RUN]) for part, at in enumerate(range(0, len(counts), RUN))]
-        found = [(part, None, x.tobytes()) for part, x in runs if x.any()]
-        found += [(-1, lang, np.array([n], np.int64).tobytes()) for lang, n in totals.items()]
+            runs = [(part, counts[at : at + RUN]) for part, at in enumerate(range(0, len(counts), RUN))]
+            found += [(shard, part, None, x.tobytes()) for part, x in runs if x.any()]
+        found += [(-1, -1, lang, np.array([n], np.int64).tobytes()) for lang, n in totals.items()]
         if found:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary()))], names=names
+                [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=names
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(1, np.int64)
 
         def sums() -> pa.RecordBatch:
-            part, lang = at
+            shard, part, lang = at
             states = np.flatnonzero(total)
             named = pa.array([None if lang is None else lang.decode()] * len(states), pa.string())
             numbers = np.full(len(states), -1) if part < 0 else states + part * RUN
-            return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), named, pa.array(total[states])], names=["state", "lang", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(states), shard, np.int32)), pa.array(numbers.astype(np.int64)), named, pa.array(total[states])],
+                names=["shard", "state", "lang", "n"],
+            )
 
         for batch in batches:
-            for part, lang, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, part, lang, n in zip(*(c.to_pylist() for c in batch.columns)):
                 counts = np.frombuffer(n, np.int64)
-                if (part, lang) == at:
+                if (shard, part, lang) == at:
                     total = total + counts
                     continue
                 if at is not None:
                     yield sums()
-                at, total = (part, lang), counts
+                at, total = (shard, part, lang), counts
         if at is not None:
             yield sums()
 
-    counted = texts.mapInArrow(run, "part int, lang binary, n binary").repartition("part", "lang").sortWithinPartitions("part", "lang")
-    stored = materialize(counted.mapInArrow(add, "state long, lang string, n long"), "phrase-counts")
+    keys = ["shard", "part", "lang"]
+    counted = blocks.mapInArrow(run, "shard int, part int, lang binary, n binary").repartition(*keys).sortWithinPartitions(*keys)
+    stored = materialize(counted.mapInArrow(add, "shard int, state long, lang string, n long"), "phrase-counts")
     known.destroy()
     return stored
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, f) of all phrases of 2 to 4 words that occur ``least`` times, and their words; and (lang, n)."""
-    texts = _texts(docs)
+    blocks = _stored(docs)
     fields: list[np.ndarray] = []
-    for _ in range(MOST_WORDS):
-        fields.append(_filter(texts, fields, least))
-    candidates = _candidates(texts, fields)
+    with _few_rows(docs.sparkSession):
+        for _ in range(MOST_WORDS):
+            fields.append(_filter(blocks, fields, least))
+        candidates = _candidates(blocks, fields)
     number, size = candidates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
     shards = max(-(-number // SHARD), -(-size // SHARD_BYTES))
     tries = _tries(candidates, max(shards, 1))
     found: DataFrame | None = None
     totals = docs.sparkSession.createDataFrame([], "lang string, n long")
-    for shard in range(shards):  # one bounded trie at a time
-        packed = tries.where((F.col("shard") == shard) & F.col("trie").isNotNull()).select("trie").collect()
+    for first in range(0, shards, AT_ONCE):  # a bounded number of bounded tries at a time
+        of = F.col("shard").between(first, first + AT_ONCE - 1)
+        packed = {r["shard"]: bytes(r["trie"]) for r in tries.where(of & F.col("trie").isNotNull()).select("shard", "trie").collect()}
         if not packed:
             continue
-        counts = _count(texts, bytes(packed[0]["trie"]))
-        phrases = tries.where((F.col("shard") == shard) & F.col("trie").isNull()).select("state", "lang", "size", "phrase")
-        named = phrases.join(counts.where("state >= 0").select("state", F.col("n").alias("f")), "state")
+        with _few_rows(docs.sparkSession):
+            counts = _count(blocks, packed)
+        phrases = tries.where(of & F.col("trie").isNull()).select("shard", "state", "lang", "size", "phrase")
+        named = phrases.join(counts.where("state >= 0").select("shard", "state", F.col("n").alias("f")), ["shard", "state"])
         part = named.where(F.col("f") >= least).select("lang", "size", "phrase", "f")
         found = part if found is None else found.unionByName(part)
         totals = counts.where("state < 0").select("lang", "n")
