@@ -85,6 +85,30 @@ def test_rows_sent_to_the_trees_grow_with_the_fingerprints(spark):
     assert "Join" not in plan
 
 
+def test_no_link_of_the_trees_is_left_out(spark):
+    rng = random.Random(12)
+    centres, nodes = [rng.getrandbits(64) for _ in range(3)], []
+    for c in centres:
+        for _ in range(30):  # far more than the nearest of the first round
+            bits = c
+            for _ in range(rng.randint(0, 3)):
+                bits ^= 1 << rng.randrange(64)
+            nodes.append((simhash.signed(bits), len(nodes)))
+    nodes += [(fp, 100 + node) for fp, node in nodes[::7]]  # several nodes of one fingerprint
+    close = {(a, b) for x, a in nodes for y, b in nodes if a < b and ((x ^ y) & simhash.ALL).bit_count() <= simhash.NEAR_RADIUS}
+    label = {node: rng.choice([node, 1000, 1001]) for _, node in nodes}
+    apart = {(a, b) for a, b in close if label[a] != label[b]}
+    labels = spark.createDataFrame([(a, b) for a, b in label.items() if a != b], "node long, label long")
+    for size in (7, 4096):  # with guests and without
+        first, rest = simhash.near_rounds(spark.createDataFrame(nodes, "fp long, node long"), tree_nodes=size)
+        pairs = {tuple(sorted(r)) for r in first.collect()}
+        more = [tuple(r) for r in rest(labels).collect()]
+        assert pairs < close
+        assert set(more) <= apart <= pairs | set(more) and len(set(more)) == len(more)
+    alone = spark.createDataFrame([(simhash.signed(c), n) for n, c in enumerate(centres)], "fp long, node long")
+    assert simhash.near_rounds(alone)[1](labels) is None
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}

@@ -15,7 +15,7 @@ gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +35,7 @@ WIDTH = 3
 SEED = 42
 TREE_NODES = 4096
 NEAR_RADIUS = 5       # near copies: bits in which fingerprints of five-word shingles may differ
-NEAREST = 4           # links that a fingerprint has to the nearest of one tree; the exact way gives the rest
+NEAREST = 4           # links that a fingerprint has to the nearest of one tree in the first round; the second one takes all others
 ALL = (1 << BITS) - 1
 
 
@@ -146,37 +146,72 @@ def links(
     More blocks that must ``agree`` make more, smaller shards. With ``nearest`` a value is linked to so many of the nearest of a tree only.
     """
     masks = block_masks(radius, agree)
+    return searched(dealt(distinct, masks, tree_nodes), masks, radius, nearest).where("b IS NOT NULL").select("a", "b")
+
+
+def searched(rows: DataFrame, masks: list[int], radius: int, nearest: int | None = None) -> DataFrame:
+    """a, b, block, value, tree, guest: the links (a, b) that the trees of ``rows`` (as ``dealt`` gives them) hold, each once.
+
+    With ``nearest`` a value is linked to so many of the nearest of a tree only. Where there were more, rows with b null hold the nodes of
+    the tree and the guests that had more: a search of these rows finds what was left out. Values with an equal
+    ``label``, if ``rows`` has that column, aren't linked; null is unlike every label.
+    """
     keys = ["block", "value", "tree"]
-    placed = dealt(distinct, masks, tree_nodes).repartition(*keys).sortWithinPartitions(*keys, "guest", "fp")
+    labelled = "label" in rows.columns
+    columns = [*keys, "fp", "guest", F.col("label") if labelled else F.lit(None).cast("long").alias("label")]
+    placed = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "guest", "fp")
+    schema = "a long, b long, block int, value long, tree int, guest boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree = None, ShardTree()
+        key, tree, label_of, more = None, ShardTree(), {}, False
+        found: list[tuple] = []
+
+        def close() -> None:
+            if more:
+                found.extend((signed(held), None, *key, False) for held, _ in tree.nodes)
+
+        def given() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*found), types)], names=["a", "b", *keys, "guest"]
+            )
+
         for batch in batches:
-            found: list[tuple[int, int]] = []
             # A row between others of other shards is alone in its shard; the last one of a batch may not be.
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
             new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])
             begins = np.concatenate(([key != tuple(c[0].item() for c in columns[:3])], new)) if batch.num_rows else new
             alone = begins & np.concatenate((new, [False]))[: len(begins)]
-            for block, value, number, fp, guest in zip(*(c[~alone].tolist() for c in columns)):
+            labels = batch.column(5).filter(pa.array(~alone)).to_pylist()
+            for block, value, number, fp, guest, label in zip(*(c[~alone].tolist() for c in columns), labels):
                 if (block, value, number) != key:
-                    key, tree = (block, value, number), ShardTree()
+                    close()
+                    key, tree, label_of, more = (block, value, number), ShardTree(), {}, False
                 bits = fp & ALL
                 # Each pair once: guests look for smaller ones only, and only the first block in which both agree reports.
                 near = [
                     other for other in tree.within(bits, radius)
                     if (not guest or other < bits) and all((bits ^ other) & m for m in masks[:block])
+                    and (label is None or label_of.get(other) != label)
                 ]
                 if nearest is not None and len(near) > nearest:
                     near = sorted(near, key=lambda other: ((bits ^ other).bit_count(), other))[:nearest]
-                found += [(signed(min(bits, other)), signed(max(bits, other))) for other in near]
+                    more = True
+                    if guest:
+                        found.append((fp, None, *key, True))
+                found += [(signed(min(bits, other)), signed(max(bits, other)), *key, False) for other in near]
                 if not guest:
                     tree.add(bits)
+                    if label is not None:
+                        label_of[bits] = label
             if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield given()
+                found.clear()
+        close()
+        if found:
+            yield given()
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(run, schema)
 
 
 def fingerprint_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
@@ -194,26 +229,61 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Fingerprints of the shingles go through the BK-trees with a wider radius, and whole sets of what these link are compared.
     Similarity 0.8 is about 10 bits of 64, so that no radius of feasible shards finds every link: prefix filtering
-    (``jaccard``) then brings together what is still apart.
+    (``jaccard``) brings together what these leave apart. A fingerprint's links beyond the ``NEAREST`` of a tree, and links of
+    nodes that share one, are followed in a second round, as far as their ends are still apart.
 
     Nulls, ties, repeated rows and empty tables are as in ``fingerprint_groups``; a text without words is like every other such one.
     """
     docs = on_disk(docs)
     prints = jaccard.told_apart(materialize(jaccard.prints(docs), "shingles"))
     distinct = materialize(_firsts(prints, "node", "n", "counts"), "shingle-nodes")
-    return _grouped(prints, distinct, jaccard.components_of(prints, distinct, docs, near=near_pairs(prints)), "node")
+    near, rest = near_rounds(prints)
+    return _grouped(prints, distinct, jaccard.components_of(prints, distinct, docs, near=near, rest=rest), "node")
 
 
 def near_pairs(prints: DataFrame, radius: int = NEAR_RADIUS, tree_nodes: int = TREE_NODES, nearest: int = NEAREST) -> DataFrame:
     """Pairs (a, b) of nodes whose fingerprints are equal or linked through the trees; of one fingerprint's nodes all meet the first."""
+    return near_rounds(prints, radius, tree_nodes, nearest)[0]
+
+
+def near_rounds(
+    prints: DataFrame, radius: int = NEAR_RADIUS, tree_nodes: int = TREE_NODES, nearest: int = NEAREST
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame | None]]:
+    """``near_pairs``, and a function that takes what these pairs have joined, (node, label), and gives all other pairs of linked nodes
+    that are still apart, or None if the first round left out nothing.
+
+    So a large group of near copies gives a number of pairs that grows with its size and with what is apart in it, and every link is followed.
+    """
+    masks = block_masks(radius, 2)
     marks = materialize(prints.select("fp", "node").distinct(), "near-fingerprints")
-    firsts = materialize(marks.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprint-nodes")
+    firsts = materialize(marks.groupBy("fp").agg(F.min("node").alias("first"), (F.count(F.lit(1)) > 1).alias("several")), "near-fingerprint-nodes")
     equal = marks.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    found = links(firsts.select("fp"), radius, tree_nodes, agree=2, nearest=nearest)
+    found = materialize(searched(dealt(firsts.select("fp"), masks, tree_nodes), masks, radius, nearest), "near-links")
+    linked = found.where("b IS NOT NULL").select("a", "b")
+    pairs = linked
     for end in ("a", "b"):
         named = firsts.select(F.col("fp").alias(end), F.col("first").alias(f"node_{end}"))
-        found = found.join(named, end)
-    return equal.unionByName(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        pairs = pairs.join(named, end)
+
+    def rest(labels: DataFrame) -> DataFrame | None:
+        cut = found.where("b IS NULL").select("block", "value", "tree", F.col("a").alias("fp"), "guest")
+        several = firsts.where("several").select("fp")
+        if cut.isEmpty() and several.isEmpty():
+            return None
+        known = marks.join(labels, "node", "left").select("fp", "node", F.coalesce("label", "node").alias("label"))
+        one = known.groupBy("fp").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        one = one.select("fp", F.when(F.col("least") == F.col("most"), F.col("least")).alias("label"))  # null: its nodes are apart
+        prints_apart = searched(cut.join(one, "fp"), masks, radius).select("a", "b")
+        for end in ("a", "b"):  # nodes that aren't the first of their fingerprint
+            prints_apart = prints_apart.unionByName(linked.join(several.withColumnRenamed("fp", end), end, "left_semi").select("a", "b"))
+        prints_apart = prints_apart.unionByName(several.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+        for end in ("a", "b"):
+            named = known.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}"), F.col("label").alias(f"label_{end}"))
+            prints_apart = prints_apart.join(named, end)
+        ends = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
+        return prints_apart.where("label_a <> label_b").select(*ends).distinct()
+
+    return equal.unionByName(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), rest
 
 
 def _firsts(prints: DataFrame, key: str, *more: str) -> DataFrame:
