@@ -152,8 +152,8 @@ def links(
 def searched(rows: DataFrame, masks: list[int], radius: int, nearest: int | None = None) -> DataFrame:
     """a, b, block, value, tree, guest: the links (a, b) that the trees of ``rows`` (as ``dealt`` gives them) hold, each once.
 
-    With ``nearest`` a value is linked to so many of the nearest of a tree only. Where there were more, rows with b null hold the nodes of
-    the tree and the guests that had more: a search of these rows finds what was left out. Values with an equal
+    With ``nearest`` a value is linked to so many of the nearest of a tree only. Where there were more, rows with b null hold
+    that value and all that are near it: a search of these rows finds what was left out. Values with an equal
     ``label``, if ``rows`` has that column, aren't linked; null is unlike every label.
     """
     keys = ["block", "value", "tree"]
@@ -163,12 +163,11 @@ def searched(rows: DataFrame, masks: list[int], radius: int, nearest: int | None
     schema = "a long, b long, block int, value long, tree int, guest boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree, label_of, more = None, ShardTree(), {}, False
+        key, tree, label_of, more = None, ShardTree(), {}, set()
         found: list[tuple] = []
 
         def close() -> None:
-            if more:
-                found.extend((signed(held), None, *key, False) for held, _ in tree.nodes)
+            found.extend((signed(held), None, *key, False) for held in more)
 
         def given() -> pa.RecordBatch:
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
@@ -186,7 +185,7 @@ def searched(rows: DataFrame, masks: list[int], radius: int, nearest: int | None
             for block, value, number, fp, guest, label in zip(*(c[~alone].tolist() for c in columns), labels):
                 if (block, value, number) != key:
                     close()
-                    key, tree, label_of, more = (block, value, number), ShardTree(), {}, False
+                    key, tree, label_of, more = (block, value, number), ShardTree(), {}, set()
                 bits = fp & ALL
                 # Each pair once: guests look for smaller ones only, and only the first block in which both agree reports.
                 near = [
@@ -195,10 +194,12 @@ def searched(rows: DataFrame, masks: list[int], radius: int, nearest: int | None
                     and (label is None or label_of.get(other) != label)
                 ]
                 if nearest is not None and len(near) > nearest:
-                    near = sorted(near, key=lambda other: ((bits ^ other).bit_count(), other))[:nearest]
-                    more = True
+                    more.update(near)
                     if guest:
                         found.append((fp, None, *key, True))
+                    else:
+                        more.add(bits)
+                    near = sorted(near, key=lambda other: ((bits ^ other).bit_count(), other))[:nearest]
                 found += [(signed(min(bits, other)), signed(max(bits, other)), *key, False) for other in near]
                 if not guest:
                     tree.add(bits)
